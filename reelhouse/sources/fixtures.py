@@ -238,12 +238,11 @@ UNION ALL SELECT p_partkey AS req_id, 'video:'||lower(p_type) AS slug FROM part
 # digit-1 for a digit ('0'..'9' -> -1..8) and -99 for a role whose id has no digit there.
 _SPARK_OVERRIDES = {
     "role_permissions": """
-SELECT r.id AS role_id, p.id AS permission_id
-FROM (SELECT id, CASE WHEN CAST(substring(id,6,2) AS INT)%3=0 THEN array_union(sequence(-1, 8), array(-99))
-                      ELSE array(CAST(substring(id,6,2) AS INT)%5) END AS ks
-      FROM permissions) p
-LATERAL VIEW explode(p.ks) t AS k
-JOIN roles r ON coalesce(CAST(substring(r.id,6,1) AS INT)-1, -99) = t.k
+SELECT r.id AS role_id, pk.id AS permission_id
+FROM (SELECT id, explode(CASE WHEN CAST(substring(id,6,2) AS INT)%3=0 THEN array_union(sequence(-1, 8), array(-99))
+                              ELSE array(CAST(substring(id,6,2) AS INT)%5) END) AS k
+      FROM permissions) pk
+JOIN roles r ON coalesce(CAST(substring(r.id,6,1) AS INT)-1, -99) = pk.k
 """,
 }
 
