@@ -4,6 +4,7 @@ from . import registry  # noqa: F401
 from . import catalog_queries  # noqa: F401
 from . import rbac_queries  # noqa: F401
 from . import write_queries  # noqa: F401
+from . import machine_queries  # noqa: F401
 
 
 def queries():

@@ -18,14 +18,16 @@ QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, views: list[str] | None = None, oracle: str | None = None):
+def register(name: str, views: list[str] | None = None, oracle: str | None = None, recursive: bool = False):
     """Decorator: register a query builder and, when given, its oracle SQL. ``oracle`` may
     start with ', name AS (...)' to add CTEs after the fixture views."""
     def deco(fn: Builder) -> Builder:
         QUERIES[name] = fn
         if oracle is not None:
             body = oracle.strip()
-            ORACLES[name] = (duckdb_with(views).rstrip() + ("\n" if body.startswith(",") else "\n") + body
-                             if views else body)
+            text = duckdb_with(views).rstrip() + "\n" + body if views else body
+            if recursive:
+                text = "WITH RECURSIVE " + text[len("WITH "):]
+            ORACLES[name] = text
         return fn
     return deco

@@ -205,7 +205,7 @@ FROM customer
 
 # job_outcomes: completion / failure reports sent by the workers.
 _view("job_outcomes", ["orders"], """
-SELECT 'job-'||CAST(o_orderkey AS VARCHAR(20)) AS job_id,
+SELECT o_orderkey AS seq, 'job-'||CAST(o_orderkey AS VARCHAR(20)) AS job_id,
   CASE WHEN o_orderkey%3=0 THEN 'fail' ELSE 'complete' END AS outcome,
   'manifest.mpd' AS result, 'exit status 1' AS error_msg,
   CAST(60+o_orderkey%600 AS BIGINT)*1000000000 - CASE WHEN o_orderkey%37=0 THEN 1000000000000 ELSE 0 END AS duration
@@ -222,6 +222,12 @@ SELECT 'new-'||CAST(c_custkey AS VARCHAR(20)) AS user_id,
 FROM customer WHERE c_custkey%4=2
 """)
 
+# duration_requests: durations to set on videos (X7); account balances give negative ones.
+_view("duration_requests", ["customer"], """
+SELECT 'vid-'||CAST(c_custkey AS VARCHAR(20)) AS id, CAST(sign(c_acctbal)*floor(abs(c_acctbal)) AS BIGINT)*1000000000 AS duration
+FROM customer WHERE c_custkey%3=1
+""")
+
 # deleted_users: users removed from the catalog; their role links must cascade away (U8).
 _view("deleted_users", ["customer"], """
 SELECT 'user-'||CAST(c_custkey AS VARCHAR(20)) AS id FROM customer WHERE c_custkey%7=0
