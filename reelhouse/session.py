@@ -67,12 +67,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows.
 
-    The proof is a LIMIT-ed count (reads at most max_rows+1 rows). Beyond the bound the
-    frame is returned unchanged and the planner falls back to a shuffle join (with AQE
-    still free to broadcast at runtime if the shuffle turns out small).
+    The proof is a LIMIT-ed count (stops after max_rows+1 rows). The frame is persisted
+    while it is counted so the broadcast reuses the rows instead of recomputing them.
+    Beyond the bound the cache is dropped and the frame is returned unhinted: the planner
+    then uses a shuffle join (AQE may still broadcast at runtime from measured sizes).
+    A static estimate is not trusted here because a small dimension derived from a large
+    table (e.g. DISTINCT roles of all orders) is estimated at the large table's size.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    cached = df.persist()
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def checkpoint_cut(df: DataFrame) -> DataFrame:

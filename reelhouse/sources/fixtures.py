@@ -12,6 +12,8 @@ same relation written as an equi-join over an exploded key set.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -276,9 +278,33 @@ def _base_deps(names: list[str]) -> list[str]:
     return base
 
 
-def spark_with(sf_dir: str, names: list[str]) -> str:
+_SPLITS: dict[tuple[str, int], int] = {}
+
+
+def scan_splits(spark: SparkSession, path: str) -> int:
+    """Number of input splits Spark plans for a parquet path (file listing only, no job)."""
+    key = (path, spark.sparkContext.defaultParallelism)
+    if key not in _SPLITS:
+        _SPLITS[key] = spark.read.parquet(path).rdd.getNumPartitions()
+    return _SPLITS[key]
+
+
+def base_scan_sql(spark: SparkSession | None, path: str) -> str:
+    """SELECT over one supplied parquet table. When the scan would yield fewer splits than the
+    cluster has task slots (a file written as one row group cannot be split), spread the rows
+    round-robin first so per-row work is parallel. On large inputs the scan already has
+    thousands of splits and this adds nothing; filters and column pruning still reach the
+    scan (Catalyst pushes them below the repartition)."""
+    if spark is not None and os.environ.get("REELHOUSE_SPREAD_SMALL_SCANS", "1") == "1":
+        par = spark.sparkContext.defaultParallelism
+        if scan_splits(spark, path) < par:
+            return f"SELECT /*+ REPARTITION({par}) */ * FROM parquet.`{path}`"
+    return f"SELECT * FROM parquet.`{path}`"
+
+
+def spark_with(sf_dir: str, names: list[str], spark: SparkSession | None = None) -> str:
     """A WITH clause defining the base tables and the derived views ``names`` depend on."""
-    parts = [f"{b} AS (SELECT * FROM parquet.`{sf_dir.rstrip('/')}/{b}.parquet`)" for b in _base_deps(names)]
+    parts = [f"{b} AS ({base_scan_sql(spark, sf_dir.rstrip('/') + '/' + b + '.parquet')})" for b in _base_deps(names)]
     parts += [f"{n} AS ({_SPARK_OVERRIDES.get(n, VIEWS[n])})" for n in _closure(names)]
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -290,12 +316,15 @@ def duckdb_with(names: list[str]) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view as a DataFrame over the parquet files in ``sf_dir``."""
-    return spark.sql(spark_with(sf_dir, [name]) + f"SELECT * FROM {name}")
+    return spark.sql(spark_with(sf_dir, [name], spark) + f"SELECT * FROM {name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied base table (S1): the parquet scan; Catalyst prunes columns and pushes filters."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    par = spark.sparkContext.defaultParallelism
+    return df.repartition(par) if scan_splits(spark, path) < par else df
 
 
 class Fixtures:
