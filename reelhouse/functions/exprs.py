@@ -49,7 +49,8 @@ def percentage(current: str | Column, total: str | Column) -> Column:
     """min(current*100 / total, 100) with integer division truncating toward zero and no
     lower bound. Overflow of current*100 yields NULL (try_multiply) instead of wrapping."""
     prod = F.try_multiply(col(current).cast("bigint"), F.lit(100).cast("bigint"))
-    return F.least(int_div(prod, total), F.lit(100).cast("bigint"))
+    q = int_div(prod, total)
+    return F.when(q.isNotNull(), F.least(q, F.lit(100).cast("bigint")))  # least() would skip a NULL
 
 
 def channel_of(job_id: str | Column) -> Column:

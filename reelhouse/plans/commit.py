@@ -65,7 +65,8 @@ class VersionedCatalog:
         mapping = dict(h["tables"]) if h else {}
         for name, df in tables.items():
             cols = [f.name for f in S.TABLES[name].fields] if name in S.TABLES else df.columns
-            df.select(*cols).write.mode("errorifexists").parquet(f"{self.root}/v={n}/{name}")
+            # a v=<n> folder left by a crash before its commit row was never visible: replace it
+            df.select(*cols).write.mode("overwrite").parquet(f"{self.root}/v={n}/{name}")
             mapping[name] = n
         if fail_after_writes:
             raise RuntimeError(f"simulated failure before commit of version {n}")
