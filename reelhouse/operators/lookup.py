@@ -2,9 +2,9 @@
 (T2), paging (T3), dispatch batch (T4), video info (J3 + F7) and projections (F8).
 
 Scale notes
-- Latest-per-key uses ``max_by(struct, struct(created_at, id))`` — a partial + final
-  aggregate, so a video owning a third of all jobs is reduced map-side to one row per
-  input partition before the shuffle; no group is ever materialised whole.
+- Latest-per-key uses ``row_number() = 1``, which Spark plans as a partial WindowGroupLimit
+  before the shuffle and a final one after it: a video owning a third of all jobs is cut
+  to one row per map task before the exchange; no group is ever materialised whole.
 - Top-k / paging use ``orderBy().limit()`` which plans TakeOrderedAndProject: each task
   keeps its own k best rows, only k x tasks rows reach the final merge.
 - Keyed lookups are equi-joins; both sides are hash-partitioned on the key and AQE may
@@ -36,19 +36,20 @@ def runnable_jobs(jobs: DataFrame) -> DataFrame:
 
 def latest_job_per_video(jobs: DataFrame) -> DataFrame:
     """T1 (batch form): for every video the job with the greatest created_at, ties broken by
-    the greatest id. One row per video_id with the job's columns."""
-    cols = [c for c in jobs.columns]
-    best = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct("created_at", "id"))
-    return jobs.groupBy("video_id").agg(best.alias("j")).select("j.*")
-
-
-def latest_job_per_video_window(jobs: DataFrame) -> DataFrame:
-    """T1 written as row_number = 1 (Spark plans WindowGroupLimit). Kept for comparison;
-    the aggregate form above is preferred because it combines map-side under skew."""
+    the greatest id. ``row_number() = 1`` plans WindowGroupLimit twice: a Partial one before
+    the shuffle keeps one row per video per task, so a video owning a third of all jobs
+    sends at most one row per map task; the Final one after the shuffle picks the winner."""
     w = Window.partitionBy("video_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     return jobs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def latest_job_per_video_agg(jobs: DataFrame) -> DataFrame:
+    """T1 as ``max_by(struct, struct(created_at, id))`` (partial + final SortAggregate); same
+    result, measured slower than the window form above, kept for comparison in tests."""
+    best = F.max_by(F.struct(*[F.col(c) for c in jobs.columns]), F.struct("created_at", "id"))
+    return jobs.groupBy("video_id").agg(best.alias("j")).select("j.*")
+
+
 def video_info(videos: DataFrame, jobs: DataFrame) -> DataFrame:
     """J3 + F7: each video with its latest job, projected as the info record.
     Videos without any job are an error in the service; they are left out here and

@@ -45,7 +45,7 @@ def test_latest_job_ties_break_on_id(spark):
                            ("job-d", "v2", "transcode", "pending", NOW)])
     got = {r.video_id: r.id for r in L.latest_job_per_video(jobs).collect()}
     assert got == {"v1": "job-b", "v2": "job-d"}
-    got_w = {r.video_id: r.id for r in L.latest_job_per_video_window(jobs).collect()}
+    got_w = {r.video_id: r.id for r in L.latest_job_per_video_agg(jobs).collect()}
     assert got_w == got
 
 
