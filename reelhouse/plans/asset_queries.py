@@ -56,7 +56,18 @@ def missing_manifests(spark, sf_dir):
     return A.missing_manifests(info, asset_catalog(spark, base))
 
 
-@register("export_json")
+@register("export_json", ["videos", "jobs"], """
+, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY created_at DESC, id DESC) AS rn
+                            FROM jobs) t WHERE rn = 1)
+SELECT '{"id":' || to_json(v.id) || ',"title":' || to_json(v.title) || ',"description":' || to_json(v.description)
+  || ',"source_filename":' || to_json(v.filename) || ',"resource_id":' || to_json(v.resource_id)
+  || ',"status":' || to_json(v.status) || ',"duration_seconds":' || to_json(CAST(v.duration AS DOUBLE) / 1e9)
+  || CASE WHEN l.result <> '' THEN ',"manifest_path":' || to_json(l.result) ELSE '' END
+  || CASE WHEN l.error_msg <> '' THEN ',"error_message":' || to_json(l.error_msg) ELSE '' END
+  || ',"created_at":' || to_json(strftime(v.created_at, '%Y-%m-%dT%H:%M:%S.%fZ'))
+  || ',"updated_at":' || to_json(strftime(v.updated_at, '%Y-%m-%dT%H:%M:%S.%fZ')) || '}' AS value
+FROM videos v JOIN latest l ON l.video_id = v.id
+""")
 def export_json(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return video_info_json(L.video_info(fx.videos, fx.jobs))

@@ -196,8 +196,18 @@ def claims_audit(spark, sf_dir):
     return I.claims_audit(Fixtures(spark, sf_dir).claims, NOW)
 
 
-@register("path_audit")
+@register("path_audit", ["access_log"], f"""
+, c AS (SELECT event_id, resource_id, filename,
+          '/' || array_to_string(list_reduce(string_split(concat_ws('/', '{STORAGE_BASE}', resource_id, filename), '/'),
+            lambda acc, x: CASE WHEN x = '' OR x = '.' THEN acc
+                                WHEN x = '..' THEN (CASE WHEN len(acc) = 0 OR acc[-1] = '..' THEN acc ELSE acc[1:len(acc) - 1] END)
+                                ELSE list_append(acc, x) END, []::VARCHAR[]), '/') AS clean_path
+        FROM access_log)
+SELECT *, starts_with(clean_path, '{STORAGE_BASE}/') AS allowed,
+  CASE WHEN NOT starts_with(clean_path, '{STORAGE_BASE}/') THEN 'invalid path' END AS error
+FROM c
+""")
 def path_audit(spark, sf_dir):
-    """F10 over the access log. Checked against posixpath.normpath on fixtures (tests)."""
+    """F10 over the access log (absolute base; also checked against posixpath.normpath in tests)."""
     return I.path_audit(Fixtures(spark, sf_dir).access_log.select("event_id", "resource_id", "filename"),
                         STORAGE_BASE)
