@@ -18,11 +18,15 @@ QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, views: list[str] | None = None, oracle: str | None = None, recursive: bool = False):
+def register(name: str, views: list[str] | None = None, oracle: str | None = None, recursive: bool = False,
+             same_as: str | None = None):
     """Decorator: register a query builder and, when given, its oracle SQL. ``oracle`` may
-    start with ', name AS (...)' to add CTEs after the fixture views."""
+    start with ', name AS (...)' to add CTEs after the fixture views. ``same_as`` reuses the
+    oracle of an already registered query (a stream checked against its batch form)."""
     def deco(fn: Builder) -> Builder:
         QUERIES[name] = fn
+        if same_as is not None:
+            ORACLES[name] = ORACLES[same_as]
         if oracle is not None:
             body = oracle.strip()
             text = duckdb_with(views).rstrip() + "\n" + body if views else body

@@ -1,6 +1,7 @@
 """Streaming queries, run to completion with ``availableNow`` over input files that Spark
-writes from the supplied tables: stream_progress (S2, P5, P6, S3), progress_for_video (J5),
-stream_logs (S6, L1, L2). Each returns the sink's contents as a DataFrame."""
+writes from the supplied tables: stream_progress (S2, P5, P6), progress_for_video (J5),
+stream_logs (S6, L1, L2), stream_progress_events (S4, P1-P3, P9, S3). Each returns the
+sink's contents as a DataFrame."""
 
 from __future__ import annotations
 
@@ -11,6 +12,8 @@ from ..session import scratch_path
 from ..sources.fixtures import Fixtures
 from ..streaming.log_stream import run_log_stream
 from ..streaming.progress_stream import run_progress_stream
+from ..operators import progress as P
+from ..streaming.progress_stream import run_events_stream
 from .progress_queries import _MSGS_CTE
 from .registry import register
 
@@ -62,3 +65,21 @@ def stream_logs(spark, sf_dir):
     root = scratch_path(spark, "logs-out")
     run_log_stream(spark, stage, f"{root}/envelopes", f"{root}/quarantine", f"{root}/_checkpoint")
     return spark.read.parquet(f"{root}/envelopes").select("event_id", "level", "channel", "envelope")
+
+
+@register("stream_progress_events", same_as="progress_events")
+def stream_progress_events(spark, sf_dir):
+    """P9 as a stream: transcoder lines (plus each job's closing progress=end line, written
+    after its last line) -> events, equal to the batch ``progress_events``."""
+    fx = Fixtures(spark, sf_dir)
+    lines = fx.progress_lines.select("event_id", "job_id", "line")
+    ends = lines.groupBy("job_id").agg((F.max("event_id") + 1).alias("event_id")) \
+        .select("event_id", "job_id", F.lit("progress=end").alias("line"))
+    stage = scratch_path(spark, "lines-in")
+    lines.unionByName(ends).write.json(stage)
+    totals = P.parse_probes(fx.probes).filter(F.col("ok") & (F.col("total_frames") != 0))
+    root = scratch_path(spark, "events-out")
+    run_events_stream(spark, stage, totals, f"{root}/events", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/events").select(
+        "job_id", "seq", "status", "total_frames", "current_frames", "percentage", "channel", "payload")
+

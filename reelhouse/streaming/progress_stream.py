@@ -107,3 +107,70 @@ def progress_for_video(delivered: DataFrame, latest_jobs: DataFrame) -> DataFram
     """Stream-static join: each delivered message of the latest job of a video."""
     lj = latest_jobs.select(F.col("id").alias("job_id"), "video_id")
     return delivered.join(lj, "job_id")
+
+
+# ---------------------------------------------------------------- P9 as a stream (S4 -> S3)
+LINE_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("job_id", T.StringType()),
+                            T.StructField("line", T.StringType())])
+EVENT = T.StructType([
+    T.StructField("job_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()),
+    T.StructField("total_frames", T.LongType()), T.StructField("current_frames", T.LongType()),
+    T.StructField("percentage", T.LongType()),
+])
+EVENT_STATE = T.StructType([T.StructField("closed", T.BooleanType()), T.StructField("current_frames", T.LongType()),
+                            T.StructField("percentage", T.LongType())])
+END_LINE = "progress=end"
+
+
+def _events_until_end(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    closed, cur, pct = (state.get if state.exists else (False, 0, 0))
+    if closed:
+        for _ in batches:
+            pass
+        return
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+    out = []
+    for seq, kind, total, frame, p in zip(pdf["seq"], pdf["kind"], pdf["total_frames"], pdf["current_frames"],
+                                          pdf["percentage"]):
+        if kind == "frame":
+            cur, pct = int(frame), int(p)
+            out.append((key[0], int(seq), S.PROGRESS_CONTINUE, int(total), cur, pct))
+        else:  # the end marker closes the job; later lines are ignored
+            out.append((key[0], int(seq), S.PROGRESS_END, int(total), cur, pct))
+            closed = True
+            break
+    state.update((closed, cur, pct))
+    yield pd.DataFrame(out, columns=[f.name for f in EVENT.fields])
+
+
+def text_to_events(lines: DataFrame, totals: DataFrame) -> DataFrame:
+    """P1 + P2 in the JVM (strict frame parse, percentage), then per job: 'continue' events in
+    offset order and one 'end' event carrying the last frames / percentage on the
+    ``progress=end`` line. Jobs without a usable probe total (missing, failed, 0) emit
+    nothing (stream-static join with the totals)."""
+    from ..operators.progress import go_trim_space, parse_frame_lines
+    from ..functions.exprs import percentage
+    parsed = parse_frame_lines(lines.select("event_id", "job_id", "line", go_trim_space(F.col("line")).alias("_t")))
+    marked = parsed.filter((F.col("outcome") == "frame") | (F.col("_t") == END_LINE))
+    kind = F.when(F.col("_t") == END_LINE, "end").otherwise("frame")
+    j = marked.join(totals.select("job_id", "total_frames"), "job_id")
+    pct = percentage("frame", "total_frames")
+    rows = (j.select("job_id", F.col("event_id").alias("seq"), kind.alias("kind"), "total_frames",
+                     F.col("frame").alias("current_frames"), pct.alias("percentage"))
+             .filter((F.col("kind") == "end") | F.col("percentage").isNotNull()))
+    return rows.groupBy("job_id").applyInPandasWithState(
+        _events_until_end, EVENT, EVENT_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_events_stream(spark: SparkSession, in_path: str, totals: DataFrame, out_path: str, checkpoint: str,
+                      max_files_per_trigger: int | None = None) -> None:
+    """S4 records (event_id, job_id, line) -> events -> S3 shape (key, value) plus columns."""
+    r = spark.readStream.schema(LINE_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    ev = text_to_events(r.json(in_path), totals)
+    pub = ev.select("*", F.concat(F.lit("video:"), F.col("job_id"), F.lit(":progress")).alias("channel"),
+                    event_json("total_frames", "current_frames", "status", "percentage").alias("payload"))
+    q = (pub.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()

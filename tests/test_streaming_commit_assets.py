@@ -96,3 +96,20 @@ def test_asset_writer_and_text_sources(spark, tmpdir_fresh):
     probes = read_probe_docs(spark, f"{tmpdir_fresh}/probes")
     p = P.parse_probes(probes).collect()[0]
     assert (p.job_id, p.duration_ns, p.total_frames) == ("job-7", 1500000000, 2)
+
+
+def test_text_stream_end_carries_state(spark, tmpdir_fresh):
+    """Frames in one micro-batch, the progress=end line in the next: the end event carries
+    the last frames / percentage kept in state; lines after the end are ignored."""
+    from reelhouse.streaming.progress_stream import run_events_stream
+    inp, out = f"{tmpdir_fresh}/in", f"{tmpdir_fresh}/out"
+    schema = "event_id long, job_id string, line string"
+    totals = spark.createDataFrame([("j", 300)], "job_id string, total_frames long")
+    spark.createDataFrame([(1, "j", "frame=100"), (2, "j", "frame=abc"), (3, "j", "  frame=200 ")],
+                          schema).coalesce(1).write.json(f"{inp}/b1")
+    run_events_stream(spark, f"{inp}/*", totals, f"{out}/e", f"{out}/ck")
+    spark.createDataFrame([(4, "j", "progress=end"), (5, "j", "frame=300"), (6, "nototal", "frame=1")],
+                          schema).coalesce(1).write.json(f"{inp}/b2")
+    run_events_stream(spark, f"{inp}/*", totals, f"{out}/e", f"{out}/ck")
+    got = [(r.seq, r.status, r.current_frames, r.percentage) for r in spark.read.parquet(f"{out}/e").orderBy("seq").collect()]
+    assert got == [(1, "continue", 100, 33), (3, "continue", 200, 66), (4, "end", 200, 66)]
