@@ -80,3 +80,15 @@ def test_integrity(spark):
     ur = spark.createDataFrame([("u1", "r"), ("u2", "r")], "user_id string, role_id string")
     gone = spark.createDataFrame([("u1",)], "id string")
     assert [r.user_id for r in I.cascade_delete(ur, gone, "user_id").collect()] == ["u2"]
+
+
+def test_bounded_broadcast_falls_back(spark):
+    from reelhouse.session import bounded_broadcast
+    small = spark.range(10)
+    big = spark.range(1000)
+    j_small = spark.range(100).join(bounded_broadcast(small, max_rows=100), "id")
+    j_big = spark.range(100).join(bounded_broadcast(big, max_rows=100), "id")
+    assert "BroadcastExchange" in j_small._jdf.queryExecution().executedPlan().toString()
+    assert j_small.count() == 10 and j_big.count() == 100
+    # beyond the bound no broadcast hint is attached to the big side
+    assert "broadcast" not in j_big._jdf.queryExecution().analyzed().toString().lower()
