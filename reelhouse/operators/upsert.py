@@ -121,3 +121,13 @@ def apply_patches(videos: DataFrame, patched: DataFrame, now) -> DataFrame:
         else:
             out.append(F.col(c))
     return j.select(*out)
+
+
+def apply_updates(target: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
+    """Overwrite the columns present in ``updates`` (one row per key) on matching rows of
+    ``target``; other rows and columns are kept. A left join on the key (one shuffle)."""
+    cols = [c for c in updates.columns if c != key]
+    u = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in cols], F.lit(True).alias("_hit"))
+    j = target.join(u, key, "left")
+    return j.select(*[F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+                      for c in target.columns])

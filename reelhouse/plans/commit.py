@@ -84,3 +84,26 @@ def commit_upload_batch(catalog: VersionedCatalog, uploads: DataFrame, now) -> i
     videos = upsert_videos(catalog.read("videos"), new_v.select("*", seq)).drop("action", "rows_affected")
     jobs = upsert_jobs(catalog.read("jobs"), new_j.select("*", seq)).drop("action", "rows_affected")
     return catalog.commit({"videos": videos, "jobs": jobs})
+
+
+def commit_job_batch(catalog: VersionedCatalog, kind: str, batch: DataFrame, now) -> tuple[int, DataFrame]:
+    """X14 / X15 / X16 under U7: decide a start / complete / fail batch against the current
+    version, then write the accepted job and video changes of the batch as ONE new version
+    (both tables or neither). Returns (version, outcomes)."""
+    from ..operators import machine as M
+    from ..operators.upsert import apply_updates
+    jobs, videos = catalog.read("jobs"), catalog.read("videos")
+    decide = {"start": M.start_jobs, "complete": M.complete_jobs, "fail": M.fail_jobs}[kind]
+    out = decide(batch, jobs, videos)
+    acc = out.filter("accepted")
+    ts = F.lit(now).cast("timestamp")
+    job_cols = [F.col("job_id").alias("id"), F.col("job_status").alias("status"), ts.alias("updated_at")]
+    vid_cols = [F.col("video_id").alias("id"), F.col("video_status").alias("status"), ts.alias("updated_at")]
+    if kind == "complete":
+        job_cols.append(F.col("job_result").alias("result"))
+        vid_cols.append(F.col("video_duration").alias("duration"))
+    if kind == "fail":
+        job_cols.append(F.col("job_error_msg").alias("error_msg"))
+    new_jobs = apply_updates(jobs, acc.select(*job_cols))
+    new_videos = apply_updates(videos, acc.select(*vid_cols))
+    return catalog.commit({"jobs": new_jobs, "videos": new_videos}), out

@@ -113,3 +113,22 @@ def test_text_stream_end_carries_state(spark, tmpdir_fresh):
     run_events_stream(spark, f"{inp}/*", totals, f"{out}/e", f"{out}/ck")
     got = [(r.seq, r.status, r.current_frames, r.percentage) for r in spark.read.parquet(f"{out}/e").orderBy("seq").collect()]
     assert got == [(1, "continue", 100, 33), (3, "continue", 200, 66), (4, "end", 200, 66)]
+
+
+def test_job_lifecycle_commits_both_tables(spark, tmpdir_fresh):
+    from reelhouse.plans.commit import commit_job_batch
+    cat = _vc(spark, f"{tmpdir_fresh}/catalog")
+    t0, t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)
+    cat.commit({"videos": spark.createDataFrame([("v1", "t", "d", 0, "f.mp4", "res-1", "pending", t0, t0)], S.VIDEOS),
+                "jobs": spark.createDataFrame([("j1", "v1", "transcode", "pending", "", "", t0, t0)], S.JOBS)})
+    v, out = commit_job_batch(cat, "start", spark.createDataFrame([("j1", 1)], "job_id string, seq long"), t1)
+    assert v == 2 and out.collect()[0].accepted
+    assert (cat.read("jobs").first().status, cat.read("videos").first().status) == ("running", "processing")
+    batch = spark.createDataFrame([(1, "j1", "manifest.mpd", 120 * 10**9)], "seq long, job_id string, result string, duration long")
+    v, _ = commit_job_batch(cat, "complete", batch, t2)
+    j, vid = cat.read("jobs").first(), cat.read("videos").first()
+    assert v == 3 and (j.status, j.result, j.updated_at) == ("completed", "manifest.mpd", t2)
+    assert (vid.status, vid.duration, vid.created_at) == ("published", 120 * 10**9, t0)
+    # a rejected batch still commits a version, but changes nothing
+    v, out = commit_job_batch(cat, "fail", spark.createDataFrame([(1, "j1", "x")], "seq long, job_id string, error_msg string"), t2)
+    assert not out.collect()[0].accepted and cat.read("jobs").first().status == "completed"
