@@ -18,14 +18,15 @@ from ..functions.exprs import blank, clean_path, first_error
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: list[str], parent_key: list[str]) -> DataFrame:
-    """U8: child rows whose parent key is missing."""
-    p = parent.select(*[F.col(pk).alias(ck) for pk, ck in zip(parent_key, child_key)]).distinct()
+    """U8: child rows whose parent key is missing (an anti join never duplicates rows, so
+    the parent keys need no DISTINCT)."""
+    p = parent.select(*[F.col(pk).alias(ck) for pk, ck in zip(parent_key, child_key)])
     return child.join(p, child_key, "left_anti")
 
 
 def cascade_delete(child: DataFrame, deleted_parents: DataFrame, child_key: str, parent_key: str = "id") -> DataFrame:
     """U8 ON DELETE CASCADE: the child table after removing rows of deleted parents."""
-    d = deleted_parents.select(F.col(parent_key).alias(child_key)).distinct()
+    d = deleted_parents.select(F.col(parent_key).alias(child_key))
     return child.join(d, child_key, "left_anti")
 
 

@@ -77,8 +77,9 @@ def progress_events(lines: DataFrame, probes: DataFrame, key: str = "job_id") ->
     keeps the last frames / percentage (0 / 0 when no frame line). Rows whose percentage
     overflowed are left out (see ``percentage``). Each event has its channel and payload."""
     parsed = parse_frame_lines(lines)
-    tot = parse_probes(probes).filter(F.col("ok") & (F.col("total_frames") != 0)).select(key, "total_frames")
-    cont = frame_percentages(parsed, parse_probes(probes), key).filter(F.col("percentage").isNotNull())
+    probed = parse_probes(probes)
+    tot = probed.filter(F.col("ok") & (F.col("total_frames") != 0)).select(key, "total_frames")
+    cont = frame_percentages(parsed, probed, key).filter(F.col("percentage").isNotNull())
     cont = cont.select(key, F.col("event_id").alias("seq"), F.lit(S.PROGRESS_CONTINUE).alias("status"),
                        "total_frames", "current_frames", "percentage")
     last = cont.groupBy(key).agg(F.max_by(F.struct("current_frames", "percentage"), "seq").alias("_l"))

@@ -68,9 +68,9 @@ def lookup_users_by_key(keys: DataFrame, users: DataFrame, key_id: str = "key_id
     """F4 batch form: each login key matched case-insensitively against e-mail OR username.
     One row per key: found flag, number of matching users, the smallest matching id (the
     service takes whichever row the database returns first) and an ambiguous flag."""
-    cand = (users.select(F.col("id").alias("user_id"),
-                         F.explode(F.array(F.lower("email"), F.lower("username"))).alias("lkey"))
-                 .distinct())
+    # one row per (user, distinct lower-cased key); deduped inside the row, no shuffle
+    cand = users.select(F.col("id").alias("user_id"),
+                        F.explode(F.array_distinct(F.array(F.lower("email"), F.lower("username")))).alias("lkey"))
     k = keys.select(F.col(key_id).alias("key_id"), F.col(login).alias("login"),
                     F.lower(F.col(login)).alias("lkey"))
     m = k.join(cand, "lkey", "left")
