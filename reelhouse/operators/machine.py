@@ -4,9 +4,10 @@ Two forms:
 - snapshot: one command per entity, decided by a join with the current row and an
   ordered ``when`` chain that yields the first failing rule (the reject code);
 - replay: many ordered commands per entity. A command is a transition *function* over the
-  machine's states, encoded as arrays indexed by the start state:
-      nxt[s]  next state            acc[s]  1 if accepted
-      err[s]  rejection text or NULL        reg_<r>[s] value written to register r
+  machine's states, encoded as a struct of scalars per start state s (4-5 states):
+      n<s>  next state              a<s>  1 if accepted (sums under composition)
+      e<s>  rejection text or NULL  r_<reg>_<s>  value written to register reg
+  Composition is CASE lookups on these fields (no arrays are built per step).
   Functions compose associatively, so ``fold.ordered_fold`` replays them as a bounded
   fan-in tree; the final state is the composed function applied to the initial state.
 
@@ -53,63 +54,80 @@ class Machine:
         return out
 
     def name(self, idx: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(s) for s in self.states]), idx + 1)
+        return self._pick([F.lit(s) for s in self.states], idx)
+
+    @staticmethod
+    def _pick(values: list[Column], idx: Column) -> Column:
+        """values[idx] as a CASE over the few states (no array is built)."""
+        out = None
+        for i, v in enumerate(values):
+            out = F.when(idx == i, v) if out is None else out.when(idx == i, v)
+        return out
+
+    # A transition function is a struct of scalars, one group per start state s:
+    #   n<s> next state, a<s> accepted (0/1, summed), e<s> rejection text, r_<reg>_<s> register write.
+    def _fields(self, n, a, e, regs) -> Column:
+        k = len(self.states)
+        cols = [n[s].alias(f"n{s}") for s in range(k)] + [a[s].alias(f"a{s}") for s in range(k)] + \
+               [e[s].alias(f"e{s}") for s in range(k)]
+        for r in self.registers:
+            cols += [regs[r][s].alias(f"r_{r}_{s}") for s in range(k)]
+        return F.struct(*cols)
 
     # -- one command as a transition function
     def element(self, cmd: Column, payload: dict[str, Column] | None = None) -> Column:
         payload = payload or {}
         k = len(self.states)
-
-        def arr(vals, typ):
-            return F.array(*[F.lit(v).cast(typ) for v in vals])
-
-        nxt, acc, err = None, None, None
-        regs = {r: None for r in self.registers}
+        null_s = F.lit(None).cast("string")
+        n, a, e = [None] * k, [None] * k, [None] * k
+        regs = {r: [None] * k for r in self.registers}
         for c, mv in self.moves.items():
-            n_vals = [self.states.index(mv[s]) if s in mv else i for i, s in enumerate(self.states)]
-            a_vals = [1 if s in mv else 0 for s in self.states]
-            e_vals = [None if s in mv else self.errors[c] for s in self.states]
             cond = cmd == c
-            nxt = F.when(cond, arr(n_vals, "int")) if nxt is None else nxt.when(cond, arr(n_vals, "int"))
-            acc = F.when(cond, arr(a_vals, "long")) if acc is None else acc.when(cond, arr(a_vals, "long"))
-            err = F.when(cond, arr(e_vals, "string")) if err is None else err.when(cond, arr(e_vals, "string"))
-            for r in regs:
-                if self.writes.get(c) == r:
-                    val = payload[r]
-                    v = F.array(*[val.cast("string") if s in mv else F.lit(None).cast("string") for s in self.states])
-                else:
-                    v = arr([None] * k, "string")
-                regs[r] = F.when(cond, v) if regs[r] is None else regs[r].when(cond, v)
-        nxt = nxt.otherwise(arr(list(range(k)), "int"))
-        acc = acc.otherwise(arr([0] * k, "long"))
-        err = err.otherwise(arr([self.unknown_error] * k, "string"))
-        fields = [nxt.alias("nxt"), acc.alias("acc"), err.alias("err")]
-        fields += [regs[r].otherwise(arr([None] * k, "string")).alias(f"reg_{r}") for r in self.registers]
-        return F.struct(*fields)
+            for i, st in enumerate(self.states):
+                ok = st in mv
+                nv = F.lit(self.states.index(mv[st]) if ok else i)
+                av = F.lit(1 if ok else 0).cast("long")
+                ev = null_s if ok else F.lit(self.errors[c])
+                n[i] = F.when(cond, nv) if n[i] is None else n[i].when(cond, nv)
+                a[i] = F.when(cond, av) if a[i] is None else a[i].when(cond, av)
+                e[i] = F.when(cond, ev) if e[i] is None else e[i].when(cond, ev)
+                for r in regs:
+                    rv = payload[r].cast("string") if (ok and self.writes.get(c) == r) else null_s
+                    regs[r][i] = F.when(cond, rv) if regs[r][i] is None else regs[r][i].when(cond, rv)
+        n = [n[i].otherwise(F.lit(i)) for i in range(k)]
+        a = [a[i].otherwise(F.lit(0).cast("long")) for i in range(k)]
+        e = [e[i].otherwise(F.lit(self.unknown_error)) for i in range(k)]
+        regs = {r: [v.otherwise(null_s) for v in vals] for r, vals in regs.items()}
+        return self._fields(n, a, e, regs)
 
     def identity(self) -> Column:
         k = len(self.states)
-        fields = [F.array(*[F.lit(i) for i in range(k)]).alias("nxt"),
-                  F.array(*[F.lit(0).cast("long")] * k).alias("acc"),
-                  F.array(*[F.lit(None).cast("string")] * k).alias("err")]
-        fields += [F.array(*[F.lit(None).cast("string")] * k).alias(f"reg_{r}") for r in self.registers]
-        return F.struct(*fields)
+        null_s = F.lit(None).cast("string")
+        return self._fields([F.lit(i) for i in range(k)], [F.lit(0).cast("long")] * k, [null_s] * k,
+                            {r: [null_s] * k for r in self.registers})
 
     def compose(self, a: Column, b: Column) -> Column:
         """a then b, pointwise over start states: (b . a)."""
-        idx = F.sequence(F.lit(0), F.lit(len(self.states) - 1))
-
-        def at(arr, i):
-            return F.element_at(arr, i + 1)
+        k = len(self.states)
 
-        mid = lambda s: at(a["nxt"], s)
-        fields = [F.transform(idx, lambda s: at(b["nxt"], mid(s))).alias("nxt"),
-                  F.transform(idx, lambda s: at(a["acc"], s) + at(b["acc"], mid(s))).alias("acc"),
-                  F.transform(idx, lambda s: F.coalesce(at(b["err"], mid(s)), at(a["err"], s))).alias("err")]
-        def reg(r):
-            return F.transform(idx, lambda s: F.coalesce(at(b[f"reg_{r}"], mid(s)), at(a[f"reg_{r}"], s)))
-        fields += [reg(r).alias(f"reg_{r}") for r in self.registers]
-        return F.struct(*fields)
+        def col_of(x, prefix):
+            return [x[f"{prefix}{s}"] for s in range(k)]
+
+        bn, ba, be = col_of(b, "n"), col_of(b, "a"), col_of(b, "e")
+        n, acc, err = [], [], []
+        regs = {r: [] for r in self.registers}
+        for s in range(k):
+            mid = a[f"n{s}"]
+            n.append(self._pick(bn, mid))
+            acc.append(a[f"a{s}"] + self._pick(ba, mid))
+            err.append(F.coalesce(self._pick(be, mid), a[f"e{s}"]))
+            for r in self.registers:
+                regs[r].append(F.coalesce(self._pick(col_of(b, f"r_{r}_"), mid), a[f"r_{r}_{s}"]))
+        return self._fields(n, acc, err, regs)
+
+    def at(self, t: Column, prefix: str, idx: Column) -> Column:
+        """Field ``prefix`` of transition ``t`` for start state index ``idx``."""
+        return self._pick([t[f"{prefix}{s}"] for s in range(len(self.states))], idx)
 
     # -- replay
     def replay(self, cmds: DataFrame, key: str, seq: str, cmd: str, payload: dict[str, str] | None = None,
@@ -136,13 +154,13 @@ class Machine:
         i0 = self.index(F.col("_s0"))
         t = F.col("_t")
         ok = F.coalesce(F.col("found"), F.lit(False))
-        nacc = F.when(ok, F.element_at(t["acc"], i0 + 1)).otherwise(F.lit(0).cast("long"))
+        nacc = F.when(ok, self.at(t, "a", i0)).otherwise(F.lit(0).cast("long"))
         out = [F.col(key), ok.alias("found"),
-               F.when(ok, self.name(F.element_at(t["nxt"], i0 + 1))).alias("status"),
+               F.when(ok, self.name(self.at(t, "n", i0))).alias("status"),
                F.col("n").alias("n_commands"), nacc.alias("n_accepted"), (F.col("n") - nacc).alias("n_rejected"),
-               F.when(ok, F.element_at(t["err"], i0 + 1)).otherwise(F.lit(S.ERR_JOB_NOT_FOUND if initial is not None
-                                                                         else None)).alias("last_error")]
-        out += [F.when(ok, F.coalesce(F.element_at(t[f"reg_{r}"], i0 + 1), reg0[r])).alias(r) for r in self.registers]
+               F.when(ok, self.at(t, "e", i0)).otherwise(F.lit(S.ERR_JOB_NOT_FOUND if initial is not None
+                                                               else None)).alias("last_error")]
+        out += [F.when(ok, F.coalesce(self.at(t, f"r_{r}_", i0), reg0[r])).alias(r) for r in self.registers]
         return base.select(*out)
 
 

@@ -278,27 +278,40 @@ def _base_deps(names: list[str]) -> list[str]:
     return base
 
 
-_SPLITS: dict[tuple[str, int], int] = {}
+_SPLITS: dict[tuple[str, int], tuple[int, int]] = {}
+SPREAD_MIN_BYTES = 1 << 20
 
 
-def scan_splits(spark: SparkSession, path: str) -> int:
-    """Number of input splits Spark plans for a parquet path (file listing only, no job)."""
+def scan_splits(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(input splits Spark plans for a parquet path, bytes of its local files; -1 if remote).
+    File listing only, no job."""
     key = (path, spark.sparkContext.defaultParallelism)
     if key not in _SPLITS:
-        _SPLITS[key] = spark.read.parquet(path).rdd.getNumPartitions()
+        df = spark.read.parquet(path)
+        files = df.inputFiles()
+        local = all(f.startswith("file:") for f in files)
+        size = sum(os.path.getsize(f[len("file:"):]) for f in files) if local else -1
+        _SPLITS[key] = (df.rdd.getNumPartitions(), size)
     return _SPLITS[key]
 
 
+def needs_spread(spark: SparkSession, path: str) -> bool:
+    """True when a scan would yield fewer splits than the cluster has task slots (a file
+    written as one row group cannot be split) and it is big enough (>= 1 MiB) for parallel
+    per-row work to pay for one round-robin exchange. Inputs on a cluster have thousands of
+    splits, so this never fires there."""
+    if os.environ.get("REELHOUSE_SPREAD_SMALL_SCANS", "1") != "1":
+        return False
+    splits, size = scan_splits(spark, path)
+    return splits < spark.sparkContext.defaultParallelism and size >= SPREAD_MIN_BYTES
+
+
 def base_scan_sql(spark: SparkSession | None, path: str) -> str:
-    """SELECT over one supplied parquet table. When the scan would yield fewer splits than the
-    cluster has task slots (a file written as one row group cannot be split), spread the rows
-    round-robin first so per-row work is parallel. On large inputs the scan already has
-    thousands of splits and this adds nothing; filters and column pruning still reach the
-    scan (Catalyst pushes them below the repartition)."""
-    if spark is not None and os.environ.get("REELHOUSE_SPREAD_SMALL_SCANS", "1") == "1":
-        par = spark.sparkContext.defaultParallelism
-        if scan_splits(spark, path) < par:
-            return f"SELECT /*+ REPARTITION({par}) */ * FROM parquet.`{path}`"
+    """SELECT over one supplied parquet table, spread round-robin first when ``needs_spread``;
+    filters and column pruning still reach the scan (Catalyst pushes them below the
+    repartition)."""
+    if spark is not None and needs_spread(spark, path):
+        return f"SELECT /*+ REPARTITION({spark.sparkContext.defaultParallelism}) */ * FROM parquet.`{path}`"
     return f"SELECT * FROM parquet.`{path}`"
 
 
@@ -323,8 +336,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied base table (S1): the parquet scan; Catalyst prunes columns and pushes filters."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
-    par = spark.sparkContext.defaultParallelism
-    return df.repartition(par) if scan_splits(spark, path) < par else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if needs_spread(spark, path) else df
 
 
 class Fixtures:
