@@ -5,7 +5,7 @@ Tree written per run (one fresh folder under the shared checkpoint directory):
   <base>/<resource_id>/seg1.m4s and /<manifest>  for published videos with a manifest, except
                                                 that the manifest is left out when md5(id)
                                                 starts with '0' (the missing ones);
-  <base>/res-up-<n>/original.mp4                 for uploads that never became videos.
+  <base>/res-up-<n>/original.mp4                 for every upload (none became a video).
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ def _build_tree(spark, sf_dir) -> tuple[str, object, object]:
     mans = (pub.filter(F.substring(F.md5("id"), 1, 1) != "0")
                .select("resource_id", F.col("manifest_path").alias("asset_path"), F.lit("manifest").alias("content")))
     ups = (fx.uploads.filter(F.col("resource_id") != "")
-              .filter(F.expr("CAST(substring(upload_id, 4) AS BIGINT) % 5 = 0"))
               .select("resource_id", F.lit("original.mp4").alias("asset_path"), F.lit("data").alias("content")))
     base = scratch_path(spark, "assets")
     A.write_asset_tree(segs.unionByName(mans).unionByName(ups), base)
@@ -37,7 +36,7 @@ def _build_tree(spark, sf_dir) -> tuple[str, object, object]:
 
 @register("asset_orphans", ["uploads", "videos"], """
 SELECT resource_id, CAST(1 AS BIGINT) AS n_files, CAST(4 AS BIGINT) AS bytes FROM uploads u
-WHERE resource_id <> '' AND CAST(substring(upload_id, 4) AS BIGINT) % 5 = 0
+WHERE resource_id <> ''
   AND NOT EXISTS (SELECT 1 FROM videos v WHERE v.resource_id = u.resource_id)
 """)
 def asset_orphans(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "reelhouse") -> SparkSession:
+                  app_name: str = "reelhouse", driver_memory: str | None = None) -> SparkSession:
     """A session tuned for the operators in this package.
 
     On a cluster, leave ``master`` unset and let spark-submit decide; the settings
@@ -21,6 +21,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+    if driver_memory:  # only effective before the JVM starts (local mode: the only heap)
+        b = b.config("spark.driver.memory", driver_memory)
     cores = os.cpu_count() or 8
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 2 * cores))
           .config("spark.sql.adaptive.enabled", "true")
