@@ -63,7 +63,7 @@ def job_of_channel(channel: str | Column) -> Column:
 
 
 def has_permission(perms: str | Column, slug: str | Column) -> Column:
-    """User.Can: membership in the permission list; a NULL list is false."""
+    """membership in the permission list; a NULL list is false."""
     s = F.lit(slug) if isinstance(slug, str) else slug
     return F.coalesce(F.array_contains(col(perms), s), F.lit(False))
 

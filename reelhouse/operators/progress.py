@@ -71,11 +71,14 @@ def event_json(total, current, status, pct):
                               F.col(status).alias("Status"), F.col(pct).alias("Percentage")))
 
 
-def progress_events(lines: DataFrame, probes: DataFrame, key: str = "job_id") -> DataFrame:
+def progress_events(lines: DataFrame, probes: DataFrame, key: str = "job_id",
+                    failed_reads: DataFrame | None = None) -> DataFrame:
     """Text -> events for each job with a usable probe: one 'continue' event per valid
-    frame line in event order, then the terminal 'end' event (clean end of the text) that
-    keeps the last frames / percentage (0 / 0 when no frame line). Rows whose percentage
-    overflowed are left out (see ``percentage``). Each event has its channel and payload."""
+    frame line in event order, then the terminal event that keeps the last frames /
+    percentage (0 / 0 when no frame line): 'end' after a clean end of the text, 'error' for
+    the jobs listed in ``failed_reads`` (their text stopped on a read failure). Rows whose
+    percentage overflowed are left out (see ``percentage``). Each event has its channel and
+    payload."""
     parsed = parse_frame_lines(lines)
     probed = parse_probes(probes)
     tot = probed.filter(F.col("ok") & (F.col("total_frames") != 0)).select(key, "total_frames")
@@ -83,9 +86,13 @@ def progress_events(lines: DataFrame, probes: DataFrame, key: str = "job_id") ->
     cont = cont.select(key, F.col("event_id").alias("seq"), F.lit(S.PROGRESS_CONTINUE).alias("status"),
                        "total_frames", "current_frames", "percentage")
     last = cont.groupBy(key).agg(F.max_by(F.struct("current_frames", "percentage"), "seq").alias("_l"))
-    ends = (parsed.groupBy(key).agg((F.max("event_id") + 1).alias("seq"))
-                  .join(tot, key).join(last, key, "left")
-                  .select(key, "seq", F.lit(S.PROGRESS_END).alias("status"), "total_frames",
+    ends = parsed.groupBy(key).agg((F.max("event_id") + 1).alias("seq")).join(tot, key).join(last, key, "left")
+    if failed_reads is not None:
+        ends = ends.join(failed_reads.select(key, F.lit(True).alias("_read_failed")).distinct(), key, "left")
+        terminal = F.when(F.col("_read_failed"), F.lit(S.PROGRESS_ERROR)).otherwise(F.lit(S.PROGRESS_END))
+    else:
+        terminal = F.lit(S.PROGRESS_END)
+    ends = (ends.select(key, "seq", terminal.alias("status"), "total_frames",
                           F.coalesce(F.col("_l.current_frames"), F.lit(0).cast("long")).alias("current_frames"),
                           F.coalesce(F.col("_l.percentage"), F.lit(0).cast("long")).alias("percentage")))
     ev = cont.unionByName(ends)

@@ -24,6 +24,13 @@ def test_frames_then_end(spark):
     assert ev.first().channel == "video:j:progress"
 
 
+def test_read_error_ends_with_error(spark):
+    failed = spark.createDataFrame([("j",)], "job_id string")
+    ev = P.progress_events(_lines(spark, "j", "frame=100\n"), _probes(spark, "j", OBJ % "300"), failed_reads=failed)
+    got = [(r.status, r.current_frames, r.percentage) for r in ev.orderBy("seq").collect()]
+    assert got == [("continue", 100, 33), ("error", 100, 33)]
+
+
 def test_bad_frame_is_skipped(spark):
     lines = _lines(spark, "j", "frame=abc\nframe=100\n  frame=7 \nframe= 12\nfps=25\n")
     parsed = {r.event_id: (r.outcome, r.frame) for r in P.parse_frame_lines(lines).collect()}
