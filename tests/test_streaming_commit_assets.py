@@ -132,3 +132,31 @@ def test_job_lifecycle_commits_both_tables(spark, tmpdir_fresh):
     # a rejected batch still commits a version, but changes nothing
     v, out = commit_job_batch(cat, "fail", spark.createDataFrame([(1, "j1", "x")], "seq long, job_id string, error_msg string"), t2)
     assert not out.collect()[0].accepted and cat.read("jobs").first().status == "completed"
+
+
+def test_stream_equals_batch_files_landed_one_by_one(spark, tmpdir_fresh):
+    """progress_msgs at sf0.001 written as five event-ordered slices, one file per
+    micro-batch (maxFilesPerTrigger=1): the stream delivers exactly the batch result."""
+    from pyspark.sql import functions as F
+
+    from reelhouse.sources.fixtures import Fixtures
+    from .conftest import SF_SMALL
+    msgs = Fixtures(spark, SF_SMALL).progress_msgs.select("event_id", "channel", "payload")
+    bounds = msgs.agg(F.min("event_id"), F.max("event_id")).first()
+    lo, hi = int(bounds[0]), int(bounds[1])
+    step = (hi - lo) // 5 + 1
+    inp, out = f"{tmpdir_fresh}/in", f"{tmpdir_fresh}/out"
+    for i in range(5):
+        part = msgs.filter((F.col("event_id") >= lo + i * step) & (F.col("event_id") < lo + (i + 1) * step))
+        part.coalesce(1).write.json(f"{inp}/slice={i}")
+        os.utime(f"{inp}/slice={i}", None)
+    paths = sorted(os.path.join(dp, f) for dp, _, fs in os.walk(inp) for f in fs if f.endswith(".json"))
+    flat = f"{tmpdir_fresh}/flat"
+    os.makedirs(flat)
+    for i, pth in enumerate(paths):  # land the files one at a time, in event order
+        os.link(pth, f"{flat}/part-{i}.json")
+        os.utime(f"{flat}/part-{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    run_progress_stream(spark, flat, f"{out}/d", f"{out}/q", f"{out}/ck", max_files_per_trigger=1)
+    got = sorted((r.channel, r.event_id) for r in spark.read.parquet(f"{out}/d").collect())
+    batch = sorted((r.channel, r.event_id) for r in P.until_terminal(msgs).collect())
+    assert got == batch and len(batch) == 410
