@@ -48,86 +48,87 @@ class Machine:
         return sorted(set(self.writes.values()))
 
     def index(self, state: Column) -> Column:
+        """State name -> its index in ``states``."""
         out = None
-        for i, s in enumerate(self.states):
-            out = F.when(state == s, F.lit(i)) if out is None else out.when(state == s, F.lit(i))
-        return out
-
-    def name(self, idx: Column) -> Column:
-        return self._pick([F.lit(s) for s in self.states], idx)
-
-    @staticmethod
-    def _pick(values: list[Column], idx: Column) -> Column:
-        """values[idx] as a CASE over the few states (no array is built)."""
-        out = None
-        for i, v in enumerate(values):
-            out = F.when(idx == i, v) if out is None else out.when(idx == i, v)
+        for i, st in enumerate(self.states):
+            out = F.when(state == st, F.lit(i)) if out is None else out.when(state == st, F.lit(i))
         return out
 
+    # The expressions below are generated as Spark SQL text and parsed once (F.expr): the same
+    # Catalyst expressions as the Column API would build, without hundreds of Py4J calls.
     # A transition function is a struct of scalars, one group per start state s:
     #   n<s> next state, a<s> accepted (0/1, summed), e<s> rejection text, r_<reg>_<s> register write.
-    def _fields(self, n, a, e, regs) -> Column:
+    def _struct_sql(self, n: list[str], a: list[str], e: list[str], regs: dict[str, list[str]]) -> str:
         k = len(self.states)
-        cols = [n[s].alias(f"n{s}") for s in range(k)] + [a[s].alias(f"a{s}") for s in range(k)] + \
-               [e[s].alias(f"e{s}") for s in range(k)]
+        parts = [f"'n{s}', {n[s]}" for s in range(k)] + [f"'a{s}', {a[s]}" for s in range(k)] + \
+                [f"'e{s}', {e[s]}" for s in range(k)]
         for r in self.registers:
-            cols += [regs[r][s].alias(f"r_{r}_{s}") for s in range(k)]
-        return F.struct(*cols)
+            parts += [f"'r_{r}_{s}', {regs[r][s]}" for s in range(k)]
+        return "named_struct(" + ", ".join(parts) + ")"
 
-    # -- one command as a transition function
-    def element(self, cmd: Column, payload: dict[str, Column] | None = None) -> Column:
+    def element_sql(self, cmd: str, payload: dict[str, str] | None = None) -> str:
+        """One command (SQL expression ``cmd``) as a transition function."""
         payload = payload or {}
         k = len(self.states)
-        null_s = F.lit(None).cast("string")
-        n, a, e = [None] * k, [None] * k, [None] * k
-        regs = {r: [None] * k for r in self.registers}
-        for c, mv in self.moves.items():
-            cond = cmd == c
-            for i, st in enumerate(self.states):
+        n, a, e = [], [], []
+        regs: dict[str, list[str]] = {r: [] for r in self.registers}
+        for i, st in enumerate(self.states):
+            nw, aw, ew = [], [], []
+            rw: dict[str, list[str]] = {r: [] for r in self.registers}
+            for c, mv in self.moves.items():
                 ok = st in mv
-                nv = F.lit(self.states.index(mv[st]) if ok else i)
-                av = F.lit(1 if ok else 0).cast("long")
-                ev = null_s if ok else F.lit(self.errors[c])
-                n[i] = F.when(cond, nv) if n[i] is None else n[i].when(cond, nv)
-                a[i] = F.when(cond, av) if a[i] is None else a[i].when(cond, av)
-                e[i] = F.when(cond, ev) if e[i] is None else e[i].when(cond, ev)
-                for r in regs:
-                    rv = payload[r].cast("string") if (ok and self.writes.get(c) == r) else null_s
-                    regs[r][i] = F.when(cond, rv) if regs[r][i] is None else regs[r][i].when(cond, rv)
-        n = [n[i].otherwise(F.lit(i)) for i in range(k)]
-        a = [a[i].otherwise(F.lit(0).cast("long")) for i in range(k)]
-        e = [e[i].otherwise(F.lit(self.unknown_error)) for i in range(k)]
-        regs = {r: [v.otherwise(null_s) for v in vals] for r, vals in regs.items()}
-        return self._fields(n, a, e, regs)
-
-    def identity(self) -> Column:
-        k = len(self.states)
-        null_s = F.lit(None).cast("string")
-        return self._fields([F.lit(i) for i in range(k)], [F.lit(0).cast("long")] * k, [null_s] * k,
-                            {r: [null_s] * k for r in self.registers})
-
-    def compose(self, a: Column, b: Column) -> Column:
-        """a then b, pointwise over start states: (b . a)."""
+                nw.append(f"WHEN {_q(c)} THEN {self.states.index(mv[st]) if ok else i}")
+                aw.append(f"WHEN {_q(c)} THEN {1 if ok else 0}")
+                ew.append(f"WHEN {_q(c)} THEN " + ("CAST(NULL AS STRING)" if ok else _q(self.errors[c])))
+                for r in self.registers:
+                    val = f"CAST({payload[r]} AS STRING)" if (ok and self.writes.get(c) == r) else "CAST(NULL AS STRING)"
+                    rw[r].append(f"WHEN {_q(c)} THEN {val}")
+            n.append(f"CASE {cmd} {' '.join(nw)} ELSE {i} END")
+            a.append(f"CAST(CASE {cmd} {' '.join(aw)} ELSE 0 END AS BIGINT)")
+            e.append(f"CASE {cmd} {' '.join(ew)} ELSE {_q(self.unknown_error)} END")
+            for r in self.registers:
+                regs[r].append(f"CASE {cmd} {' '.join(rw[r])} ELSE CAST(NULL AS STRING) END")
+        assert len(n) == k
+        return self._struct_sql(n, a, e, regs)
+
+    def element(self, cmd: Column | str, payload: dict[str, str] | None = None) -> Column:
+        """Column form of ``element_sql``; ``cmd`` and payload values are column names."""
+        name = cmd if isinstance(cmd, str) else None
+        if name is None:
+            raise TypeError("pass the command column by name")
+        return F.expr(self.element_sql(f"`{name}`", {r: f"`{c}`" for r, c in (payload or {}).items()}))
+
+    def identity_sql(self) -> str:
         k = len(self.states)
+        null_s = "CAST(NULL AS STRING)"
+        return self._struct_sql([str(i) for i in range(k)], ["CAST(0 AS BIGINT)"] * k, [null_s] * k,
+                                {r: [null_s] * k for r in self.registers})
 
-        def col_of(x, prefix):
-            return [x[f"{prefix}{s}"] for s in range(k)]
+    @staticmethod
+    def _pick_sql(values: list[str], idx: str) -> str:
+        return f"CASE {idx} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
-        bn, ba, be = col_of(b, "n"), col_of(b, "a"), col_of(b, "e")
+    def compose_sql(self, a: str, b: str) -> str:
+        """a then b, pointwise over start states: (b . a); ``a`` and ``b`` are SQL expressions."""
+        k = len(self.states)
+        bn = [f"{b}.n{s}" for s in range(k)]
+        ba = [f"{b}.a{s}" for s in range(k)]
+        be = [f"{b}.e{s}" for s in range(k)]
         n, acc, err = [], [], []
-        regs = {r: [] for r in self.registers}
+        regs: dict[str, list[str]] = {r: [] for r in self.registers}
         for s in range(k):
-            mid = a[f"n{s}"]
-            n.append(self._pick(bn, mid))
-            acc.append(a[f"a{s}"] + self._pick(ba, mid))
-            err.append(F.coalesce(self._pick(be, mid), a[f"e{s}"]))
+            mid = f"{a}.n{s}"
+            n.append(self._pick_sql(bn, mid))
+            acc.append(f"{a}.a{s} + {self._pick_sql(ba, mid)}")
+            err.append(f"coalesce({self._pick_sql(be, mid)}, {a}.e{s})")
             for r in self.registers:
-                regs[r].append(F.coalesce(self._pick(col_of(b, f"r_{r}_"), mid), a[f"r_{r}_{s}"]))
-        return self._fields(n, acc, err, regs)
+                br = [f"{b}.r_{r}_{t}" for t in range(k)]
+                regs[r].append(f"coalesce({self._pick_sql(br, mid)}, {a}.r_{r}_{s})")
+        return self._struct_sql(n, acc, err, regs)
 
-    def at(self, t: Column, prefix: str, idx: Column) -> Column:
+    def at_sql(self, t: str, prefix: str, idx: str) -> str:
         """Field ``prefix`` of transition ``t`` for start state index ``idx``."""
-        return self._pick([t[f"{prefix}{s}"] for s in range(len(self.states))], idx)
+        return self._pick_sql([f"{t}.{prefix}{s}" for s in range(len(self.states))], idx)
 
     # -- replay
     def replay(self, cmds: DataFrame, key: str, seq: str, cmd: str, payload: dict[str, str] | None = None,
@@ -140,30 +141,36 @@ class Machine:
         ``initial`` are reported with found = false and no state.
         Output: key, found, status, n_commands, n_accepted, n_rejected, last_error, registers.
         """
-        pl = {r: F.col(c) for r, c in (payload or {}).items()}
-        elems = cmds.select(F.col(key), F.col(seq), self.element(F.col(cmd), pl).alias("_t"))
-        folded = ordered_fold(elems, [key], seq, "_t", self.compose, self.identity(), branching)
+        elems = cmds.select(F.col(key), F.col(seq), self.element(cmd, payload).alias("_t"))
+        folded = ordered_fold(elems, [key], seq, "_t", self.compose_sql, self.identity_sql(), branching)
         if initial is None:
             base = folded.select("*", F.lit(initial_state).alias("_s0"), F.lit(True).alias("found"))
-            reg0 = {r: F.lit(None).cast("string") for r in self.registers}
+            reg0 = {r: "CAST(NULL AS STRING)" for r in self.registers}
         else:
             init = initial.select(F.col(key), F.col("status").alias("_s0"),
                                   *[F.col(r).alias(f"_r0_{r}") for r in self.registers], F.lit(True).alias("found"))
             base = folded.join(init, key, "left")
-            reg0 = {r: F.col(f"_r0_{r}") for r in self.registers}
-        i0 = self.index(F.col("_s0"))
-        t = F.col("_t")
-        ok = F.coalesce(F.col("found"), F.lit(False))
-        nacc = F.when(ok, self.at(t, "a", i0)).otherwise(F.lit(0).cast("long"))
-        out = [F.col(key), ok.alias("found"),
-               F.when(ok, self.name(self.at(t, "n", i0))).alias("status"),
-               F.col("n").alias("n_commands"), nacc.alias("n_accepted"), (F.col("n") - nacc).alias("n_rejected"),
-               F.when(ok, self.at(t, "e", i0)).otherwise(F.lit(S.ERR_JOB_NOT_FOUND if initial is not None
-                                                               else None)).alias("last_error")]
-        out += [F.when(ok, F.coalesce(self.at(t, f"r_{r}_", i0), reg0[r])).alias(r) for r in self.registers]
+            reg0 = {r: f"_r0_{r}" for r in self.registers}
+        i0 = "CASE _s0 " + " ".join(f"WHEN {_q(st)} THEN {i}" for i, st in enumerate(self.states)) + " END"
+        ok = "coalesce(found, false)"
+        nacc = f"CASE WHEN {ok} THEN {self.at_sql('_t', 'a', i0)} ELSE CAST(0 AS BIGINT) END"
+        names = "array(" + ", ".join(_q(st) for st in self.states) + ")"
+        missing = _q(S.ERR_JOB_NOT_FOUND) if initial is not None else "CAST(NULL AS STRING)"
+        out = [F.col(key), F.expr(ok).alias("found"),
+               F.expr(f"CASE WHEN {ok} THEN element_at({names}, {self.at_sql('_t', 'n', i0)} + 1) END").alias("status"),
+               F.col("n").alias("n_commands"), F.expr(nacc).alias("n_accepted"),
+               F.expr(f"n - ({nacc})").alias("n_rejected"),
+               F.expr(f"CASE WHEN {ok} THEN {self.at_sql('_t', 'e', i0)} ELSE {missing} END").alias("last_error")]
+        out += [F.expr(f"CASE WHEN {ok} THEN coalesce({self.at_sql('_t', f'r_{r}_', i0)}, {reg0[r]}) END").alias(r)
+                for r in self.registers]
         return base.select(*out)
 
 
+def _q(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 # FIXED VALUES: the two machines' legal moves (from the domain rules).
 VIDEO_MACHINE = Machine(
     states=S.VIDEO_STATUSES,

@@ -31,7 +31,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false"))
+          .config("spark.ui.showConsoleProgress", "false")
+          # no Python call-site capture on every Column call: driver-side only, saves a
+          # session lookup per DataFrame / Column operation while building plans
+          .config("spark.python.sql.dataFrameDebugging.enabled",
+                  os.environ.get("REELHOUSE_DATAFRAME_DEBUGGING", "false")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -338,21 +338,30 @@ def _rename(sql: str, names: dict[str, str]) -> str:
 
 def register(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Register ``name`` (and what it depends on) as temp views named per data directory, so
-    two scale factors can live in one session. Returns the view's session name. Views keep
-    plans free of CTE nodes, so a persisted fixture-derived frame is matched by the cache
-    when it is reused inside a larger plan."""
+    two scale factors can live in one session. Returns the view's session name.
+
+    Views are registered from analyzed DataFrames, so a reference does not list files or
+    read parquet footers again, and plans stay free of CTE nodes, so a persisted
+    fixture-derived frame is matched by the cache when it is reused inside a larger plan."""
     uname = f"{name}__{_tag(spark, sf_dir)}"
-    if spark.catalog.tableExists(uname):
+    if uname in _REGISTERED.get(id(spark), set()) and spark.catalog.tableExists(uname):
         return uname
     if name in BASE_TABLES:
-        body = base_scan_sql(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        df = spark.read.parquet(path)
+        if needs_spread(spark, path):
+            df = df.repartition(spark.sparkContext.defaultParallelism)
     else:
         deps = {d: register(spark, sf_dir, d) for d in DEPS[name]}
-        body = _rename(_SPARK_OVERRIDES.get(name, VIEWS[name]), deps)
-    spark.sql(f"CREATE OR REPLACE TEMP VIEW {uname} AS {body}")
+        df = spark.sql(_rename(_SPARK_OVERRIDES.get(name, VIEWS[name]), deps))
+    df.createOrReplaceTempView(uname)
+    _REGISTERED.setdefault(id(spark), set()).add(uname)
     return uname
 
 
+_REGISTERED: dict[int, set[str]] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view as a DataFrame over the parquet files in ``sf_dir``."""
     return spark.table(register(spark, sf_dir, name))
