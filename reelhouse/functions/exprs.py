@@ -53,6 +53,18 @@ def percentage(current: str | Column, total: str | Column) -> Column:
     return F.when(q.isNotNull(), F.least(q, F.lit(100).cast("bigint")))  # least() would skip a NULL
 
 
+def basename(path: str | Column) -> Column:
+    """Last element of a '/'-separated path (the manifest name a worker reports)."""
+    return F.element_at(F.split(col(path), "/"), -1)
+
+
+def relative_to(path: str | Column, base: str) -> Column:
+    """``path`` relative to ``base`` (NULL when it is not below base)."""
+    b = base.rstrip("/") + "/"
+    p = col(path)
+    return F.when(p.startswith(b), F.substring(p, len(b) + 1, 1 << 30))
+
+
 def channel_of(job_id: str | Column) -> Column:
     """Progress channel of a job: video:<job_id>:progress."""
     return F.concat(F.lit("video:"), col(job_id), F.lit(":progress"))

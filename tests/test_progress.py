@@ -1,5 +1,7 @@
 """Progress text, probes, messages and delivery: the service's transcoder / streamer cases."""
 
+from pyspark.sql import functions as F
+
 from reelhouse.operators import progress as P
 
 
@@ -92,3 +94,14 @@ def test_until_terminal_and_isolation(spark):
     st = {r.job_id: r for r in P.progress_state(m).collect()}
     assert st["A"].status == "end" and st["A"].n_rejected == 1 and st["A"].last_event_id == 2
     assert st["B"].status == "continue" and st["B"].current_frames == 42
+
+
+def test_progress_order_percentages(spark):
+    ev = P.progress_events(_lines(spark, "j", "frame=25\nframe=50\nframe=75\nframe=100\n"),
+                           _probes(spark, "j", OBJ % "100"))
+    got = [r.percentage for r in ev.filter("status = 'continue'").orderBy("seq").collect()]
+    assert got == [25, 50, 75, 100]
+    # published payloads decode back to the same progress (S3 -> S2 round trip)
+    msgs = ev.select(F.col("seq").alias("event_id"), "channel", "payload")
+    back = [(r.current_frames, r.status) for r in P.until_terminal(msgs).orderBy("event_id").collect()]
+    assert back == [(25, "continue"), (50, "continue"), (75, "continue"), (100, "continue"), (100, "end")]

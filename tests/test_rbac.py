@@ -79,3 +79,21 @@ def test_sync_permissions(spark):
     again = R.sync_permissions(perms, req)
     assert sorted(once.select("id", "slug").collect()) == sorted(again.select("id", "slug").collect())
     assert once.select(F.countDistinct("id")).first()[0] == 2
+
+
+def test_sync_same_slug_twice_in_one_list(spark):
+    perms = spark.createDataFrame([], "id string, slug string")
+    req = spark.createDataFrame([("video:upload",), ("video:upload",)], "slug string")
+    assert R.sync_permissions(perms, req).count() == 1
+
+
+def test_assigned_role_permission_visible(spark):
+    roles = spark.createDataFrame([("r-c", "creator")], "id string, name string")
+    perms = spark.createDataFrame([("p1", "video:upload")], "id string, slug string")
+    rp = spark.createDataFrame([("r-c", "p1")], "role_id string, permission_id string")
+    users = spark.createDataFrame([("u1",)], "id string")
+    ur = spark.createDataFrame([], "user_id string, role_id string")
+    req = spark.createDataFrame([(1, "u1", "creator")], "req_id long, user_id string, role_name string")
+    new_ur = R.apply_role_assignments(ur, R.assign_roles(req, users, roles, ur))
+    got = [(r.user_id, r.slug) for r in R.permissions_by_user(new_ur, rp, perms).collect()]
+    assert got == [("u1", "video:upload")]

@@ -160,3 +160,17 @@ def test_stream_equals_batch_files_landed_one_by_one(spark, tmpdir_fresh):
     got = sorted((r.channel, r.event_id) for r in spark.read.parquet(f"{out}/d").collect())
     batch = sorted((r.channel, r.event_id) for r in P.until_terminal(msgs).collect())
     assert got == batch and len(batch) == 410
+
+
+def test_worker_output_files(spark, tmpdir_fresh):
+    """manifest.m3u8 and seg1.ts saved under res-1: both catalogued; the job result is the
+    manifest's base name."""
+    from reelhouse.functions.exprs import basename, relative_to
+    base = f"{tmpdir_fresh}/storage"
+    _write(f"{base}/res-1/manifest.m3u8", "m")
+    _write(f"{base}/res-1/seg1.ts", "s")
+    assert sorted(r.asset_path for r in asset_catalog(spark, base).collect()) == ["manifest.m3u8", "seg1.ts"]
+    out = spark.createDataFrame([("/tmp/out-123/manifest.m3u8",)], "manifest_path string")
+    r = out.select(basename("manifest_path").alias("b"), relative_to("manifest_path", "/tmp/out-123").alias("rel")).first()
+    assert (r.b, r.rel) == ("manifest.m3u8", "manifest.m3u8")
+    assert out.select(relative_to("manifest_path", "/elsewhere")).first()[0] is None
