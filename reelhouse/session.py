@@ -89,7 +89,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 def checkpoint_cut(df: DataFrame) -> DataFrame:
-    """Cut a long lineage with a reliable checkpoint in the shared checkpoint folder.
-    Reliable (not local) so a lost executor does not lose the materialised data."""
+    """Materialise ``df`` with a reliable checkpoint in the shared checkpoint folder and cut
+    its lineage (used for the static side of stream-static joins, which would otherwise be
+    recomputed in every micro-batch). Reliable, not local, so a lost executor does not lose
+    the materialised data."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -30,6 +30,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import schemas as S
 from ..functions.exprs import job_of_channel
 from ..operators.progress import decode_messages, event_json
+from ..session import checkpoint_cut
 
 MSG_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("channel", T.StringType()),
                            T.StructField("payload", T.StringType())])
@@ -90,7 +91,9 @@ def run_progress_stream(spark: SparkSession, in_path: str, out_path: str, quaran
     msgs = read_messages(spark, in_path, max_files_per_trigger)
     delivered = deliver(msgs).withColumn("job_id", job_of_channel("channel"))
     if latest_jobs is not None:
-        delivered = progress_for_video(delivered, latest_jobs)
+        # the static side of a stream-static join is re-evaluated in every micro-batch:
+        # materialise it once (reliable checkpoint in the shared checkpoint folder)
+        delivered = progress_for_video(delivered, checkpoint_cut(latest_jobs.select("id", "video_id")))
     q = (delivered.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint + "/delivered").outputMode("append")
          .trigger(availableNow=True).start())
@@ -168,7 +171,8 @@ def run_events_stream(spark: SparkSession, in_path: str, totals: DataFrame, out_
     r = spark.readStream.schema(LINE_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = text_to_events(r.json(in_path), totals)
+    # probe totals: materialised once, not re-parsed in every micro-batch
+    ev = text_to_events(r.json(in_path), checkpoint_cut(totals.select("job_id", "total_frames")))
     pub = ev.select("*", F.concat(F.lit("video:"), F.col("job_id"), F.lit(":progress")).alias("channel"),
                     event_json("total_frames", "current_frames", "status", "percentage").alias("payload"))
     q = (pub.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
