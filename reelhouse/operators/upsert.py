@@ -12,8 +12,10 @@ the first save inserts every column, later saves only overwrite the mutable ones
 Scale notes
 - The collapse is an aggregate (min_by / max_by on seq) with map-side combine, so a key
   changed a billion times shrinks to one row per task before the shuffle.
-- The full outer join shuffles both sides on the key once. For a bucketed target
-  (``bucketBy(n, key)``) Spark skips the target-side shuffle; AQE splits skewed partitions.
+- A change set proven small is broadcast: the target is only scanned (a left join for
+  updates / kept rows, a key-only semi join to find which change keys exist), never
+  shuffled. A large change set falls back to one full outer join shuffling both sides on
+  the key (a target bucketed by the key skips its side of that shuffle; AQE splits skew).
 """
 
 from __future__ import annotations
@@ -46,15 +48,30 @@ def collapse_changes(changes: DataFrame, key: list[str], immutable: list[str], m
 
 
 def keyed_upsert(target: DataFrame, changes: DataFrame, key: list[str], immutable: list[str],
-                 mutable: list[str], seq: str = "seq") -> DataFrame:
+                 mutable: list[str], seq: str = "seq", max_broadcast_rows: int = 200_000) -> DataFrame:
     """The next version of ``target`` after applying ``changes``, with an ``action`` column
-    (insert / update / keep) and ``rows_affected`` (A3: 1 for insert or update)."""
+    (insert / update / keep) and ``rows_affected`` (A3: 1 for insert or update).
+
+    When the collapsed change set is proven small (at most ``max_broadcast_rows`` keys) the
+    target is never shuffled: it is left-joined to the broadcast changes (updates and kept
+    rows), the change keys already present are found by a key-only scan of the target
+    (broadcast semi join), and the remaining changes are appended as inserts. Otherwise both
+    sides are shuffled once for a full outer join."""
+    from ..session import bounded_broadcast
     cols = key + immutable + mutable
     c = collapse_changes(changes, key, immutable, mutable, seq)
+    c = c.select(*key, *[F.col(x).alias(f"_c_{x}") for x in immutable + mutable], F.lit(True).alias("_in_c"))
+    cb = bounded_broadcast(c, max_broadcast_rows)
+    proven_small = cb is not c
     t = target.select(*key, *[F.col(x).alias(f"_t_{x}") for x in immutable + mutable],
                       F.lit(True).alias("_in_t"))
-    c = c.select(*key, *[F.col(x).alias(f"_c_{x}") for x in immutable + mutable], F.lit(True).alias("_in_c"))
-    j = t.join(c, key, "full_outer")
+    if proven_small:
+        present = target.select(*key).join(cb.select(*key), key, "left_semi")  # key-only scan, no shuffle
+        inserts = cb.join(F.broadcast(present), key, "left_anti")  # present has at most |changes| keys
+        j = t.join(cb, key, "left").unionByName(inserts.select("*", F.lit(None).cast("boolean").alias("_in_t")),
+                                               allowMissingColumns=True)
+    else:
+        j = t.join(c, key, "full_outer")
     in_t = F.coalesce(F.col("_in_t"), F.lit(False))
     in_c = F.coalesce(F.col("_in_c"), F.lit(False))
     out = [F.col(k) for k in key]

@@ -60,3 +60,23 @@ def test_partial_update(spark):
     applied = {r.id: r for r in U.apply_patches(videos, U.patch_videos(videos, patches), T1).collect()}
     assert applied["vid-1"].title == "New Title" and applied["vid-1"].updated_at == T1
     assert applied["vid-2"].updated_at == T0
+
+
+def test_broadcast_and_shuffle_paths_agree(spark):
+    target = spark.range(200).selectExpr(
+        "concat('job-', id) AS id", "'v' AS video_id", "'transcode' AS type", "'pending' AS status",
+        "'' AS result", "'' AS error_msg", "TIMESTAMP '2024-01-01 00:00:00' AS created_at",
+        "TIMESTAMP '2024-01-01 00:00:00' AS updated_at")
+    changes = spark.range(300).selectExpr(
+        "id AS seq", "concat('job-', id % 250) AS id", "'v2' AS video_id", "'transcode' AS type",
+        "CASE WHEN id % 2 = 0 THEN 'running' ELSE 'failed' END AS status", "'' AS result", "'x' AS error_msg",
+        "TIMESTAMP '2024-02-01 00:00:00' AS created_at", "TIMESTAMP '2024-02-01 00:00:00' AS updated_at")
+    small = U.keyed_upsert(target, changes, ["id"], U.JOB_IMMUTABLE, U.JOB_MUTABLE)
+    big = U.keyed_upsert(target, changes, ["id"], U.JOB_IMMUTABLE, U.JOB_MUTABLE, max_broadcast_rows=10)
+    assert sorted(small.collect()) == sorted(big.collect())
+    assert small.count() == 250 and small.filter("action = 'insert'").count() == 50
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    # the only shuffles collapse the change set; the target side is joined by broadcast
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" in big._jdf.queryExecution().executedPlan().toString() or \
+        "ShuffledHashJoin" in big._jdf.queryExecution().executedPlan().toString()
