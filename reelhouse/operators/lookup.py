@@ -73,10 +73,11 @@ def videos_without_job(videos: DataFrame, jobs: DataFrame) -> DataFrame:
 def lookup_videos(keys: DataFrame, videos: DataFrame, key_col: str = "id") -> DataFrame:
     """F1 batch form: every requested key with the video's columns and a ``found`` flag
     (not found is the service's error case)."""
-    v = videos.select(*[F.col(c).alias(f"v_{c}") if c == "id" else F.col(c) for c in VIDEO_COLS])
+    from .joins import request_left_join
+    v = videos.select(*VIDEO_COLS, F.lit(True).alias("_found"))
     k = keys.select(F.col(key_col).alias("id")).distinct()
-    out = k.join(v, k["id"] == v["v_id"], "left")
-    return out.select("id", (F.col("v_id").isNotNull()).alias("found"),
+    out = request_left_join(k, v, "id")  # a small key batch only scans the table
+    return out.select("id", F.coalesce("_found", F.lit(False)).alias("found"),
                       *[c for c in VIDEO_COLS if c != "id"])
 
 

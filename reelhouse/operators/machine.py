@@ -29,6 +29,7 @@ from .. import schemas as S
 from ..functions.exprs import blank, first_error
 from ..session import bounded_broadcast
 from .fold import ordered_fold
+from .joins import request_left_join
 from .integrity import user_error, video_error
 
 
@@ -301,7 +302,7 @@ def fail_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataFrame
 def archive_videos(requests: DataFrame, videos: DataFrame, key: str = "id") -> DataFrame:
     """Find (F1) then archive (X5); one request per video id (distinct)."""
     v = videos.select(F.col("id").alias(key), F.col("status").alias("_status"), F.lit(True).alias("_found"))
-    r = requests.select(key).distinct().join(v, key, "left")
+    r = request_left_join(requests.select(key).distinct(), v, key)
     err = first_error((F.col("_found").isNull(), S.ERR_VIDEO_NOT_FOUND),
                       (F.col("_status") != S.VIDEO_PUBLISHED, S.ERR_VIDEO_CANNOT_ARCHIVE))
     return r.select(F.col(key).alias("id"), err.isNull().alias("accepted"), err.alias("error"),
@@ -311,7 +312,7 @@ def archive_videos(requests: DataFrame, videos: DataFrame, key: str = "id") -> D
 def set_duration(requests: DataFrame, videos: DataFrame) -> DataFrame:
     """X7 on (id, duration): rejected if the current duration is not 0, then if negative."""
     v = videos.select("id", F.col("duration").alias("_cur"), F.lit(True).alias("_found"))
-    r = requests.select("id", "duration").join(v, "id", "left")
+    r = request_left_join(requests.select("id", "duration"), v, "id")
     err = first_error((F.col("_found").isNull(), S.ERR_VIDEO_NOT_FOUND),
                       (F.col("_cur") != 0, S.ERR_DURATION_SET),
                       (F.col("duration") < 0, S.ERR_DURATION_NEGATIVE))

@@ -104,8 +104,9 @@ def patch_videos(videos: DataFrame, patches: DataFrame, now=None) -> DataFrame:
     with the outcome and the resulting title / description."""
     v = videos.select("id", F.col("title").alias("_old_title"), F.col("description").alias("_old_desc"),
                       F.lit(True).alias("_found"))
+    from .joins import request_left_join
     p = patches.select("id", F.col("title").alias("_new_title"), F.col("description").alias("_new_desc"))
-    j = p.join(v, "id", "left")
+    j = request_left_join(p, v, "id")
     err = first_error(
         (F.col("_found").isNull(), S.ERR_VIDEO_NOT_FOUND),
         (F.col("_new_title") == "", S.ERR_TITLE_EMPTY),

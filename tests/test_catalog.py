@@ -72,3 +72,15 @@ def test_page_rules(spark):
     assert len(p1) == 10 and len(p2) == 5 and not set(p1) & set(p2)
     with pytest.raises(ValueError):
         L.published_page(videos, 0)
+
+
+def test_request_left_join_paths(spark):
+    from reelhouse.operators.joins import request_left_join
+    table = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "k string, v long")
+    req = spark.createDataFrame([("a", "x"), ("b", "y"), ("z", "w"), ("z", "u")], "k string, r string")
+    plain = sorted(req.join(table, "k", "left").select("k", "r", "v").collect())
+    small = request_left_join(req, table, "k")
+    assert sorted(small.select("k", "r", "v").collect()) == plain
+    assert "SortMergeJoin" not in small._jdf.queryExecution().executedPlan().toString()
+    big = request_left_join(req, table, "k", max_rows=1)
+    assert sorted(big.select("k", "r", "v").collect()) == plain
