@@ -33,3 +33,19 @@ def request_left_join(requests: DataFrame, table: DataFrame, on: list[str] | str
     return matched.select(*keys, *[c for c in requests.columns if c not in keys],
                           *[c for c in table.columns if c not in keys]) \
         .unionByName(missing, allowMissingColumns=True)
+
+
+def with_exists_flag(requests: DataFrame, table: DataFrame, keys: list[str] | str, flag: str,
+                     max_rows: int = REQUEST_LIMIT) -> DataFrame:
+    """``requests`` plus ``flag`` = true when ``table`` holds the key (NULL otherwise), as a
+    left join would give. A small batch's keys are broadcast and the table is only scanned
+    (semi join); otherwise the table's distinct keys are shuffled once."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    req_keys = requests.select(*keys).distinct()
+    rk = bounded_broadcast(req_keys, max_rows)
+    if rk is not req_keys:
+        hit = F.broadcast(table.select(*keys).join(rk, keys, "left_semi").distinct()
+                          .withColumn(flag, F.lit(True)))  # at most the batch's distinct keys
+    else:
+        hit = table.select(*keys).distinct().withColumn(flag, F.lit(True))
+    return requests.join(hit, keys, "left")

@@ -29,7 +29,7 @@ from .. import schemas as S
 from ..functions.exprs import blank, first_error
 from ..session import bounded_broadcast
 from .fold import ordered_fold
-from .joins import request_left_join
+from .joins import request_left_join, with_exists_flag
 from .integrity import user_error, video_error
 
 
@@ -221,7 +221,7 @@ def start_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataFram
     j = jobs.select(F.col("id").alias("job_id"), "video_id", F.col("status").alias("job_status"))
     v = videos.select(F.col("id").alias("video_id"), F.col("status").alias("video_status"), "resource_id",
                       F.col("filename").alias("source_filename"), F.lit(True).alias("_vfound"))
-    b = batch.select("job_id", "seq").join(j, "job_id", "left").join(v, "video_id", "left")
+    b = request_left_join(request_left_join(batch.select("job_id", "seq"), j, "job_id"), v, "video_id")
     job_ok = F.col("job_status").isin(S.JOB_PENDING, S.JOB_FAILED)
     found = F.coalesce(F.col("_vfound"), F.lit(False))
     eligible = F.coalesce(job_ok, F.lit(False)) & found & F.col("video_status").isin(S.VIDEO_PENDING, S.VIDEO_FAILED)
@@ -248,7 +248,8 @@ def complete_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataF
     j = jobs.select(F.col("id").alias("job_id"), "video_id", F.col("status").alias("job_status"))
     v = videos.select(F.col("id").alias("video_id"), F.col("status").alias("video_status"),
                       F.col("duration").alias("video_duration"), F.lit(True).alias("_vfound"))
-    b = batch.select("seq", "job_id", "result", "duration").join(j, "job_id", "left").join(v, "video_id", "left")
+    b = request_left_join(request_left_join(batch.select("seq", "job_id", "result", "duration"), j, "job_id"),
+                          v, "video_id")
     job_ok = F.coalesce(F.col("job_status") == S.JOB_RUNNING, F.lit(False))
     found = F.coalesce(F.col("_vfound"), F.lit(False))
     eligible = job_ok & found & (F.col("video_duration") == 0) & (F.col("duration") >= 0) & \
@@ -280,7 +281,7 @@ def fail_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataFrame
     processing -> failed (X4)."""
     j = jobs.select(F.col("id").alias("job_id"), "video_id", F.col("status").alias("job_status"))
     v = videos.select(F.col("id").alias("video_id"), F.col("status").alias("video_status"), F.lit(True).alias("_vfound"))
-    b = batch.select("seq", "job_id", "error_msg").join(j, "job_id", "left").join(v, "video_id", "left")
+    b = request_left_join(request_left_join(batch.select("seq", "job_id", "error_msg"), j, "job_id"), v, "video_id")
     job_ok = F.coalesce(F.col("job_status") == S.JOB_RUNNING, F.lit(False))
     found = F.coalesce(F.col("_vfound"), F.lit(False))
     eligible = job_ok & found & (F.col("video_status") == S.VIDEO_PROCESSING)
@@ -362,9 +363,7 @@ def signup_batch(signups: DataFrame, users: DataFrame, roles: DataFrame, role_sl
     expiry now + 15 min, refresh expiry now + 7 days."""
     r = bounded_broadcast(roles.select(F.col("name").alias("role_name"), F.lit(True).alias("_role_ok")), 1_000_000)
     s = signups.join(r, "role_name", "left")
-    taken_e = users.select(F.col("email"), F.lit(True).alias("_email_taken")).distinct()
-    taken_u = users.select(F.col("username"), F.lit(True).alias("_name_taken")).distinct()
-    s = s.join(taken_e, "email", "left").join(taken_u, "username", "left")
+    s = with_exists_flag(with_exists_flag(s, users, "email", "_email_taken"), users, "username", "_name_taken")
     first_e = s.groupBy("email").agg(F.min("user_id").alias("_fe"))
     first_u = s.groupBy("username").agg(F.min("user_id").alias("_fu"))
     s = s.join(first_e, "email", "left").join(first_u, "username", "left")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import has_permission
 from ..session import bounded_broadcast
+from .joins import request_left_join, with_exists_flag
 
 DIM_LIMIT = 1_000_000
 
@@ -73,7 +74,7 @@ def lookup_users_by_key(keys: DataFrame, users: DataFrame, key_id: str = "key_id
                         F.explode(F.array_distinct(F.array(F.lower("email"), F.lower("username")))).alias("lkey"))
     k = keys.select(F.col(key_id).alias("key_id"), F.col(login).alias("login"),
                     F.lower(F.col(login)).alias("lkey"))
-    m = k.join(cand, "lkey", "left")
+    m = request_left_join(k, cand, "lkey")  # a small key batch only scans the users
     return (m.groupBy("key_id", "login")
              .agg(F.count("user_id").alias("n_matches"), F.min("user_id").alias("user_id"))
              .select("key_id", "login", (F.col("n_matches") > 0).alias("found"), "user_id", "n_matches",
@@ -103,9 +104,8 @@ def assign_roles(requests: DataFrame, users: DataFrame, roles: DataFrame, user_r
     """
     r = bounded_broadcast(roles.select(F.col("name").alias("role_name"), F.col("id").alias("role_id")), DIM_LIMIT)
     q = requests.select(F.col(req_id).alias("req_id"), "user_id", "role_name").join(r, "role_name", "left")
-    known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_user_ok")).distinct()
-    have = user_roles.select("user_id", "role_id", F.lit(True).alias("_pair_exists")).distinct()
-    q = q.join(known, "user_id", "left").join(have, ["user_id", "role_id"], "left")
+    q = with_exists_flag(q, users.select(F.col("id").alias("user_id")), "user_id", "_user_ok")
+    q = with_exists_flag(q, user_roles, ["user_id", "role_id"], "_pair_exists")
     cand = q.filter(F.col("role_id").isNotNull() & F.col("_user_ok") & F.col("_pair_exists").isNull())
     first = cand.groupBy("user_id", "role_id").agg(F.min("req_id").alias("req_id")) \
         .select("req_id", F.lit(True).alias("_first"))
