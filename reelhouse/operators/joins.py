@@ -49,3 +49,16 @@ def with_exists_flag(requests: DataFrame, table: DataFrame, keys: list[str] | st
     else:
         hit = table.select(*keys).distinct().withColumn(flag, F.lit(True))
     return requests.join(hit, keys, "left")
+
+
+SUMMARY_LIMIT = 200_000  # ~10 MB of (key, value) rows: the size Spark broadcasts by default
+
+
+def join_back(rows: DataFrame, summary: DataFrame, keys: list[str] | str, how: str = "left",
+              max_rows: int = SUMMARY_LIMIT) -> DataFrame:
+    """Attach a per-key summary (one row per key, e.g. a channel's first terminal position)
+    to the rows it was computed from. A summary proven small is broadcast, so the rows are
+    not shuffled; otherwise both sides are shuffled on the key (AQE splits a hot key's
+    partition)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return rows.join(bounded_broadcast(summary, max_rows), keys, how)

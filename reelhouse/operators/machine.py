@@ -29,7 +29,7 @@ from .. import schemas as S
 from ..functions.exprs import blank, first_error
 from ..session import bounded_broadcast
 from .fold import ordered_fold
-from .joins import request_left_join, with_exists_flag
+from .joins import join_back, request_left_join, with_exists_flag
 from .integrity import user_error, video_error
 
 
@@ -203,7 +203,7 @@ def _first_per_key(df: DataFrame, key: str, order: list[str], eligible: Column)
     """Flag ``_winner`` on the first eligible row per key (order by ``order``)."""
     cand = df.filter(eligible).groupBy(key).agg(F.min(F.struct(*order)).alias("_w"))
     cand = cand.select(key, *[F.col(f"_w.{c}").alias(f"_w_{c}") for c in order])
-    j = df.join(cand, key, "left")
+    j = join_back(df, cand, key, "left")
     same = None
     for c in order:
         e = F.col(c) == F.col(f"_w_{c}")
@@ -256,7 +256,7 @@ def complete_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataF
         (F.col("video_status") == S.VIDEO_PROCESSING)
     b = _first_per_key(b, "video_id", ["seq", "job_id"], eligible)
     w = b.filter("_winner").select("video_id", F.col("duration").alias("_wdur"))
-    b = b.join(w, "video_id", "left")
+    b = join_back(b, w, "video_id", "left")
     after = F.col("_after_winner")
     vdur = F.when(after, F.col("_wdur")).otherwise(F.col("video_duration"))
     vstat = F.when(after, F.lit(S.VIDEO_PUBLISHED)).otherwise(F.col("video_status"))

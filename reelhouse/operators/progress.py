@@ -7,8 +7,9 @@ Scale notes
 - Everything is per-row expressions plus per-job aggregates; the "first terminal event of a
   channel" and "last frame of a job" are aggregates (map-side combined) joined back on the
   job / channel key, so one job with a third of all messages never lands in one task whole.
-- Probe totals are one row per job; they are joined, not broadcast, because their count
-  grows with the number of jobs.
+- Per-job / per-channel summaries (probe totals, last frame, first terminal position) are
+  joined back with ``joins.join_back``: broadcast when a bounded count proves them small
+  (jobs in flight are far fewer than messages), else a shuffle join on the key.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.exprs import channel_of, job_of_channel, parse_float64, parse_int64, percentage, seconds_to_ns
+from .joins import join_back
 
 FRAME_PREFIX = "frame="
 EVENT_JSON_FIELDS = ["TotalFrames", "CurrentFrames", "Status", "Percentage"]
@@ -61,7 +63,7 @@ def frame_percentages(frames: DataFrame, probes: DataFrame, key: str = "job_id")
     percentage = min(frame*100 / total, 100), truncating division, no lower bound."""
     tot = probes.filter(F.col("ok") & (F.col("total_frames") != 0)).select(key, "total_frames")
     f = frames.filter(F.col("outcome") == "frame").select(key, "event_id", "frame")
-    return f.join(tot, key).select(key, "event_id", F.col("frame").alias("current_frames"), "total_frames",
+    return join_back(f, tot, key, "inner").select(key, "event_id", F.col("frame").alias("current_frames"), "total_frames",
                                    percentage("frame", "total_frames").alias("percentage"))
 
 
@@ -86,7 +88,8 @@ def progress_events(lines: DataFrame, probes: DataFrame, key: str = "job_id",
     cont = cont.select(key, F.col("event_id").alias("seq"), F.lit(S.PROGRESS_CONTINUE).alias("status"),
                        "total_frames", "current_frames", "percentage")
     last = cont.groupBy(key).agg(F.max_by(F.struct("current_frames", "percentage"), "seq").alias("_l"))
-    ends = parsed.groupBy(key).agg((F.max("event_id") + 1).alias("seq")).join(tot, key).join(last, key, "left")
+    ends = join_back(join_back(parsed.groupBy(key).agg((F.max("event_id") + 1).alias("seq")), tot, key, "inner"),
+                     last, key, "left")
     if failed_reads is not None:
         ends = ends.join(failed_reads.select(key, F.lit(True).alias("_read_failed")).distinct(), key, "left")
         terminal = F.when(F.col("_read_failed"), F.lit(S.PROGRESS_ERROR)).otherwise(F.lit(S.PROGRESS_END))
@@ -127,7 +130,7 @@ def until_terminal(msgs: DataFrame, channel: str = "channel", seq: str = "event_
     d = decode_messages(msgs).filter(~F.col("malformed"))
     term = F.col("status").isin(*S.PROGRESS_TERMINAL)
     stops = d.groupBy(channel).agg(F.min(F.when(term, F.col(seq))).alias("_stop"))
-    kept = d.join(stops, channel).filter(F.col("_stop").isNull() | (F.col(seq) <= F.col("_stop")))
+    kept = join_back(d, stops, channel, "inner").filter(F.col("_stop").isNull() | (F.col(seq) <= F.col("_stop")))
     return kept.select(channel, job_of_channel(F.col(channel)).alias("job_id"), seq,
                        "total_frames", "current_frames", "status", "percentage")
 
@@ -139,7 +142,7 @@ def progress_state(msgs: DataFrame, channel: str = "channel", seq: str = "event_
     d = decode_messages(msgs).filter(~F.col("malformed"))
     term = F.col("status").isin(*S.PROGRESS_TERMINAL)
     stops = d.groupBy(channel).agg(F.min(F.when(term, F.col(seq))).alias("_stop"))
-    j = d.join(stops, channel)
+    j = join_back(d, stops, channel, "inner")
     applied = F.col("_stop").isNull() | (F.col(seq) <= F.col("_stop"))
     last = F.max_by(F.struct("status", "total_frames", "current_frames", "percentage", F.col(seq).alias("seq")),
                     F.when(applied, F.col(seq)))
