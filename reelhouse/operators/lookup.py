@@ -104,6 +104,20 @@ def published_page(videos: DataFrame, page: int, page_size: int = S.PAGE_SIZE) -
             .offset((page - 1) * page_size).limit(page_size))
 
 
+def published_page_after(videos: DataFrame, after: tuple | None = None,
+                         page_size: int = S.PAGE_SIZE) -> DataFrame:
+    """T3 for deep pages: the page that follows the row ``after`` = (created_at, id) of the
+    previous page's last row (None: the first page). Same rows as ``published_page`` for the
+    matching page number, but each task keeps only ``page_size`` rows at any depth (offset
+    paging keeps offset + page_size), and the seek predicate reaches the scan."""
+    pub = published(videos).select(*VIDEO_COLS)
+    if after is not None:
+        ts, key = after
+        ts = F.lit(ts).cast("timestamp")
+        pub = pub.filter((F.col("created_at") > ts) | ((F.col("created_at") == ts) & (F.col("id") > F.lit(key))))
+    return pub.orderBy(F.col("created_at").asc(), F.col("id").asc()).limit(page_size)
+
+
 def status_flags(df: DataFrame, kind: str) -> DataFrame:
     """the status predicates as boolean columns (kind = 'video' or 'job')."""
     from ..functions.exprs import job_status_flags, video_status_flags

@@ -84,3 +84,15 @@ def test_request_left_join_paths(spark):
     assert "SortMergeJoin" not in small._jdf.queryExecution().executedPlan().toString()
     big = request_left_join(req, table, "k", max_rows=1)
     assert sorted(big.select("k", "r", "v").collect()) == plain
+
+
+def test_keyset_pages_equal_offset_pages(spark):
+    videos = videos_df(spark, [(f"vid-{i:02d}", "published" if i % 3 else "pending", 0,
+                                NOW + dt.timedelta(minutes=i // 2)) for i in range(60)])
+    after = None
+    for page in range(1, 6):
+        by_offset = [r.id for r in L.published_page(videos, page).collect()]
+        rows = L.published_page_after(videos, after).collect()
+        assert [r.id for r in rows] == by_offset
+        if rows:
+            after = (rows[-1].created_at, rows[-1].id)
