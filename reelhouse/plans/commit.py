@@ -3,14 +3,16 @@ table format.
 
 Layout under one root folder (a shared path, e.g. below spark.checkpoint.dir):
 
-    <root>/v=<n>/<table>/part-*.parquet      data written by version n
-    <root>/_commits/part-*.parquet           commit log: one row per committed version
+    <root>/v=<n>/<table>/part-*.parquet               data written by version n, or with buckets
+    <root>/v=<n>/<table>/bucket=<b>/part-*.parquet    one folder per hash bucket of the id
+    <root>/_commits/part-*.parquet                    commit log: one row per committed version
 
 A version's tables are written first; the commit is the append of ONE commit-log row
 (version, table -> version map). Readers take the highest committed version and read each
 table from the version recorded for it, so a failure before the log append leaves the
 previous state fully visible (the orphaned v=<n> folder is garbage, never read), and
-tables that were not rewritten are carried over by reference. Single writer assumed.
+tables (or buckets) that were not rewritten are carried over by reference, so a small
+batch rewrites only the buckets its changes fall into. Single writer assumed.
 """
 
 from __future__ import annotations
@@ -31,8 +33,16 @@ COMMIT_SCHEMA = T.StructType([
 
 
 class VersionedCatalog:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """Versioned tables under ``root``. With ``buckets`` = N > 0 every table is stored in N
+    hash buckets of its id (``pmod(xxhash64(id), N)``, one folder each) and the commit row
+    maps ``table/bucket`` -> version, so a commit may rewrite only the buckets it touches;
+    with 0 each table is one folder and a commit rewrites it whole."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 0):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def bucket_of(self, key: str = "id"):
+        return F.pmod(F.xxhash64(F.col(key)), F.lit(self.buckets))
 
     def _log(self) -> DataFrame | None:
         try:
@@ -51,23 +61,51 @@ class VersionedCatalog:
         h = self.head()
         return int(h["version"]) if h else 0
 
-    def read(self, table: str) -> DataFrame:
+    def _paths(self, mapping: dict, table: str, buckets: list[int] | None = None) -> list[str]:
+        if not self.buckets:
+            return [f"{self.root}/v={mapping[table]}/{table}"] if table in mapping else []
+        out = []
+        for k, v in mapping.items():
+            t, _, b = k.partition("/")
+            if t == table and v >= 0 and (buckets is None or int(b) in buckets):
+                out.append(f"{self.root}/v={v}/{table}/bucket={b}")
+        return sorted(out)
+
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """The committed table (or only the given buckets of it)."""
         h = self.head()
-        if h is None or table not in h["tables"]:
+        paths = self._paths(dict(h["tables"]), table, buckets) if h else []
+        if not paths:
             return self.spark.createDataFrame([], S.TABLES[table])
-        return self.spark.read.schema(S.TABLES[table]).parquet(f"{self.root}/v={h['tables'][table]}/{table}")
-
-    def commit(self, tables: dict[str, DataFrame], fail_after_writes: bool = False) -> int:
-        """Write ``tables`` as the next version and publish it atomically. Returns the new
-        version. ``fail_after_writes`` simulates a crash between data and commit (tests)."""
+        return self.spark.read.schema(S.TABLES[table]).parquet(*paths)
+
+    def commit(self, tables: dict[str, DataFrame], fail_after_writes: bool = False,
+               touched: dict[str, list[int]] | None = None) -> int:
+        """Write ``tables`` as the next version and publish it atomically; returns the version.
+        With buckets, ``touched[table]`` lists the buckets the frame holds (the others are
+        carried by reference); without it the frame is the whole table. ``fail_after_writes``
+        simulates a crash between data and commit (tests)."""
         h = self.head()
         n = (int(h["version"]) if h else 0) + 1
         mapping = dict(h["tables"]) if h else {}
         for name, df in tables.items():
             cols = [f.name for f in S.TABLES[name].fields] if name in S.TABLES else df.columns
             # a v=<n> folder left by a crash before its commit row was never visible: replace it
-            df.select(*cols).write.mode("overwrite").parquet(f"{self.root}/v={n}/{name}")
-            mapping[name] = n
+            out = f"{self.root}/v={n}/{name}"
+            if not self.buckets:
+                df.select(*cols).write.mode("overwrite").parquet(out)
+                mapping[name] = n
+                continue
+            rows = df.select(*cols, self.bucket_of().alias("bucket"))
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(out)
+            scope = (touched or {}).get(name)
+            scope = list(range(self.buckets)) if scope is None else scope
+            # buckets that received rows (at most N small ints); a touched bucket left empty
+            # is recorded as -1 so readers skip it
+            written = {r[0] for r in self.spark.read.parquet(out).select("bucket").distinct().collect()} \
+                if scope else set()
+            for b in scope:
+                mapping[f"{name}/{b}"] = n if b in written else -1
         if fail_after_writes:
             raise RuntimeError(f"simulated failure before commit of version {n}")
         row = [(n, mapping, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))]
@@ -104,6 +142,14 @@ def commit_job_batch(catalog: VersionedCatalog, kind: str, batch: DataFrame, now
         vid_cols.append(F.col("video_duration").alias("duration"))
     if kind == "fail":
         job_cols.append(F.col("job_error_msg").alias("error_msg"))
-    new_jobs = apply_updates(jobs, acc.select(*job_cols))
-    new_videos = apply_updates(videos, acc.select(*vid_cols))
-    return catalog.commit({"jobs": new_jobs, "videos": new_videos}), out
+    job_upd, vid_upd = acc.select(*job_cols), acc.select(*vid_cols)
+    if not catalog.buckets:
+        return catalog.commit({"jobs": apply_updates(jobs, job_upd),
+                               "videos": apply_updates(videos, vid_upd)}), out
+    # rewrite only the buckets holding accepted changes (at most N bucket numbers)
+    tj = sorted({r[0] for r in job_upd.select(catalog.bucket_of()).distinct().collect()})
+    tv = sorted({r[0] for r in vid_upd.select(catalog.bucket_of()).distinct().collect()})
+    new_jobs = apply_updates(catalog.read("jobs", tj), job_upd) if tj else None
+    new_videos = apply_updates(catalog.read("videos", tv), vid_upd) if tv else None
+    parts = {k: v for k, v in {"jobs": new_jobs, "videos": new_videos}.items() if v is not None}
+    return catalog.commit(parts, touched={"jobs": tj, "videos": tv}), out

@@ -174,3 +174,23 @@ def test_worker_output_files(spark, tmpdir_fresh):
     r = out.select(basename("manifest_path").alias("b"), relative_to("manifest_path", "/tmp/out-123").alias("rel")).first()
     assert (r.b, r.rel) == ("manifest.m3u8", "manifest.m3u8")
     assert out.select(relative_to("manifest_path", "/elsewhere")).first()[0] is None
+
+
+def test_bucketed_commit_rewrites_only_touched_buckets(spark, tmpdir_fresh):
+    from reelhouse.plans.commit import commit_job_batch
+    cat = VersionedCatalog(spark, f"{tmpdir_fresh}/catalog", buckets=4)
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    videos = spark.createDataFrame([(f"v{i}", "t", "d", 0, "f.mp4", f"res-{i}", "pending", t0, t0) for i in range(20)],
+                                   S.VIDEOS)
+    jobs = spark.createDataFrame([(f"j{i}", f"v{i}", "transcode", "pending", "", "", t0, t0) for i in range(20)], S.JOBS)
+    assert cat.commit({"videos": videos, "jobs": jobs}) == 1
+    assert cat.read("videos").count() == 20 and cat.read("jobs").count() == 20
+    v, out = commit_job_batch(cat, "start", spark.createDataFrame([("j3", 1)], "job_id string, seq long"), t1)
+    assert v == 2 and out.collect()[0].accepted
+    tables = dict(cat.head()["tables"])
+    assert sum(1 for k, ver in tables.items() if k.startswith("jobs/") and ver == 2) == 1
+    assert sum(1 for k, ver in tables.items() if k.startswith("videos/") and ver == 2) == 1
+    got_j = {r.id: r.status for r in cat.read("jobs").collect()}
+    got_v = {r.id: r.status for r in cat.read("videos").collect()}
+    assert len(got_j) == 20 and got_j["j3"] == "running" and got_j["j4"] == "pending"
+    assert len(got_v) == 20 and got_v["v3"] == "processing" and got_v["v4"] == "pending"
