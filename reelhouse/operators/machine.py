@@ -324,7 +324,7 @@ def set_duration(requests: DataFrame, videos: DataFrame) -> DataFrame:
 def rename_users(users: DataFrame, changes: DataFrame, now, seq: str = "seq") -> DataFrame:
     """Username update, always accepted (the last change per user wins)."""
     last = changes.groupBy("id").agg(F.max_by("username", seq).alias("_new"))
-    j = users.join(last, "id", "left")
+    j = join_back(users, last, "id", "left")
     return j.select("id", F.coalesce("_new", "username").alias("username"),
                     F.when(F.col("_new").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("updated_at"))
                     .alias("updated_at"))

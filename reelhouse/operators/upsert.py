@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.exprs import first_error
+from .joins import join_back
 
 # Column roles of each table on conflict (from the service's ON CONFLICT clauses).
 VIDEO_IMMUTABLE = ["created_at"]
@@ -127,7 +128,7 @@ def apply_patches(videos: DataFrame, patched: DataFrame, now) -> DataFrame:
     """The videos table after the accepted patches (updated_at = now where touched)."""
     acc = patched.filter(F.col("outcome") == "updated").select(
         "id", F.col("title").alias("_pt"), F.col("description").alias("_pd"), F.col("touched").alias("_touched"))
-    j = videos.join(acc, "id", "left")
+    j = join_back(videos, acc, "id", "left")  # accepted patches: broadcast when proven small
     out = []
     for c in videos.columns:
         if c == "title":
@@ -146,6 +147,6 @@ def apply_updates(target: DataFrame, updates: DataFrame, key: str = "id") -> Dat
     ``target``; other rows and columns are kept. A left join on the key (one shuffle)."""
     cols = [c for c in updates.columns if c != key]
     u = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in cols], F.lit(True).alias("_hit"))
-    j = target.join(u, key, "left")
+    j = join_back(target, u, key, "left")  # a small update set is broadcast; the target is scanned
     return j.select(*[F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                       for c in target.columns])
