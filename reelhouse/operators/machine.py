@@ -385,14 +385,24 @@ def signup_batch(signups: DataFrame, users: DataFrame, roles: DataFrame, role_sl
         F.when(ok, ts + F.expr(f"INTERVAL {S.REFRESH_TTL_DAYS} DAYS")).alias("refresh_expires_at"))
 
 
-def login_claims(lookups: DataFrame, users: DataFrame, user_slugs: DataFrame, now) -> DataFrame:
+def login_claims(lookups: DataFrame, users: DataFrame, user_roles: DataFrame, role_permissions: DataFrame,
+                 permissions: DataFrame, now) -> DataFrame:
     """X19 (data part): found login keys (F4, first matching id) with the user's permission
-    list (J2 + A2) and the token expiries. The password check is outside the data path."""
+    list (J2 + A2) and the token expiries. The password check is outside the data path.
+    Only the logged-in users' role links are joined: user_roles is semi-joined to the batch's
+    user ids first (broadcast when the batch is proven small), so a login batch never
+    computes permission lists for the whole user base."""
+    from ..session import bounded_broadcast
+    from .rbac import permissions_by_user
     found = lookups.filter("found").select("key_id", "user_id")
-    u = users.select(F.col("id").alias("user_id"), "username")
-    lists = user_slugs.groupBy("user_id").agg(F.sort_array(F.collect_set("slug")).alias("_perms"))
+    ids = found.select("user_id").distinct()
+    ur = user_roles.join(bounded_broadcast(ids, 200_000), "user_id", "left_semi")
+    lists = permissions_by_user(ur, role_permissions, permissions) \
+        .groupBy("user_id").agg(F.sort_array(F.collect_set("slug")).alias("_perms"))
+    u = request_left_join(found, users.select(F.col("id").alias("user_id"), "username"), "user_id") \
+        .filter(F.col("username").isNotNull() | F.col("user_id").isNull())
     ts = F.lit(now).cast("timestamp")
-    return (found.join(u, "user_id").join(lists, "user_id", "left")
+    return (join_back(u, lists, "user_id", "left")
             .select("key_id", "user_id", "username",
                     F.array_join(F.coalesce("_perms", F.array().cast("array<string>")), ",").alias("permissions"),
                     (ts + F.expr(f"INTERVAL {S.ACCESS_TTL_MINUTES} MINUTES")).alias("access_expires_at"),

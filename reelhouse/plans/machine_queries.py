@@ -235,5 +235,4 @@ FROM m JOIN users u ON u.id = m.user_id
 def login_claims(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     look = R.lookup_users_by_key(fx.login_keys, fx.users)
-    slugs = R.permissions_by_user(fx.user_roles, fx.role_permissions, fx.permissions)
-    return M.login_claims(look, fx.users, slugs, NOW)
+    return M.login_claims(look, fx.users, fx.user_roles, fx.role_permissions, fx.permissions, NOW)
