@@ -96,3 +96,16 @@ def test_keyset_pages_equal_offset_pages(spark):
         assert [r.id for r in rows] == by_offset
         if rows:
             after = (rows[-1].created_at, rows[-1].id)
+
+
+def test_exists_flag_and_join_back_paths(spark):
+    from reelhouse.operators.joins import join_back, with_exists_flag
+    table = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
+    req = spark.createDataFrame([("a", 1), ("c", 2), (None, 3)], "k string, n long")
+    for limit in (200_000, 0):
+        got = sorted((r.n, r.hit) for r in with_exists_flag(req, table, "k", "hit", max_rows=limit).collect())
+        assert got == [(1, True), (2, None), (3, None)]
+    summary = spark.createDataFrame([("a", 10)], "k string, s long")
+    for limit in (200_000, 0):
+        got = sorted((r.n, r.s) for r in join_back(req, summary, "k", "left", max_rows=limit).collect())
+        assert got == [(1, 10), (2, None), (3, None)]
