@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas as SC
 from ..operators import integrity as I
 from ..operators import upsert as U
 from ..sources.fixtures import Fixtures
@@ -118,9 +119,8 @@ def cascade_delete(spark, sf_dir):
     return I.cascade_delete(fx.user_roles, fx.deleted_users, "user_id").select("user_id", "role_id")
 
 
-_DUPS = [("videos", ["id"]), ("jobs", ["id"]), ("users", ["id"]), ("users", ["email"]), ("users", ["username"]),
-         ("roles", ["id"]), ("roles", ["name"]), ("permissions", ["id"]), ("permissions", ["slug"]),
-         ("user_roles", ["user_id", "role_id"]), ("role_permissions", ["role_id", "permission_id"])]
+# every PRIMARY KEY and UNIQUE constraint of the catalog (schemas.PRIMARY_KEYS / UNIQUE_KEYS)
+_DUPS = [(t, k) for t, k in SC.PRIMARY_KEYS.items()] + [(t, k) for t, ks in SC.UNIQUE_KEYS.items() for k in ks]
 
 
 @register("duplicate_keys", ["videos", "jobs", "users", "roles", "permissions", "user_roles", "role_permissions"],
