@@ -58,6 +58,15 @@ def parse_probes(probes: DataFrame, doc: str = "doc") -> DataFrame:
                          F.when(err.isNull(), frames).alias("total_frames"))
 
 
+def progress_rejections(probes: DataFrame, key: str = "job_id") -> DataFrame:
+    """F9 (progress rule) + P8 failures: the jobs whose progress never starts, with the
+    error the service logs: the probe parse error, else 'total frames cannot be zero'."""
+    from .integrity import progress_error
+    parsed = parse_probes(probes)
+    err = F.coalesce(F.col("error"), progress_error("total_frames"))
+    return parsed.select(key, err.alias("error")).filter(F.col("error").isNotNull())
+
+
 def frame_percentages(frames: DataFrame, probes: DataFrame, key: str = "job_id") -> DataFrame:
     """Every valid frame line of a job with a usable total (probe ok, total != 0):
     percentage = min(frame*100 / total, 100), truncating division, no lower bound."""

@@ -1,5 +1,6 @@
-"""Progress and log queries: parse_frames, probe_parse, percentages, progress_events,
-progress_until_end, progress_quarantine, progress_state, log_envelopes, log_quarantine."""
+"""Progress and log queries: parse_frames, probe_parse, progress_rejections, percentages,
+progress_events, progress_until_end, progress_quarantine, progress_state, log_envelopes,
+log_quarantine."""
 
 from __future__ import annotations
 
@@ -52,6 +53,14 @@ def probe_parse(spark, sf_dir):
     return P.parse_probes(Fixtures(spark, sf_dir).probes)
 
 
+@register("progress_rejections", ["probes"], _PROBES_CTE + """
+SELECT job_id, coalesce(error, CASE WHEN fr = 0 THEN 'total frames cannot be zero' END) AS error
+FROM pr WHERE error IS NOT NULL OR fr = 0
+""")
+def progress_rejections(spark, sf_dir):
+    return P.progress_rejections(Fixtures(spark, sf_dir).probes)
+
+
 @register("percentages", ["progress_lines", "probes"], _FRAMES_CTE + _PROBES_CTE + """
 SELECT f.job_id, f.event_id, f.frame AS current_frames, p.fr AS total_frames,
   least(f.frame * 100 // p.fr, 100) AS percentage
