@@ -6,8 +6,8 @@
   second query over the same source, with its own checkpoint); the stream goes on.
 - P5 / P4: ``applyInPandasWithState`` keyed by channel delivers messages in arrival order
   (sorted by event_id inside a micro-batch) up to and including the first terminal one;
-  the state remembers that the channel is closed, so later messages are dropped, and is
-  removed after a retention period (processing-time timeout) so it does not pile up. Per-group
+  the state remembers that the channel is closed, so later messages are dropped however
+  late they come (no clock decides). Per-group
   work per micro-batch is bounded by the trigger size (maxFilesPerTrigger /
   maxOffsetsPerTrigger), never by the channel's whole history.
 - J5: stream-static join of the delivered messages with the latest job of each video.
@@ -44,16 +44,7 @@ STATE = T.StructType([T.StructField("closed", T.BooleanType()), T.StructField("l
 TERMINAL = set(S.PROGRESS_TERMINAL)
 
 
-# A closed channel's state is kept this long (processing time) to drop stragglers, then
-# removed so the state store does not grow with every job ever seen. It must exceed how late
-# a stray message can arrive after its channel's terminal event.
-CLOSED_RETENTION_MS = 3_600_000
-
-
 def _deliver_until_terminal(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     closed, last = (state.get if state.exists else (False, None))
     if closed:
         for _ in batches:
@@ -68,8 +59,6 @@ def _deliver_until_terminal(key: tuple, batches: Iterator[pd.DataFrame], state:
     if len(pdf):
         last = int(pdf["event_id"].iloc[-1])
     state.update((closed, last))
-    if closed:
-        state.setTimeoutDuration(CLOSED_RETENTION_MS)
     yield pdf[[f.name for f in DELIVERED.fields]]
 
 
@@ -85,7 +74,7 @@ def deliver(messages: DataFrame) -> DataFrame:
     """P5 on a stream of decoded, well-formed messages."""
     good = decode_messages(messages).filter(~F.col("malformed")).select(*[f.name for f in DELIVERED.fields])
     return good.groupBy("channel").applyInPandasWithState(
-        _deliver_until_terminal, DELIVERED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _deliver_until_terminal, DELIVERED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def as_published(delivered: DataFrame) -> DataFrame:
@@ -138,9 +127,6 @@ END_LINE = "progress=end"
 
 
 def _events_until_end(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     closed, cur, pct = (state.get if state.exists else (False, 0, 0))
     if closed:
         for _ in batches:
@@ -158,8 +144,6 @@ def _events_until_end(key: tuple, batches: Iterator[pd.DataFrame], state: GroupS
             closed = True
             break
     state.update((closed, cur, pct))
-    if closed:
-        state.setTimeoutDuration(CLOSED_RETENTION_MS)
     yield pd.DataFrame(out, columns=[f.name for f in EVENT.fields])
 
 
@@ -179,7 +163,7 @@ def text_to_events(lines: DataFrame, totals: DataFrame) -> DataFrame:
                      F.col("frame").alias("current_frames"), pct.alias("percentage"))
              .filter((F.col("kind") == "end") | F.col("percentage").isNotNull()))
     return rows.groupBy("job_id").applyInPandasWithState(
-        _events_until_end, EVENT, EVENT_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _events_until_end, EVENT, EVENT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_events_stream(spark: SparkSession, in_path: str, totals: DataFrame, out_path: str, checkpoint: str,
