@@ -8,9 +8,9 @@ and ``oracle_sql()`` below collect them for the driver contract.
 
 from __future__ import annotations
 
-from . import best_fit, host_reputation, pii_spans, sampled_shards, topk_search
+from . import bench_join, best_fit, host_reputation, language_mix, pii_spans, sampled_shards, topk_search
 
-MODULES = (host_reputation, pii_spans, sampled_shards, topk_search, best_fit)
+MODULES = (language_mix, bench_join, host_reputation, pii_spans, sampled_shards, topk_search, best_fit)
 
 
 def queries():

@@ -4,13 +4,13 @@ A record's key is the hash of its text, so equal texts (a group) lie side by sid
 size-weighted sample of the keys (a record is drawn with a chance in proportion to its size,
 decided by a hash of its own, so a rerun draws the same) gives the splitters: quantiles that
 cut the keys into ``FINE`` ranges per shard. The exact bytes of every range are then
-aggregated. A range above ``OVERFULL`` of the mean is subdivided by the record's own hash, as
-only that still divides a group of copies that fills a range; other ranges, and so other
-groups, stay whole. Shards are runs of ranges cut where the exact running bytes pass each
-shard's share.
+aggregated. A range above the part ``OVERFULL`` of a shard is subdivided by the record's own
+hash, as only that still divides a group of copies that fills a range; other ranges, and so
+other groups, stay whole. Shards are runs of (sub)ranges cut where the exact running bytes pass
+each shard's share.
 
-The law that holds is ``bytes``. Bytes of two shards differ by about one (sub)range at most,
-that is ``2 * OVERFULL / FINE`` of a shard.
+The law that holds is ``bytes``. A shard misses its share by one (sub)range at most: usually
+1 / ``FINE`` of a shard, never more than ``OVERFULL`` (or one record, if that is larger).
 
 Slots number a shard's records without gaps: the rank inside a (sub)range plus the rows of the
 ranges before it. Ranges are also subdivided to about ``SUB_BYTES``, so no task ranks more
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 SHARDS = 8
-FINE, OVERFULL, SAMPLE, SUB_BYTES = 128, 2.0, 65_536, 64 << 20
+FINE, OVERFULL, SAMPLE, SUB_BYTES = 1024, 0.005, 65_536, 64 << 20
 
 
 def shard_by_bytes(records: DataFrame, key: str, size: str, own: str, shards: int = SHARDS) -> DataFrame:
@@ -61,19 +61,20 @@ def shard_by_bytes(records: DataFrame, key: str, size: str, own: str, shards: in
 
     ranged = base.withColumn("_range", range_of(F.col(key)))
     sums = ranged.groupBy("_range").agg(F.sum(size).alias("b"))
-    over = total / n * OVERFULL
-    fine = F.when(F.col("b") > over, F.ceil(F.col("b") / (over / 2))).otherwise(F.lit(1))
+    over = total / shards * OVERFULL
+    fine = F.when(F.col("b") > over, F.ceil(F.col("b") / over * 2)).otherwise(F.lit(1))
     parts = sums.select("_range", F.greatest(fine, F.ceil(F.col("b") / SUB_BYTES)).cast("long").alias("_parts"))
     cut = ranged.join(F.broadcast(parts), "_range").withColumn("_sub", F.pmod(F.xxhash64(own), F.col("_parts"))).drop("_parts")
 
     # exact bytes and rows of each subrange, in key order; running sums pick the shards
     subs = cut.groupBy("_range", "_sub").agg(F.sum(size).alias("b"), F.count("*").alias("n"))
-    by_range = subs.groupBy("_range").agg(F.sum("b").alias("rb"), F.sum("n").alias("rn"))
+    by_range = subs.groupBy("_range").agg(F.sum("b").alias("rb"))
     upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    by_range = by_range.select("_range", F.coalesce(F.sum("rb").over(upto), F.lit(0)).alias("rb0"))
+    by_range = by_range.select("_range", "rb", F.coalesce(F.sum("rb").over(upto), F.lit(0)).alias("rb0"))
     inside = Window.partitionBy("_range").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     placed = subs.join(F.broadcast(by_range), "_range").select(
-        "_range", "_sub", "n", (F.col("rb0") + F.coalesce(F.sum("b").over(inside), F.lit(0)) + F.col("b") / 2).alias("mid"))
+        "_range", "_sub", "n", F.when(F.col("rb") > over, F.col("rb0") + F.coalesce(F.sum("b").over(inside), F.lit(0)) + F.col("b") / 2)
+        .otherwise(F.col("rb0") + F.col("rb") / 2).alias("mid"))  # a range that isn't overfull goes as a whole
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("mid") * shards / F.lit(float(max(total, 1))))).cast("int"))
     before = Window.partitionBy("shard").orderBy("_range", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("_range", "_sub", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
