@@ -87,11 +87,11 @@ def mixtures(p: np.ndarray, c: np.ndarray, starts: np.ndarray, doc: np.ndarray,
     components each document may use."""
     n = np.add.reduceat(c, starts)
     share = use / use.sum(1, keepdims=True)
-    live = np.arange(len(starts))
-    rows, st, dd, pp, cc = np.arange(len(c)), starts, doc, p, c
+    live, one = np.arange(len(starts)), np.ones(p.shape[1])
+    st, dd, pp, cc = starts, doc, p, c
     for _ in range(ROUNDS):
         r = share[live][dd] * pp
-        r *= (cc / r.sum(1))[:, None]
+        r *= (cc / (r @ one))[:, None]
         new = np.add.reduceat(r, st, axis=0) / n[live][:, None]
         moving = np.abs(new - share[live]).max(1) > TOLERANCE
         share[live] = new
@@ -103,7 +103,7 @@ def mixtures(p: np.ndarray, c: np.ndarray, starts: np.ndarray, doc: np.ndarray,
             renum = np.cumsum(moving) - 1
             dd = renum[dd[keep]]
             st = np.searchsorted(dd, np.arange(len(live)))
-    fit = np.add.reduceat(c * np.log((share[doc] * p).sum(1)), starts)
+    fit = np.add.reduceat(c * np.log((share[doc] * p) @ one), starts)
     return share, fit
 
 
