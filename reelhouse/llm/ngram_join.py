@@ -15,9 +15,11 @@ Rarity comes from a table of fixed size that counts hashed shingles over all doc
 order serves, this one keeps frequent shingles out of the lists.
 
 Buckets (subset hashes, inverted lists) become components without all pairs of a bucket
-(``clusters.link_buckets``). Every candidate pair that passes the length and positional bounds is
-verified on whole sets. Sets are remade only for documents that share a bucket; a bit table of
-fixed size tells tasks which, so texts are never shuffled.
+(``clusters.link_buckets``). Candidate pairs must pass the length and positional bounds and the
+parity bound: each set has a bit per element or more, holding the parity of the elements
+hashed there; the bits in which two sets differ are a lower bound of their difference. Pairs
+that pass are verified on whole sets, remade for their documents only: a bit table of fixed
+size tells tasks which, so texts are never shuffled.
 
 Defined cases: null texts and texts without words have the empty set, which links with
 nothing; rows of one id count as one document when links are followed; rows without an id
@@ -104,8 +106,23 @@ def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
     return table.ravel()
 
 
+def _parity(h: np.ndarray) -> bytes:
+    """Parity of the elements by hashed place, in the next power of two of bits (64 at least)."""
+    size = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits(np.bincount(_slots(h, size), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ; the longer one is folded to the shorter's size."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _signatures(shingle: int, percent: int, sent):
-    """Per document: set size, set key (128 bits), prefix of the inverted lists, subset hashes."""
+    """Per document: set size, set key (128 bits), prefix of the inverted lists, subset hashes,
+    parity."""
     largest = BOUNDARIES[-1] * 100 // percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +131,7 @@ def _signatures(shingle: int, percent: int, sent):
             for _, s in _sets(texts, shingle):
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, None, None))
+                    rows.append((0, 0, 0, None, None, None))
                     continue
                 e = mix64(s ^ np.uint64(0x2545F4914F6CDD1D))
                 key = e.sum(dtype=np.uint64)
@@ -124,11 +141,11 @@ def _signatures(shingle: int, percent: int, sent):
                 if n <= largest:
                     lost = [e[list(c)].sum(dtype=np.uint64) for d in range(_missing(n, percent) + 1) for c in combinations(range(n), d)]
                     subsets = mix64(key - np.array(lost, np.uint64) + np.uint64(1)).view(np.int64)
-                rows.append((n, key.view(np.int64), s.sum(dtype=np.uint64).view(np.int64), s[order].view(np.int64), subsets))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                rows.append((n, key.view(np.int64), s.sum(dtype=np.uint64).view(np.int64), s[order].view(np.int64), subsets, _parity(e)))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-                                             names=["doc_id", "n", "k1", "k2", "prefix", "subsets"])
+                                             names=["doc_id", "n", "k1", "k2", "prefix", "subsets", "parity"])
     return run
 
 
@@ -174,17 +191,23 @@ def _linked(percent: int):
     return run
 
 
-def _boundary(reps: DataFrame, percent: int) -> int:
+def _close(percent: int):
+    """Pairs (a, b, their sizes and parities) whose sets may link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, m, n, p, q = (c.to_pylist() for c in b.columns)
+            keep = [_differ(u, v) <= x + y - 2 * -(-percent * (x + y) // (100 + percent)) for x, y, u, v in zip(m, n, p, q)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def _boundary(reps: DataFrame, lists: DataFrame) -> int:
     """The largest light set, by cost: rows that subsets make against rows in the lists times
-    the mean length of those lists."""
-    small = reps.filter(F.col("n") <= BOUNDARIES[-1])
-    if small.isEmpty():
-        return 0
-    lists = reps.select("n", F.explode("prefix").alias("t"))
-    length = lists.groupBy("t").agg(F.count("*").alias("len"), F.sum((F.col("n") <= BOUNDARIES[-1]).cast("long")).alias("few")).filter("few > 0")
-    scan = lists.filter(F.col("n") <= BOUNDARIES[-1]).join(length, "t").groupBy("n").agg(F.sum("len").alias("scan"))
-    rows = small.groupBy("n").agg(F.sum(F.size("subsets")).alias("rows")).join(scan, "n").collect()  # one row per size
-    return min(BOUNDARIES, key=lambda x: (sum(r["rows"] if r["n"] <= x else r["scan"] for r in rows), x))
+    the length of those lists."""
+    rows = reps.filter(F.col("n") <= BOUNDARIES[-1]).groupBy("n").agg(F.sum(F.size("subsets")).alias("rows"))
+    scan = lists.filter(F.col("n") <= BOUNDARIES[-1]).groupBy("n").agg(F.sum("len").alias("scan"))
+    cost = rows.join(scan, "n", "left").na.fill(0).collect()  # one row per size
+    return min(BOUNDARIES, key=lambda x: (sum(r["rows"] if r["n"] <= x else r["scan"] for r in cost), x))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -195,18 +218,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = sc.broadcast(_rarity(docs.select("text"), shingle))
     sig = docs.mapInArrow(_signatures(shingle, percent, order),
-                          "doc_id long, n long, k1 long, k2 long, prefix array<long>, subsets array<long>").checkpoint()
-    equal = sig.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = (sig.filter("n > 0").join(equal.select(F.col("rep").alias("doc_id"), "k1", "k2", "n"), ["doc_id", "k1", "k2", "n"])
-            .dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n", "prefix", "subsets").checkpoint())
-    light = _boundary(reps, percent)
-    heavy = reps.filter(F.col("n") > light).select("doc_id", "n", F.posexplode("prefix").alias("pos", "bucket"))
-    subsets = reps.filter(F.col("n") <= light * 100 // percent).select(
-        "doc_id", "n", F.explode("subsets").alias("bucket")).select("doc_id", "n", F.lit(-1).alias("pos"), "bucket")
-    entries = heavy.union(subsets.select("doc_id", "n", "pos", "bucket")).withColumnRenamed("doc_id", "id") if light else \
-        heavy.withColumnRenamed("doc_id", "id")
-
-    held = {}
+                          "doc_id long, n long, k1 long, k2 long, prefix array<long>, subsets array<long>, parity binary").checkpoint()
+    equal = sig.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
+    reps = (sig.filter("n > 0").join(equal.select(F.col("rep").alias("doc_id"), "k1", "k2", "n"), ["doc_id", "k1", "k2", "n"], "left_semi")
+            .select("doc_id", "n", "prefix", "subsets", "parity"))
+    lists = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "bucket"))
+    shared = lists.groupBy("bucket").agg(F.count("*").alias("len")).filter("len > 1")
+    lists = lists.join(shared, "bucket").checkpoint()  # a list of one links nothing
+    light = _boundary(reps, lists)
+    entries = lists.filter(F.col("n") > light).select("bucket", "id", "n", "pos")
+    if light:
+        subsets = reps.filter(F.col("n") <= light * 100 // percent).select("doc_id", "n", F.explode("subsets").alias("bucket"))
+        entries = entries.union(subsets.select("bucket", F.col("doc_id").alias("id"), "n", F.lit(-1).alias("pos")))
 
     def may_link(x, y):
         a, b, i, j = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
@@ -216,18 +239,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return near & ((i < 0) | (j < 0) | (reach >= need))
 
     def verify(pairs):
-        pairs = pairs.checkpoint()
-        if "sets" not in held:
-            shared = entries.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
-            ids = entries.join(shared, "bucket").select("id").distinct()
-            held["sets"] = docs.filter("doc_id IS NOT NULL").mapInArrow(_member_sets(shingle, sc.broadcast(_members(ids))), "id long, s binary")
-            held["sets"] = held["sets"].join(ids, "id", "left_semi").checkpoint()
-        s = held["sets"]
-        both = (pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("s")), "a")
-                .join(s.select(F.col("id").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t"))
+        s = reps.select("doc_id", "n", "parity").dropDuplicates(["doc_id", "n", "parity"])
+        both = (pairs.join(s.select(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("parity").alias("p")), "a")
+                .join(s.select(F.col("doc_id").alias("b"), "n", F.col("parity").alias("q")), "b").select("a", "b", "m", "n", "p", "q"))
+        close = both.mapInArrow(_close(percent), "a long, b long").checkpoint()
+        ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+        sets = (docs.filter("doc_id IS NOT NULL").mapInArrow(_member_sets(shingle, sc.broadcast(_members(ids))), "id long, s binary")
+                .join(ids, "id", "left_semi").checkpoint())
+        both = (close.join(sets.select(F.col("id").alias("a"), "s"), "a")
+                .join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t"))
         return both.mapInArrow(_linked(percent), "a long, b long").distinct()
 
-    comps = link_buckets(entries.select("bucket", "id", "n", "pos"), verify, extras=("n", "pos"), may_link=may_link)
+    comps = link_buckets(entries, verify, extras=("n", "pos"), may_link=may_link)
     classes = equal.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
         "k1", "k2", "n", F.coalesce("comp", "rep").alias("component_id"))
     out = sig.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
