@@ -1,23 +1,81 @@
 """The corpus pipeline: stages that each apply one training-data operator to what the stage
-before kept. Each stage's result is written as Parquet and read again for the next."""
+before kept. Each stage's result is written as Parquet and read again for the next.
+
+All but the last stage return the columns of ``documents`` as they came; where a stage cuts
+text, ``n_chars`` (if there) follows. Rows with null ids or texts pass unless a rule says
+otherwise; extra columns pass, whatever their names.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelhouse.llm import best_fit
+from reelhouse.llm import bench_join, best_fit, fuzzy_lines, language_mix, ngram_join
 from reelhouse.session import ensure_checkpoint_dir
 
+#: A document goes if no language explains more than this share of it.
+MAX_NOISE = 0.8
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of which some learned language explains enough.
+
+    Learned from all labelled documents of the input. Goes: text that is null, has no letter,
+    or is noise for more than MAX_NOISE (nothing learned: nothing can be told, all go)."""
+    langs, model = language_mix.learn(docs)
+    names = [c for c in docs.columns]
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])  # names can't clash with the operator's
+    text = f"_{names.index('text')}"
+    judged = language_mix.predict(plain, langs, model, text=text, keep=tuple(plain.columns))
+    kept = judged.filter((F.col("lang_pred") != language_mix.UNDETERMINED) & (F.col("noise") <= MAX_NOISE))
+    return kept.select(*plain.columns).toDF(*names)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without lines that (nearly) repeat an earlier one; no document goes."""
+    left = fuzzy_lines.drop_surplus_lines(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: the one of the smallest id.
+
+    Documents without words or without an id link with nothing and stay; rows that repeat the
+    id and all columns of a kept document are copies of it and go."""
+    comps = ngram_join.jaccard_components(docs)
+    goes = comps.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    twice = comps.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__rows")).filter("__rows > 1")
+    kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    kept = kept.join(twice, "doc_id", "left")
+    once = kept.filter(F.col("__rows").isNull())
+    return once.union(kept.filter(F.col("__rows").isNotNull()).dropDuplicates()).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a ``benchmark`` item occurs."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = bench_join.contained_windows(docs, items)
+    hit = found.filter(F.size("hits") > 0).select("doc_id").distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti").select(*docs.columns)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left into sequences of at most 1024 tokens."""
     return best_fit.pack(best_fit.token_pieces(docs))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [("language ID", language), ("line dedup", line_dedup), ("n-gram Jaccard join", near_copies),
+          ("benchmark decontamination", decontaminate), ("best-fit packing", pack)]
 
+#: Mixture inference, MinHash and packing have no SQL form; tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 

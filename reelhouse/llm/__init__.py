@@ -8,9 +8,10 @@ and ``oracle_sql()`` below collect them for the driver contract.
 
 from __future__ import annotations
 
-from . import bench_join, best_fit, host_reputation, language_mix, ngram_join, pii_spans, repeated_spans, sampled_shards, topk_search
+from . import bench_join, best_fit, fuzzy_lines, host_reputation, language_mix, ngram_join, pii_spans, repeated_spans, sampled_shards, topk_search
 
-MODULES = (language_mix, repeated_spans, bench_join, host_reputation, ngram_join, pii_spans, sampled_shards, topk_search, best_fit)
+MODULES = (language_mix, repeated_spans, bench_join, host_reputation, ngram_join, pii_spans, fuzzy_lines,
+           sampled_shards, topk_search, best_fit)
 
 
 def queries():

@@ -1,11 +1,11 @@
 """Clusters from candidate buckets, with DataFrame operations only.
 
 ``link_buckets`` finds the components that verified links make among the members of shared
-buckets (inverted lists, bands), without emitting all pairs of a bucket: in the first rounds
-each member meets only its bucket's centre, which another hash picks in each round; verified
-links merge. Buckets whose members are all in one component are done. What is left after the
-star rounds is compared in full, but only across components, so no link is lost and a large
-group of near copies costs a few comparisons per member.
+buckets (inverted lists, bands), without emitting all pairs of a bucket. First each member
+meets only its bucket's centres: the members that share most buckets, as a group's least
+altered copies do. Verified links merge, and buckets whose members are all in one component
+are done. What is left is compared in full, but only across components and under the cheap
+condition, so no link is lost and a large group of near copies costs a few pairs per member.
 
 ``components`` is distributed union-find by alternating large-star and small-star steps: every
 step is an aggregation and a join on node ids, the labels never leave Spark.
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+#: Centres that a bucket's members meet first.
+CENTRES = 4
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every node of ``edges`` (a, b): comp is the smallest id reachable."""
@@ -44,39 +47,42 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("hi").alias("id"), F.col("lo").alias("comp")).union(roots)
 
 
-def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2,
-                 extras: tuple[str, ...] = (), may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], extras: tuple[str, ...] = (),
+                 may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(id, comp) of the entries that have a verified link.
 
     ``entries``: (bucket, id, *extras). ``verify`` takes distinct pairs (a, b) and returns
     those that are linked. ``may_link(x, y)``: a cheap necessary condition on the extras, whose
-    names are prefixed with ``x`` and ``y``."""
+    names are prefixed with ``x`` and ``y``; it is part of the joins that make the pairs."""
     ensure_checkpoint_dir(entries.sparkSession)
     may_link = may_link or (lambda x, y: F.lit(True))
     cols = ("id", *extras)
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    live = entries.join(shared, "bucket").withColumn("comp", F.col("id")).checkpoint()
-    links = comps = None
-    for r in range(stars + 1):
-        if r < stars:
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), *cols, "comp"))
-            centre = live.groupBy("bucket").agg(pick.alias("c")).select(
-                "bucket", F.col("c.comp").alias("y_comp"), *[F.col(f"c.{x}").alias(f"y_{x}") for x in cols])
-            met = live.select("bucket", F.col("comp").alias("x_comp"), *[F.col(x).alias(f"x_{x}") for x in cols]).join(centre, "bucket")
-        else:
-            x = live.select("bucket", F.col("comp").alias("x_comp"), *[F.col(c).alias(f"x_{c}") for c in cols])
-            y = live.select("bucket", F.col("comp").alias("y_comp"), *[F.col(c).alias(f"y_{c}") for c in cols])
-            met = x.join(y, (x["bucket"] == y["bucket"]) & (x["x_comp"] < y["y_comp"]) & may_link("x_", "y_"))
-        pairs = met.filter((F.col("x_comp") != F.col("y_comp")) & may_link("x_", "y_")).select(
-            F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-        found = verify(pairs).select("a", "b")
-        links = (found if links is None else links.union(found)).checkpoint()
-        comps = components(links).checkpoint()
-        if r == stars:
-            break
-        labelled = live.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-        live = labelled.join(mixed, "bucket").checkpoint()
-        if live.isEmpty():
-            break
-    return comps
+    live = entries.join(shared, "bucket")
+    degree = live.groupBy("id").agg(F.count("*").alias("degree"))
+    live = live.join(degree, "id").checkpoint()
+
+    def side(df, prefix):
+        return df.select("bucket", *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+
+    def distinct_pairs(met):
+        return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+    picks = [F.min(F.struct((-F.col("degree")).alias("d"), F.xxhash64("id", F.lit(r)).alias("h"), *cols)).alias(f"c{r}") for r in range(CENTRES)]
+    centres = live.groupBy("bucket").agg(*picks).select("bucket", F.explode(F.array(*[f"c{r}" for r in range(CENTRES)])).alias("c"))
+    centres = centres.select("bucket", "c.*").select("bucket", *cols).distinct()
+    x, y = side(live, "x_"), side(centres, "y_")
+    met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_id") != F.col("y_id")) & may_link("x_", "y_"))
+    links = verify(distinct_pairs(met)).select("a", "b").checkpoint()
+    comps = components(links).checkpoint()
+
+    live = live.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    live = live.join(mixed, "bucket").select("bucket", "comp", *cols).checkpoint()
+    if live.isEmpty():
+        return comps
+    cols = (*cols, "comp")
+    x, y = side(live, "x_"), side(live, "y_")
+    met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") < F.col("y_comp")) & may_link("x_", "y_"))
+    more = verify(distinct_pairs(met)).select("a", "b").checkpoint()
+    return comps if more.isEmpty() else components(links.union(more))

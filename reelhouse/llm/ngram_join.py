@@ -107,17 +107,22 @@ def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _parity(h: np.ndarray) -> bytes:
-    """Parity of the elements by hashed place, in the next power of two of bits (64 at least)."""
-    size = max(64, 1 << (len(h) - 1).bit_length())
+    """Parity of the elements by hashed place, in the next power of two of bits (256 at least)."""
+    size = max(256, 1 << (len(h) - 1).bit_length())
     return np.packbits(np.bincount(_slots(h, size), minlength=size) & 1, bitorder="little").tobytes()
 
 
 def _differ(a: bytes, b: bytes) -> int:
     """Bits in which two parities differ; the longer one is folded to the shorter's size."""
     x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    while len(y) > len(x):
-        y = y[:len(y) // 2] ^ y[len(y) // 2:]
-    return int(np.bitwise_count(x ^ y).sum())
+    return int(np.bitwise_count(x ^ _folded(y, len(x))).sum())
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parity bytes folded to ``size`` bytes, both powers of two."""
+    while len(bits) > size:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
 
 
 def _signatures(shingle: int, percent: int, sent):
@@ -131,7 +136,7 @@ def _signatures(shingle: int, percent: int, sent):
             for _, s in _sets(texts, shingle):
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, None, None, None))
+                    rows.append((0, 0, 0, None, None, None, None))
                     continue
                 e = mix64(s ^ np.uint64(0x2545F4914F6CDD1D))
                 key = e.sum(dtype=np.uint64)
@@ -141,11 +146,12 @@ def _signatures(shingle: int, percent: int, sent):
                 if n <= largest:
                     lost = [e[list(c)].sum(dtype=np.uint64) for d in range(_missing(n, percent) + 1) for c in combinations(range(n), d)]
                     subsets = mix64(key - np.array(lost, np.uint64) + np.uint64(1)).view(np.int64)
-                rows.append((n, key.view(np.int64), s.sum(dtype=np.uint64).view(np.int64), s[order].view(np.int64), subsets, _parity(e)))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                rows.append((n, key.view(np.int64), s.sum(dtype=np.uint64).view(np.int64), s[order].view(np.int64), subsets, par := _parity(e),
+                             _folded(np.frombuffer(par, np.uint8), 32).view(np.int64)))
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-                                             names=["doc_id", "n", "k1", "k2", "prefix", "subsets", "parity"])
+                                             names=["doc_id", "n", "k1", "k2", "prefix", "subsets", "parity", "fold"])
     return run
 
 
@@ -218,10 +224,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = sc.broadcast(_rarity(docs.select("text"), shingle))
     sig = docs.mapInArrow(_signatures(shingle, percent, order),
-                          "doc_id long, n long, k1 long, k2 long, prefix array<long>, subsets array<long>, parity binary").checkpoint()
+                          "doc_id long, n long, k1 long, k2 long, prefix array<long>, subsets array<long>, parity binary, fold array<long>").checkpoint()
     equal = sig.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
     reps = (sig.filter("n > 0").join(equal.select(F.col("rep").alias("doc_id"), "k1", "k2", "n"), ["doc_id", "k1", "k2", "n"], "left_semi")
-            .select("doc_id", "n", "prefix", "subsets", "parity"))
+            .select("doc_id", "n", "prefix", "subsets", "parity", "fold"))
     lists = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "bucket"))
     shared = lists.groupBy("bucket").agg(F.count("*").alias("len")).filter("len > 1")
     lists = lists.join(shared, "bucket").checkpoint()  # a list of one links nothing
@@ -230,13 +236,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if light:
         subsets = reps.filter(F.col("n") <= light * 100 // percent).select("doc_id", "n", F.explode("subsets").alias("bucket"))
         entries = entries.union(subsets.select("bucket", F.col("doc_id").alias("id"), "n", F.lit(-1).alias("pos")))
+    folds = reps.select(F.col("doc_id").alias("id"), "n", *[F.get("fold", F.lit(i)).alias(f"f{i}") for i in range(4)])
+    entries = entries.join(folds, ["id", "n"])
 
     def may_link(x, y):
         a, b, i, j = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
         need = F.ceil(percent * (a + b) / (100.0 + percent) - 1e-9)  # of the intersection
         near = (F.least(a, b) * 100 >= percent * F.greatest(a, b))
         reach = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
-        return near & ((i < 0) | (j < 0) | (reach >= need))
+        differ = sum((F.bit_count(F.col(f"{x}f{k}").bitwiseXOR(F.col(f"{y}f{k}"))) for k in range(4)), F.lit(0))
+        return near & ((i < 0) | (j < 0) | (reach >= need)) & (differ <= a + b - 2 * need)
 
     def verify(pairs):
         s = reps.select("doc_id", "n", "parity").dropDuplicates(["doc_id", "n", "parity"])
@@ -250,7 +259,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 .join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t"))
         return both.mapInArrow(_linked(percent), "a long, b long").distinct()
 
-    comps = link_buckets(entries, verify, extras=("n", "pos"), may_link=may_link)
+    comps = link_buckets(entries, verify, extras=("n", "pos", "f0", "f1", "f2", "f3"), may_link=may_link)
     classes = equal.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
         "k1", "k2", "n", F.coalesce("comp", "rep").alias("component_id"))
     out = sig.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
