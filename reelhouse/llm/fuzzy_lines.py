@@ -1,21 +1,22 @@
 """Fuzzy line dedup by MinHash, with built-in functions only.
 
 Equal lines become one row by their 128-bit hash (aggregated before the shuffle, so a line that
-sits in a third of all documents is a few rows). A line's signature is ``HASHES`` minima over its
-character shingles taken at the word starts; a band is three of them, so lines that are 0.8
-similar share one of the ``BANDS`` bands nearly always (the tests measure it). Lines that share a
-band are verified by the exact Jaccard similarity of all their ``SHINGLE``-character shingles,
-at least ``MIN_SIMILAR``; the links become components by distributed union-find
-(``clusters``). Of a component's occurrences the first stays (least doc_id, then line
-number), all others go.
+sits in a third of all documents is a few rows). A line's set is its character shingles taken
+at the word starts: ``SHINGLE`` characters, on into the next words, or the whole word where it
+is longer, so every character counts. Its signature is ``HASHES`` minima over that set; a band is
+three of them, and lines that are 0.8 similar share one of the ``BANDS`` bands nearly always (the
+tests measure it). Lines that share a band must pass the size bound and a parity bound (bits in
+which hashed parities of the sets differ are a lower bound of their difference), then the exact
+Jaccard similarity of the sets, at least ``PERCENT`` / 100. The links become components by
+distributed union-find (``clusters``). Of a component's occurrences the first stays (least
+doc_id, then line number), all others go.
 
 Texts move twice: to fetch the lines to verify, and to cut the lines that go.
 
 Defined cases: blank lines (nothing but white space) always stay and are never compared; null
 text has no lines and stays null; a text that loses all its lines becomes empty; rows that
 repeat a doc_id and text are judged alike (both keep a first occurrence); other columns pass
-through, whatever their names; an empty table stays empty. A line shorter than a shingle is
-one shingle.
+through, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,22 +27,23 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .clusters import link_buckets
 
-SHINGLE, SIGN_SHINGLE, HASHES, BANDS, MIN_SIMILAR = 8, 12, 16, 8, 0.8
+SHINGLE, HASHES, BANDS, PERCENT = 12, 16, 8, 80
 _NO_ID = -(1 << 63)
 
 
-def _shingles(line: Column) -> Column:
-    """All overlapping character shingles, distinct; a shorter line is one."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(F.array_distinct(every))
+def _set(line: Column) -> Column:
+    """Hashes of the line's shingles, distinct."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S{{{SHINGLE},}}+|\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
-def _bands(line: Column) -> tuple[Column, Column, Column]:
-    """Hashes of the shingles at word starts; from those (as ``_h``) the minima; from those
-    (as ``_v``) the band hashes."""
-    at_words = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{0,{SIGN_SHINGLE - 1}}}))"), F.lit(1))
-    hashes = F.transform(at_words, lambda s: F.xxhash64(s))
+def _parity(half: int) -> Column:
+    """Half of a 128-bit parity of the set ``_h``: a bit for each value of seven low bits."""
+    return F.expr(f"aggregate(_h, 0L, (a, x) -> a ^ if((x >> 6 & 1L) = {half}, shiftleft(1L, cast(x & 63L as int)), 0L))")
 
+
+def _bands() -> tuple[Column, Column]:
+    """Minima over the set ``_h``; band hashes of the minima ``_v``."""
     def least(j):  # flipping bits reorders the hashes; the leading ones differ for each j
         flip = ((j << 60) | (j * 0x0123456789ABCDF & (1 << 60) - 1)) - (1 << 64 if j > 7 else 0)
         return F.array_min(F.transform(F.col("_h"), lambda x: x.bitwiseXOR(F.lit(flip).cast("long"))))
@@ -50,7 +52,7 @@ def _bands(line: Column) -> tuple[Column, Column, Column]:
         v = [F.get(values, F.lit(j)) for j in range(HASHES)]
         return F.array(*[F.xxhash64(F.lit(b), *[v[(2 * b + k) % HASHES] for k in (0, 1, 6)]) for b in range(BANDS)])
 
-    return hashes, F.array(*[least(j) for j in range(HASHES)]), bands(F.col("_v"))
+    return F.array(*[least(j) for j in range(HASHES)]), bands(F.col("_v"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -63,18 +65,19 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
     """(doc, th, gone: numbers of the lines that go) of the rows (doc, th, text) that lose any."""
     spark = docs.sparkSession
     key = (F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(1), "line").alias("l2"))
-    hashes, values, bands = _bands(F.col("line"))
-    signed = (_lines(docs).select("doc", "th", "pos", *key, hashes.alias("_h")).withColumn("_v", values)
-              .select("doc", "th", "pos", "l1", "l2", bands.alias("bands")))
+    minima, bands = _bands()
+    made = F.struct(bands.alias("bands"), F.size("_h").alias("n"), _parity(0).alias("f0"), _parity(1).alias("f1"))
+    signed = (_lines(docs).select("doc", "th", "pos", *key, _set(F.col("line")).alias("_h")).withColumn("_v", minima)
+              .select("doc", "th", "pos", "l1", "l2", made.alias("s")))
     place = F.struct("doc", "pos", "th")
     path = scratch_path(spark, "distinct-lines")  # written: its row numbers must not change
-    (signed.groupBy("l1", "l2").agg(F.min(place).alias("at"), F.first("bands").alias("bands"))
-     .withColumn("id", F.monotonically_increasing_id()).write.parquet(path))
+    (signed.groupBy("l1", "l2").agg(F.min(place).alias("at"), F.first("s").alias("s"))
+     .select("l1", "l2", "at", "s.*", F.monotonically_increasing_id().alias("id")).write.parquet(path))
     distinct = spark.read.parquet(path)
 
     entries = distinct.select(F.explode("bands").alias("bucket"), "id")
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    entries = entries.join(shared, "bucket").checkpoint()
+    entries = entries.join(shared, "bucket").join(distinct.select("id", "n", "f0", "f1"), "id").checkpoint()
     wanted = (distinct.join(entries.select("id").distinct(), "id").select("at.doc", "at.th", F.struct("at.pos", "id").alias("w"))
               .groupBy("doc", "th").agg(F.collect_list("w").alias("ws")))
     path = scratch_path(spark, "lines-to-verify")
@@ -82,14 +85,20 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
      .select("w.id", F.get("lines", F.col("w.pos")).alias("line")).write.parquet(path))
     texts = spark.read.parquet(path)
 
+    def may_link(x, y):
+        m, n = F.col(f"{x}n"), F.col(f"{y}n")
+        need = F.ceil(PERCENT * (m + n) / (100.0 + PERCENT) - 1e-9)  # of the intersection
+        differ = sum((F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in ("f0", "f1")), F.lit(0))
+        return (F.least(m, n) >= need) & (differ <= m + n - 2 * need)
+
     def verify(pairs):
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", _set(F.col("x")).alias("x"), _set(F.col("y")).alias("y"))
         common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
-        return common.filter(F.col("c") >= MIN_SIMILAR * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b").distinct()
+        return common.filter(100 * F.col("c") >= PERCENT * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b").distinct()
 
-    comps = link_buckets(entries, verify)
+    comps = link_buckets(entries, verify, extras=("n", "f0", "f1"), may_link=may_link)
     grouped = distinct.join(comps, "id", "left").select("l1", "l2", "at", F.coalesce("comp", "id").alias("comp"))
     # only lines with several occurrences or a component can lose any: the keeper of each
     keeper = grouped.groupBy("comp").agg(F.min("at").alias("keep"))
