@@ -51,7 +51,8 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], e
                  may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(id, comp) of the entries that have a verified link.
 
-    ``entries``: (bucket, id, *extras). ``verify`` takes distinct pairs (a, b) and returns
+    ``entries``: (bucket, id, *extras), and ``weight`` if it is known how many copies a member
+    stands for: half of the centres are then the heaviest members. ``verify`` takes distinct pairs (a, b) and returns
     those that are linked. ``may_link(x, y)``: a cheap necessary condition on the extras, whose
     names are prefixed with ``x`` and ``y``; it is part of the joins that make the pairs."""
     ensure_checkpoint_dir(entries.sparkSession)
@@ -68,7 +69,8 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], e
     def distinct_pairs(met):
         return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
-    picks = [F.min(F.struct((-F.col("degree")).alias("d"), F.xxhash64("id", F.lit(r)).alias("h"), *cols)).alias(f"c{r}") for r in range(CENTRES)]
+    weight = F.col("weight") if "weight" in entries.columns else F.col("degree")
+    picks = [F.min(F.struct((-(weight if r % 2 else F.col("degree"))).alias("d"), F.xxhash64("id", F.lit(r)).alias("h"), *cols)).alias(f"c{r}") for r in range(CENTRES)]
     centres = live.groupBy("bucket").agg(*picks).select("bucket", F.explode(F.array(*[f"c{r}" for r in range(CENTRES)])).alias("c"))
     centres = centres.select("bucket", "c.*").select("bucket", *cols).distinct()
     x, y = side(live, "x_"), side(centres, "y_")

@@ -71,13 +71,13 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
               .select("doc", "th", "pos", "l1", "l2", made.alias("s")))
     place = F.struct("doc", "pos", "th")
     path = scratch_path(spark, "distinct-lines")  # written: its row numbers must not change
-    (signed.groupBy("l1", "l2").agg(F.min(place).alias("at"), F.first("s").alias("s"))
-     .select("l1", "l2", "at", "s.*", F.monotonically_increasing_id().alias("id")).write.parquet(path))
+    (signed.groupBy("l1", "l2").agg(F.min(place).alias("at"), F.first("s").alias("s"), F.count("*").alias("weight"))
+     .select("l1", "l2", "at", "s.*", "weight", F.monotonically_increasing_id().alias("id")).write.parquet(path))
     distinct = spark.read.parquet(path)
 
     entries = distinct.select(F.explode("bands").alias("bucket"), "id")
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    entries = entries.join(shared, "bucket").join(distinct.select("id", "n", "f0", "f1"), "id").checkpoint()
+    entries = entries.join(shared, "bucket").join(distinct.select("id", "n", "f0", "f1", "weight"), "id").checkpoint()
     wanted = (distinct.join(entries.select("id").distinct(), "id").select("at.doc", "at.th", F.struct("at.pos", "id").alias("w"))
               .groupBy("doc", "th").agg(F.collect_list("w").alias("ws")))
     path = scratch_path(spark, "lines-to-verify")
