@@ -32,11 +32,11 @@ def cascade_delete(child: DataFrame, deleted_parents: DataFrame, child_key: str,
 
 def duplicate_keys(df: DataFrame, table: str, key: list[str]) -> DataFrame:
     """Key values held by more than one row (PK / UNIQUE violations), with counts."""
-    kv = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
-    return (df.groupBy(kv.alias("key_value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    kv = F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key_value")
+    return (df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
               .filter(F.col("n_rows") > 1)
               .select(F.lit(table).alias("table_name"), F.lit(",".join(key)).alias("key_name"),
-                      "key_value", "n_rows"))
+                      kv, "n_rows"))
 
 
 def null_counts(df: DataFrame, table: str, cols: list[str]) -> DataFrame:

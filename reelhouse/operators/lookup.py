@@ -83,13 +83,12 @@ def lookup_videos(keys: DataFrame, videos: DataFrame, key_col: str = "id") -> Da
 
 def next_pending_jobs(jobs: DataFrame, free_slots: int = S.WORKER_LIMIT) -> DataFrame:
     """The oldest runnable jobs, enough to fill ``free_slots`` workers (T2 is
-    free_slots = 1). Ties on created_at are broken by id. Jobs are distinct by id; the
-    same six columns as the service's read are projected."""
+    free_slots = 1). Ties on created_at are broken by id. ``id`` is the table's
+    key, so the top-k runs on the scan; six columns are projected, as the service reads them."""
     if free_slots < 1:
         raise ValueError("free_slots must be >= 1")
     return (runnable_jobs(jobs)
             .select("id", "video_id", "type", "status", "created_at", "updated_at")
-            .dropDuplicates(["id"])
             .orderBy(F.col("created_at").asc(), F.col("id").asc())
             .limit(free_slots))
 

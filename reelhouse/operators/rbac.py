@@ -74,11 +74,12 @@ def lookup_users_by_key(keys: DataFrame, users: DataFrame, key_id: str = "key_id
                         F.explode(F.array_distinct(F.array(F.lower("email"), F.lower("username")))).alias("lkey"))
     k = keys.select(F.col(key_id).alias("key_id"), F.col(login).alias("login"),
                     F.lower(F.col(login)).alias("lkey"))
-    m = request_left_join(k, cand, "lkey")  # a small key batch only scans the users
-    return (m.groupBy("key_id", "login")
-             .agg(F.count("user_id").alias("n_matches"), F.min("user_id").alias("user_id"))
-             .select("key_id", "login", (F.col("n_matches") > 0).alias("found"), "user_id", "n_matches",
-                     (F.col("n_matches") > 1).alias("ambiguous")))
+    # users are counted once per distinct key, so a popular key never meets every one of its rows
+    per_key = (request_left_join(k.select("lkey").distinct(), cand, "lkey").groupBy("lkey")
+               .agg(F.count("user_id").alias("n_matches"), F.min("user_id").alias("user_id")))
+    n = F.coalesce("n_matches", F.lit(0))
+    return (k.join(per_key, "lkey", "left")
+             .select("key_id", "login", (n > 0).alias("found"), "user_id", n.alias("n_matches"), (n > 1).alias("ambiguous")))
 
 
 def sync_permissions(permissions: DataFrame, requested: DataFrame, slug: str = "slug",

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +48,9 @@ class VersionedCatalog:
     def _log(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/_commits")
-        except Exception:  # noqa: BLE001 - no commit yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise  # only a missing log means that nothing was committed
             return None
 
     def head(self):
@@ -97,7 +100,7 @@ class VersionedCatalog:
                 mapping[name] = n
                 continue
             rows = df.select(*cols, self.bucket_of().alias("bucket"))
-            rows.write.mode("overwrite").partitionBy("bucket").parquet(out)
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
             scope = (touched or {}).get(name)
             scope = list(range(self.buckets)) if scope is None else scope
             # buckets that received rows (at most N small ints); a touched bucket left empty

@@ -225,8 +225,9 @@ def signup_batch(spark, sf_dir):
 @register("login_claims", ["login_keys", "users", "user_roles", "role_permissions", "permissions"], f"""
 , m AS (SELECT k.key_id, min(u.id) AS user_id FROM login_keys k
         JOIN users u ON lower(u.email) = lower(k.login) OR lower(u.username) = lower(k.login) GROUP BY k.key_id),
-up AS (SELECT DISTINCT ur.user_id, p.slug FROM permissions p
-       JOIN role_permissions rp ON p.id = rp.permission_id JOIN user_roles ur ON rp.role_id = ur.role_id)
+granted AS (SELECT role_id, slug FROM (SELECT role_id, (SELECT max(slug) FROM permissions WHERE id = permission_id) AS slug
+           FROM role_permissions) WHERE slug IS NOT NULL GROUP BY ALL),
+up AS (SELECT user_id, slug FROM user_roles JOIN granted USING (role_id) GROUP BY ALL)
 SELECT m.key_id, m.user_id, u.username,
   coalesce((SELECT string_agg(slug, ',' ORDER BY slug) FROM up WHERE up.user_id = m.user_id), '') AS permissions,
   TIMESTAMP '{NOW}' + INTERVAL 15 MINUTE AS access_expires_at, TIMESTAMP '{NOW}' + INTERVAL 7 DAY AS refresh_expires_at

@@ -70,22 +70,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/reelhouse/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Largest side that is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows.
-
-    The proof is a LIMIT-ed count (stops after max_rows+1 rows). The frame is persisted
-    while it is counted so the broadcast reuses the rows instead of recomputing them.
-    Beyond the bound the cache is dropped and the frame is returned unhinted: the planner
-    then uses a shuffle join (AQE may still broadcast at runtime from measured sizes).
-    A static estimate is not trusted here because a small dimension derived from a large
-    table (e.g. DISTINCT roles of all orders) is estimated at the large table's size.
+    """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows and
+    ``BROADCAST_BYTES`` bytes (its columns as text).
+
+    The proof stops after max_rows + 1 rows, which a reliable checkpoint keeps, so the
+    broadcast reuses the rows; no cache is made, and a cache of the caller's stays. Beyond a
+    bound the frame is returned unhinted: the planner then uses a shuffle join (AQE may still
+    broadcast at runtime from measured sizes). A static estimate is not trusted here because a
+    small dimension derived from a large table (e.g. DISTINCT roles of all orders) is estimated
+    at the large table's size.
     """
-    cached = df.persist()
-    n = cached.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
+    ensure_checkpoint_dir(df.sparkSession)
+    head = df.limit(max_rows + 1).checkpoint()
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, held = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(head) if n <= max_rows and held <= BROADCAST_BYTES else df
 
 
 def checkpoint_cut(df: DataFrame) -> DataFrame:
