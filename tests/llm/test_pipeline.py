@@ -17,7 +17,8 @@ def test_stages_keep_columns_and_clean_documents(spark):
         docs = out.checkpoint()
         n[name] = docs.count()
     assert n["language ID"] == 200 and n["line dedup"] == 200
-    assert 100 < n["benchmark decontamination"] <= n["n-gram Jaccard join"] < 200
+    # at this size line dedup already empties the copies, and empty documents link with nothing
+    assert 100 < n["benchmark decontamination"] <= n["n-gram Jaccard join"] <= 200
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL)
     assert packed.select("doc_id").distinct().count() == n["benchmark decontamination"]
 
