@@ -32,8 +32,9 @@ _NO_ID = -(1 << 63)
 
 
 def _set(line: Column) -> Column:
-    """Hashes of the line's shingles, distinct."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S{{{SHINGLE},}}+|\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+    """Hashes of the line's shingles, distinct. Each match takes a word and the space after it, so
+    the next one begins at a word start."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?=(\S{{{SHINGLE},}}+|\S.{{0,{SHINGLE - 1}}}))\S++\s*+"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
@@ -42,17 +43,21 @@ def _parity(half: int) -> Column:
     return F.expr(f"aggregate(_h, 0L, (a, x) -> a ^ if((x >> 6 & 1L) = {half}, shiftleft(1L, cast(x & 63L as int)), 0L))")
 
 
-def _bands() -> tuple[Column, Column]:
-    """Minima over the set ``_h``; band hashes of the minima ``_v``."""
-    def least(j):  # flipping bits reorders the hashes; the leading ones differ for each j
-        flip = ((j << 60) | (j * 0x0123456789ABCDF & (1 << 60) - 1)) - (1 << 64 if j > 7 else 0)
-        return F.array_min(F.transform(F.col("_h"), lambda x: x.bitwiseXOR(F.lit(flip).cast("long"))))
+def _bands() -> tuple[Column, Column, Column]:
+    """Reordered sets of ``_h``; minima over them (``_o``); band hashes of the minima ``_v``."""
+    def order(j):  # flipping bits reorders the hashes; the leading ones differ for each j
+        flip = (j << 60) | (j * 0x0123456789ABCDF & (1 << 60) - 1)
+        return F.transform(F.col("_h"), lambda x: x.bitwiseXOR(F.lit(flip).cast("long")))
+
+    half = HASHES // 2  # the greatest value in one order is the least one with all bits flipped
+    least = [F.array_min(F.get("_o", F.lit(j))) for j in range(half)]
+    most = [F.array_max(F.get("_o", F.lit(j))) for j in reversed(range(half))]
 
     def bands(values):
         v = [F.get(values, F.lit(j)) for j in range(HASHES)]
         return F.array(*[F.xxhash64(F.lit(b), *[v[(2 * b + k) % HASHES] for k in (0, 1, 6)]) for b in range(BANDS)])
 
-    return F.array(*[least(j) for j in range(HASHES)]), bands(F.col("_v"))
+    return F.array(*[order(j) for j in range(half)]), F.array(*least, *most), bands(F.col("_v"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -61,13 +66,18 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.filter(F.col("line").rlike(r"\S"))
 
 
+def _with_lines(make, text: str = "text") -> Column:
+    """``make`` of the text's lines, which are split once, however often it uses them."""
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), make), F.lit(0))
+
+
 def surplus_lines(docs: DataFrame) -> DataFrame:
     """(doc, th, gone: numbers of the lines that go) of the rows (doc, th, text) that lose any."""
     spark = docs.sparkSession
     key = (F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(1), "line").alias("l2"))
-    minima, bands = _bands()
+    orders, minima, bands = _bands()
     made = F.struct(bands.alias("bands"), F.size("_h").alias("n"), _parity(0).alias("f0"), _parity(1).alias("f1"))
-    signed = (_lines(docs).select("doc", "th", "pos", *key, _set(F.col("line")).alias("_h")).withColumn("_v", minima)
+    signed = (_lines(docs).select("doc", "th", "pos", *key, _set(F.col("line")).alias("_h")).withColumn("_o", orders).withColumn("_v", minima)
               .select("doc", "th", "pos", "l1", "l2", made.alias("s")))
     place = F.struct("doc", "pos", "th")
     path = scratch_path(spark, "distinct-lines")  # written: its row numbers must not change
@@ -81,8 +91,8 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
     wanted = (distinct.join(entries.select("id").distinct(), "id").select("at.doc", "at.th", F.struct("at.pos", "id").alias("w"))
               .groupBy("doc", "th").agg(F.collect_list("w").alias("ws")))
     path = scratch_path(spark, "lines-to-verify")
-    (docs.join(wanted, ["doc", "th"]).select(F.split("text", "\n", -1).alias("lines"), F.explode("ws").alias("w"))
-     .select("w.id", F.get("lines", F.col("w.pos")).alias("line")).write.parquet(path))
+    found = _with_lines(lambda ls: F.transform("ws", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["pos"]).alias("line"))))
+    docs.join(wanted, ["doc", "th"]).select(F.explode(found).alias("w")).select("w.id", "w.line").write.parquet(path)
     texts = spark.read.parquet(path)
 
     def may_link(x, y):
@@ -114,9 +124,10 @@ def drop_surplus_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     keyed = docs.withColumn("__doc", F.coalesce(F.col(doc_id), F.lit(_NO_ID))).withColumn("__th", F.xxhash64(text))
     lost = surplus_lines(keyed.select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.col(text).alias("text")))
     lost = lost.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    def stay(ls):
+        return F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone"))
+
+    left = _with_lines(lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n"), text)
     out = keyed.join(lost, ["__doc", "__th"], "left").withColumn(into, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
     if gone:
         out = out.withColumn(gone, F.coalesce("__gone", F.array().cast("array<int>")))
