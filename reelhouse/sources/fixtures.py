@@ -81,7 +81,7 @@ _view("role_requests", ["orders"], """
 SELECT o_orderkey AS req_id,
   CASE WHEN o_orderkey%29=0 THEN 'ghost-'||CAST(o_orderkey AS VARCHAR(20)) ELSE 'user-'||CAST(o_custkey AS VARCHAR(20)) END AS user_id,
   CASE WHEN o_orderkey%31=0 THEN 'no-such-role' ELSE o_orderpriority END AS role_name
-FROM orders WHERE o_orderkey%10=1
+FROM orders
 """)
 
 _view("progress_msgs", ["events"], """
@@ -120,14 +120,14 @@ SELECT event_id AS seq, 'job-'||CAST(CASE WHEN event_id%7=0 THEN 90000000+event_
   CASE WHEN event_type='error' THEN 'failed' WHEN event_type='purchase' THEN 'completed' ELSE 'running' END AS status,
   CASE WHEN event_type='purchase' THEN 'manifest.mpd' ELSE '' END AS result,
   CASE WHEN event_type='error' THEN 'exit status 1' ELSE '' END AS error_msg, ts AS created_at, ts AS updated_at
-FROM events WHERE event_id%3<>0
+FROM events
 """)
 
 _view("video_patches", ["customer"], """
 SELECT 'vid-'||CAST(c_custkey AS VARCHAR(20)) AS id,
   CASE WHEN c_custkey%3=0 THEN NULL WHEN c_custkey%11=0 THEN '' ELSE 'title '||CAST(c_custkey AS VARCHAR(20)) END AS title,
   CASE WHEN c_custkey%4=0 THEN NULL ELSE 'desc '||CAST(c_custkey AS VARCHAR(20)) END AS description
-FROM customer WHERE c_custkey%2=0
+FROM customer
 """)
 
 _view("log_records", ["events"], """
