@@ -26,13 +26,16 @@ def parse_int64(c: str | Column) -> Column:
 
 
 def parse_float64(c: str | Column) -> Column:
+    """Strict float parse: NULL unless the whole text is a decimal literal within range."""
     c = col(c)
-    return F.when(c.rlike(FLOAT_LITERAL), c.try_cast("double"))
+    v = c.try_cast("double")
+    return F.when(c.rlike(FLOAT_LITERAL) & (F.abs(v) < float("inf")), v)
 
 
 def seconds_to_ns(c: str | Column) -> Column:
-    """float seconds -> int64 nanoseconds, truncating toward zero (Duration conversion)."""
-    return (col(c) * F.lit(1e9)).cast("bigint")
+    """float seconds -> int64 nanoseconds, truncating toward zero (Duration conversion); NULL
+    where they don't fit."""
+    return (col(c) * F.lit(1e9)).try_cast("bigint")
 
 
 def ns_to_seconds(c: str | Column) -> Column:
@@ -53,6 +56,22 @@ def percentage(current: str | Column, total: str | Column) -> Column:
     return F.when(q.isNotNull(), F.least(q, F.lit(100).cast("bigint")))  # least() would skip a NULL
 
 
+def whole_json(c: str | Column) -> Column:
+    """Whether the text is one JSON value and nothing else (false for NULL). The JSON functions
+    stop at the end of the first value; inside an array any trailing text shows. A value that
+    closes that array itself cannot also be the member of an object."""
+    c = col(c)
+    one = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    member = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), c, F.lit("}")))) == 1
+    return F.coalesce(one & F.when(c.contains("]"), member).otherwise(F.lit(True)), F.lit(False))
+
+
+def json_text_or_absent(doc: Column, path: str) -> Column:
+    """Whether the value at ``path`` is a string, null or missing."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
+    return F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
+
+
 def basename(path: str | Column) -> Column:
     """Last element of a '/'-separated path (the manifest name a worker reports)."""
     return F.element_at(F.split(col(path), "/"), -1)
@@ -62,7 +81,7 @@ def relative_to(path: str | Column, base: str) -> Column:
     """``path`` relative to ``base`` (NULL when it is not below base)."""
     b = base.rstrip("/") + "/"
     p = col(path)
-    return F.when(p.startswith(b), F.substring(p, len(b) + 1, 1 << 30))
+    return F.when(p.startswith(b), p.substr(F.lit(len(b) + 1), F.length(p)))
 
 
 def channel_of(job_id: str | Column) -> Column:

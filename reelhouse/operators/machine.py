@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.exprs import blank, first_error
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, checkpoint_cut
 from .fold import ordered_fold
 from .joins import join_back, request_left_join, with_exists_flag
 from .integrity import user_error, video_error
@@ -200,7 +200,8 @@ JOB_MACHINE = Machine(
 
 # ---------------------------------------------------------------- snapshot batches
 def _first_per_key(df: DataFrame, key: str, order: list[str], eligible: Column) -> DataFrame:
-    """Flag ``_winner`` on the first eligible row per key (order by ``order``)."""
+    """Flag ``_winner`` on the first eligible row per key (order by ``order``, distinct in a
+    batch), ``_after_winner`` on later ones and ``_winner_again`` on those of the winner's own job."""
     cand = df.filter(eligible).groupBy(key).agg(F.min(F.struct(*order)).alias("_w"))
     cand = cand.select(key, *[F.col(f"_w.{c}").alias(f"_w_{c}") for c in order])
     j = join_back(df, cand, key, "left")
@@ -211,8 +212,10 @@ def _first_per_key(df: DataFrame, key: str, order: list[str], eligible: Column)
     # guard: a struct compared with an all-NULL struct is ordered, not NULL
     after = F.when(F.col(f"_w_{order[0]}").isNotNull(),
                    F.struct(*[F.col(c) for c in order]) > F.struct(*[F.col(f"_w_{c}") for c in order]))
+    again = after & (F.col("job_id") == F.col("_w_job_id")) if "job_id" in order else F.lit(False)
     return j.select(*df.columns, F.coalesce(same, F.lit(False)).alias("_winner"),
-                    F.coalesce(after, F.lit(False)).alias("_after_winner"))
+                    F.coalesce(after, F.lit(False)).alias("_after_winner"),
+                    F.coalesce(again, F.lit(False)).alias("_winner_again"))
 
 
 def start_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataFrame:
@@ -230,7 +233,7 @@ def start_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataFram
     vstat = F.when(F.col("_after_winner"), F.lit(S.VIDEO_PROCESSING)).otherwise(F.col("video_status"))
     err = first_error(
         (F.col("job_status").isNull(), S.ERR_JOB_NOT_FOUND),
-        (~job_ok, S.ERR_JOB_CANNOT_START),
+        (~job_ok | F.col("_winner_again"), S.ERR_JOB_CANNOT_START),
         (~found, S.ERR_VIDEO_NOT_FOUND),
         (~vstat.isin(S.VIDEO_PENDING, S.VIDEO_FAILED), S.ERR_VIDEO_CANNOT_PROCESS),
     )
@@ -262,7 +265,7 @@ def complete_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataF
     vstat = F.when(after, F.lit(S.VIDEO_PUBLISHED)).otherwise(F.col("video_status"))
     err = first_error(
         (F.col("job_status").isNull(), S.ERR_JOB_NOT_FOUND),
-        (~job_ok, S.ERR_JOB_CANNOT_COMPLETE),
+        (~job_ok | F.col("_winner_again"), S.ERR_JOB_CANNOT_COMPLETE),
         (~found, S.ERR_VIDEO_NOT_FOUND),
         (vdur != 0, S.ERR_DURATION_SET),
         (F.col("duration") < 0, S.ERR_DURATION_NEGATIVE),
@@ -289,7 +292,7 @@ def fail_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataFrame
     vstat = F.when(F.col("_after_winner"), F.lit(S.VIDEO_FAILED)).otherwise(F.col("video_status"))
     err = first_error(
         (F.col("job_status").isNull(), S.ERR_JOB_NOT_FOUND),
-        (~job_ok, S.ERR_JOB_CANNOT_FAIL),
+        (~job_ok | F.col("_winner_again"), S.ERR_JOB_CANNOT_FAIL),
         (~found, S.ERR_VIDEO_NOT_FOUND),
         (vstat != S.VIDEO_PROCESSING, S.ERR_VIDEO_CANNOT_FAIL),
     )
@@ -310,15 +313,22 @@ def archive_videos(requests: DataFrame, videos: DataFrame, key: str = "id") -> D
                     F.when(err.isNull(), S.VIDEO_ARCHIVED).otherwise(F.col("_status")).alias("status"))
 
 
-def set_duration(requests: DataFrame, videos: DataFrame) -> DataFrame:
-    """X7 on (id, duration): rejected if the current duration is not 0, then if negative."""
+def set_duration(requests: DataFrame, videos: DataFrame, seq: str = "seq") -> DataFrame:
+    """X7 on (id, duration[, seq]): rejected if the current duration is not 0, then if
+    negative. Requests of one id are judged in ``seq`` order (distinct; without that column by
+    duration), each against what the accepted ones before it left: the first positive one sets
+    the duration, a zero leaves it unset."""
+    order = [seq] if seq in requests.columns else ["duration"]
     v = videos.select("id", F.col("duration").alias("_cur"), F.lit(True).alias("_found"))
-    r = request_left_join(requests.select("id", "duration"), v, "id")
+    r = request_left_join(requests.select("id", "duration", *[c for c in order if c != "duration"]), v, "id")
+    r = _first_per_key(r, "id", order, (F.col("_cur") == 0) & (F.col("duration") > 0))
+    won = join_back(r, r.filter("_winner").select("id", F.col("duration").alias("_set")).distinct(), "id", "left")
+    cur = F.when(F.col("_after_winner"), F.col("_set")).otherwise(F.col("_cur"))
     err = first_error((F.col("_found").isNull(), S.ERR_VIDEO_NOT_FOUND),
-                      (F.col("_cur") != 0, S.ERR_DURATION_SET),
+                      (cur != 0, S.ERR_DURATION_SET),
                       (F.col("duration") < 0, S.ERR_DURATION_NEGATIVE))
-    return r.select("id", err.isNull().alias("accepted"), err.alias("error"),
-                    F.when(err.isNull(), F.col("duration")).otherwise(F.col("_cur")).alias("duration"))
+    return won.select("id", *[c for c in order if c != "duration"], err.isNull().alias("accepted"), err.alias("error"),
+                      F.when(err.isNull(), F.col("duration")).otherwise(cur).alias("duration"))
 
 
 def rename_users(users: DataFrame, changes: DataFrame, now, seq: str = "seq") -> DataFrame:
@@ -356,22 +366,46 @@ def uploaded_rows(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return videos, jobs
 
 
-def signup_batch(signups: DataFrame, users: DataFrame, roles: DataFrame, role_slugs: DataFrame, now) -> DataFrame:
+def _first_on_both(rows: DataFrame, seq: str) -> DataFrame:
+    """The signups accepted when rows (seq, email, username) are judged in ``seq`` order, each
+    against the accepted ones before it. Rows that come first on both e-mail and username are
+    accepted, their rivals go, and so on: one round per link of the longest chain of
+    conflicts, one round in all where there are none."""
+    accepted, rest = None, checkpoint_cut(rows)
+    while True:
+        r = rest.join(rest.groupBy("email").agg(F.min(seq).alias("_fe")), "email") \
+            .join(rest.groupBy("username").agg(F.min(seq).alias("_fu")), "username")
+        won = checkpoint_cut(r.filter((F.col("_fe") == F.col(seq)) & (F.col("_fu") == F.col(seq)))
+                             .select(seq, "email", "username"))
+        accepted = won if accepted is None else accepted.unionByName(won)
+        rest = checkpoint_cut(rest.join(won.select("email"), "email", "left_anti")
+                              .join(won.select("username"), "username", "left_anti"))
+        if rest.isEmpty():
+            return accepted
+        if won.isEmpty():
+            raise ValueError(f"signups need distinct values of {seq}, none of them null")
+
+
+def signup_batch(signups: DataFrame, users: DataFrame, roles: DataFrame, role_slugs: DataFrame, now,
+                 seq: str = "user_id") -> DataFrame:
     """X18 (data part): validate the user (F9), require the role (U5: unknown role rolls the
-    whole signup back), reject e-mail / username already taken (UNIQUE; within the batch the
-    smallest user_id wins), then emit claims rows: permissions of the role (J1), access
-    expiry now + 15 min, refresh expiry now + 7 days."""
+    whole signup back), reject e-mail / username already taken (UNIQUE; within the batch by a
+    signup accepted before, in the order of ``seq``), then emit claims rows: permissions of the
+    role (J1), access expiry now + 15 min, refresh expiry now + 7 days."""
     r = bounded_broadcast(roles.select(F.col("name").alias("role_name"), F.lit(True).alias("_role_ok")), 1_000_000)
     s = signups.join(r, "role_name", "left")
     s = with_exists_flag(with_exists_flag(s, users, "email", "_email_taken"), users, "username", "_name_taken")
-    first_e = s.groupBy("email").agg(F.min("user_id").alias("_fe"))
-    first_u = s.groupBy("username").agg(F.min("user_id").alias("_fu"))
-    s = s.join(first_e, "email", "left").join(first_u, "username", "left")
+    s = checkpoint_cut(s)
+    alone = ~(blank("user_id") | blank("email") | blank("username") | blank("password_hash")) \
+        & F.col("_email_taken").isNull() & F.col("_name_taken").isNull() & F.col("_role_ok").isNotNull()
+    won = _first_on_both(s.filter(alone).select(*dict.fromkeys([seq, "email", "username"])), seq)
+    s = s.join(won.select("email", F.col(seq).alias("_ae")), "email", "left") \
+        .join(won.select("username", F.col(seq).alias("_au")), "username", "left")
     err = first_error(
         (blank("user_id"), S.ERR_USER_ID_EMPTY), (blank("email"), S.ERR_EMAIL_EMPTY),
         (blank("username"), S.ERR_USERNAME_EMPTY), (blank("password_hash"), S.ERR_PWD_HASH_EMPTY),
-        (F.col("_email_taken").isNotNull() | (F.col("_fe") != F.col("user_id")), "email already exists"),
-        (F.col("_name_taken").isNotNull() | (F.col("_fu") != F.col("user_id")), "username already exists"),
+        (F.col("_email_taken").isNotNull() | (F.col("_ae") < F.col(seq)), S.ERR_EMAIL_EXISTS),
+        (F.col("_name_taken").isNotNull() | (F.col("_au") < F.col(seq)), S.ERR_USERNAME_EXISTS),
         (F.col("_role_ok").isNull(), S.ERR_ROLE_NOT_FOUND),
     )
     perms = role_slugs.groupBy("role_name").agg(F.sort_array(F.collect_set("slug")).alias("_perms"))
@@ -392,7 +426,6 @@ def login_claims(lookups: DataFrame, users: DataFrame, user_roles: DataFrame, ro
     Only the logged-in users' role links are joined: user_roles is semi-joined to the batch's
     user ids first (broadcast when the batch is proven small), so a login batch never
     computes permission lists for the whole user base."""
-    from ..session import bounded_broadcast
     from .rbac import permissions_by_user
     found = lookups.filter("found").select("key_id", "user_id")
     ids = found.select("user_id").distinct()

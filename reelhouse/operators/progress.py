@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import channel_of, job_of_channel, parse_float64, parse_int64, percentage, seconds_to_ns
+from ..functions.exprs import (channel_of, job_of_channel, json_text_or_absent, parse_float64, parse_int64, percentage,
+                               seconds_to_ns, whole_json)
 from .joins import join_back
 
 FRAME_PREFIX = "frame="
@@ -34,7 +35,7 @@ def parse_frame_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     'bad_frame' (frame= with anything else: logged and skipped), 'ignored' (other keys)."""
     t = go_trim_space(F.col(line))
     is_frame = t.startswith(FRAME_PREFIX)
-    digits = F.substring(t, len(FRAME_PREFIX) + 1, 1 << 30)
+    digits = t.substr(F.lit(len(FRAME_PREFIX) + 1), F.length(t))
     value = F.when(is_frame, parse_int64(digits))
     outcome = F.when(~is_frame, "ignored").when(value.isNull(), "bad_frame").otherwise("frame")
     return lines.select(*[c for c in lines.columns if c != line], outcome.alias("outcome"), value.alias("frame"))
@@ -42,19 +43,21 @@ def parse_frame_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def parse_probes(probes: DataFrame, doc: str = "doc") -> DataFrame:
     """Probe document -> duration (float seconds -> int64 ns, truncated) and total
-    frames. ``streams`` may be an object or an array (first element). Any failure rejects."""
+    frames. ``streams`` may be an object or an array (first element). Both values are strings in a
+    document that is one JSON value; numbers out of range and any other failure reject."""
     d = F.col(doc)
-    valid = d.isNotNull() & F.get_json_object(d, "$").isNotNull()
+    valid = whole_json(d) & json_text_or_absent(d, "$.format.duration") \
+        & json_text_or_absent(d, "$.streams.nb_read_frames") & json_text_or_absent(d, "$.streams[0].nb_read_frames")
     dur_s = F.get_json_object(d, "$.format.duration")
     frames_s = F.coalesce(F.get_json_object(d, "$.streams.nb_read_frames"),
                           F.get_json_object(d, "$.streams[0].nb_read_frames"))
-    dur = parse_float64(dur_s)
+    dur = seconds_to_ns(parse_float64(dur_s))
     frames = parse_int64(frames_s)
-    err = (F.when(~valid, "parse ffprobe output")
-            .when(dur.isNull(), "parse duration from ffprobe output")
-            .when(frames.isNull(), "parse frames from ffprobe output"))
+    err = (F.when(~valid, S.ERR_PROBE_PARSE)
+            .when(dur.isNull(), S.ERR_PROBE_DURATION)
+            .when(frames.isNull(), S.ERR_PROBE_FRAMES))
     return probes.select(*[c for c in probes.columns if c != doc], err.isNull().alias("ok"), err.alias("error"),
-                         F.when(err.isNull(), seconds_to_ns(dur)).alias("duration_ns"),
+                         F.when(err.isNull(), dur).alias("duration_ns"),
                          F.when(err.isNull(), frames).alias("total_frames"))
 
 
@@ -114,12 +117,15 @@ def progress_events(lines: DataFrame, probes: DataFrame, key: str = "job_id",
 
 def decode_messages(msgs: DataFrame, payload: str = "payload") -> DataFrame:
     """P6 / S2 decode: JSON payload -> progress fields. Missing keys read as zero / '' (Go
-    decoding); malformed JSON sets ``malformed`` (to be logged and skipped)."""
+    decoding), as does the payload ``null``; anything but one JSON object or null sets
+    ``malformed`` (to be logged and skipped)."""
     schema = ", ".join(["TotalFrames BIGINT", "CurrentFrames BIGINT", "Status STRING", "Percentage INT",
                         "_corrupt_record STRING"])
     j = F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     out = msgs.select("*", j.alias("_j"))
-    bad = F.col("_j").isNull() | F.col("_j._corrupt_record").isNotNull()
+    t = F.trim(payload)
+    is_object = t.startswith("{") & F.col("_j").isNotNull() & F.col("_j._corrupt_record").isNull()
+    bad = ~F.coalesce((t == "null") | (is_object & whole_json(payload)), F.lit(False))
     return out.select(*msgs.columns, bad.alias("malformed"),
                       F.coalesce("_j.TotalFrames", F.lit(0).cast("long")).alias("total_frames"),
                       F.coalesce("_j.CurrentFrames", F.lit(0).cast("long")).alias("current_frames"),
@@ -130,7 +136,7 @@ def decode_messages(msgs: DataFrame, payload: str = "payload") -> DataFrame:
 def quarantine(decoded: DataFrame) -> DataFrame:
     """The malformed messages, with the log text the reader would emit."""
     return decoded.filter("malformed").select("event_id", "channel", "payload",
-                                              F.lit("unmarshal progress").alias("error"))
+                                              F.lit(S.ERR_UNMARSHAL).alias("error"))
 
 
 def until_terminal(msgs: DataFrame, channel: str = "channel", seq: str = "event_id") -> DataFrame:

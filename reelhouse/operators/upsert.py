@@ -102,11 +102,13 @@ def upsert_users(users: DataFrame, changes: DataFrame, seq: str = "seq") -> Data
 def patch_videos(videos: DataFrame, patches: DataFrame, now=None) -> DataFrame:
     """U6 + X6: partial update. NULL = leave unchanged; '' is rejected (title checked
     before description); a patch for an unknown id is 'video not found'. One row per patch
-    with the outcome and the resulting title / description."""
+    with the outcome and the resulting title / description. Where an id may come twice, give
+    ``patches`` a ``seq``: it is kept with the accepted texts, for ``apply_patches``."""
     v = videos.select("id", F.col("title").alias("_old_title"), F.col("description").alias("_old_desc"),
                       F.lit(True).alias("_found"))
     from .joins import request_left_join
-    p = patches.select("id", F.col("title").alias("_new_title"), F.col("description").alias("_new_desc"))
+    seq = [c for c in ("seq",) if c in patches.columns]
+    p = patches.select("id", *seq, F.col("title").alias("_new_title"), F.col("description").alias("_new_desc"))
     j = request_left_join(p, v, "id")
     err = first_error(
         (F.col("_found").isNull(), S.ERR_VIDEO_NOT_FOUND),
@@ -121,13 +123,24 @@ def patch_videos(videos: DataFrame, patches: DataFrame, now=None) -> DataFrame:
         err.alias("error"),
         F.when(ok, F.coalesce("_new_title", "_old_title")).otherwise(F.col("_old_title")).alias("title"),
         F.when(ok, F.coalesce("_new_desc", "_old_desc")).otherwise(F.col("_old_desc")).alias("description"),
-        (ok & changed).alias("touched"))
+        (ok & changed).alias("touched"),
+        *[c for s in seq for c in (F.col(s), F.when(ok, F.col("_new_title")).alias("new_title"),
+                                   F.when(ok, F.col("_new_desc")).alias("new_description"))])
 
 
 def apply_patches(videos: DataFrame, patched: DataFrame, now) -> DataFrame:
-    """The videos table after the accepted patches (updated_at = now where touched)."""
-    acc = patched.filter(F.col("outcome") == "updated").select(
-        "id", F.col("title").alias("_pt"), F.col("description").alias("_pd"), F.col("touched").alias("_touched"))
+    """The videos table after the accepted patches (updated_at = now where touched). Patches of
+    one id apply in ``seq`` order, so of each text the last one given stays; without ``seq`` an
+    id is patched once."""
+    acc = patched.filter(F.col("outcome") == "updated")
+    if "seq" in patched.columns:
+        def last(c):
+            return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+        acc = acc.groupBy("id").agg(last("new_title").alias("_pt"), last("new_description").alias("_pd"),
+                                    F.bool_or("touched").alias("_touched"))
+    else:
+        acc = acc.select("id", F.col("title").alias("_pt"), F.col("description").alias("_pd"),
+                         F.col("touched").alias("_touched"))
     j = join_back(videos, acc, "id", "left")  # accepted patches: broadcast when proven small
     out = []
     for c in videos.columns:

@@ -78,12 +78,19 @@ def replay_job(spark, sf_dir):
                                 payload={"result": "result", "error_msg": "error_msg"}, initial=init)
 
 
-@register("set_duration", ["duration_requests", "videos"], """
-SELECT id, err IS NULL AS accepted, err AS error, CASE WHEN err IS NULL THEN duration ELSE cur END AS duration
-FROM (SELECT r.id, r.duration, v.duration AS cur,
-        CASE WHEN v.id IS NULL THEN 'video not found' WHEN v.duration <> 0 THEN 'video duration has already been set'
-             WHEN r.duration < 0 THEN 'video duration cannot be negative' END AS err
-      FROM duration_requests r LEFT JOIN videos v ON v.id = r.id) t
+@register("set_duration", ["duration_requests", "videos"], recursive=True, oracle="""
+, q AS (SELECT d.*, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM duration_requests d),
+r AS (
+  SELECT v.id, v.id IS NOT NULL AS found, k.id AS kid, v.duration AS cur, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq,
+         CAST(NULL AS VARCHAR) AS err
+  FROM (SELECT DISTINCT id FROM q) k LEFT JOIN videos v ON v.id = k.id
+  UNION ALL
+  SELECT id, found, kid, CASE WHEN e IS NULL THEN duration ELSE cur END, rn, seq, e
+  FROM (SELECT r.id, r.found, r.kid, r.cur, q.rn, q.seq, q.duration,
+          CASE WHEN NOT r.found THEN 'video not found' WHEN r.cur <> 0 THEN 'video duration has already been set'
+               WHEN q.duration < 0 THEN 'video duration cannot be negative' END AS e
+        FROM r JOIN q ON q.id = r.kid AND q.rn = r.rn + 1) x)
+SELECT kid AS id, seq, err IS NULL AS accepted, err AS error, cur AS duration FROM r WHERE rn > 0
 """)
 def set_duration(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
@@ -125,7 +132,8 @@ def upload_batch(spark, sf_dir):
     return M.upload_batch(Fixtures(spark, sf_dir).uploads, NOW)
 
 
-def _batch_oracle(batch_sql: str, extra_cols: str, eligible: str, after_state: str, err: str, select: str) -> str:
+def _batch_oracle(batch_sql: str, extra_cols: str, eligible: str, after_state: str, err: str, select: str,
+                  job_state: str) -> str:
     return f"""
 , x AS (SELECT b.*, j.video_id, j.status AS job_status, v.id IS NOT NULL AS vfound{extra_cols}
         FROM ({batch_sql}) b LEFT JOIN jobs j ON j.id = b.job_id LEFT JOIN videos v ON v.id = j.video_id),
@@ -134,28 +142,32 @@ w AS (SELECT video_id, seq AS wseq, job_id AS wjob, wdur FROM (
         SELECT *, {"duration" if "duration" in extra_cols else "NULL"} AS wdur,
                row_number() OVER (PARTITION BY video_id ORDER BY seq, job_id) AS rn FROM e WHERE eligible) t WHERE rn = 1),
 y AS (SELECT e.*, coalesce(e.seq = w.wseq AND e.job_id = w.wjob, false) AS winner,
-        coalesce(e.seq > w.wseq OR (e.seq = w.wseq AND e.job_id > w.wjob), false) AS after, w.wdur
+        coalesce(e.seq > w.wseq OR (e.seq = w.wseq AND e.job_id > w.wjob), false) AS after, w.wdur, w.wjob
       FROM e LEFT JOIN w ON e.video_id = w.video_id),
 z AS (SELECT *, {after_state} FROM y),
-r AS (SELECT *, {err} AS err FROM z)
-SELECT seq, job_id, video_id, winner AS accepted, CASE WHEN NOT winner THEN err END AS error, {select} FROM r
+r AS (SELECT * REPLACE (CASE WHEN after AND job_id = wjob THEN '{job_state}' ELSE job_status END AS job_status), job_status AS job_was FROM z),
+r2 AS (SELECT *, {err} AS err FROM r)
+SELECT seq, job_id, video_id, winner AS accepted, CASE WHEN NOT winner THEN err END AS error, {select} FROM r2
 """
 
 
 @register("start_jobs", ["jobs", "videos"], _batch_oracle(
-    "SELECT id AS job_id, created_at AS seq FROM jobs WHERE status = 'pending' AND type = 'transcode'",
+    "SELECT id AS job_id, created_at + INTERVAL (d) DAY AS seq FROM jobs, (SELECT unnest([0, 1]) AS d) t "
+    "WHERE status = 'pending' AND type = 'transcode'",
     ", v.status AS video_status, v.resource_id, v.filename AS source_filename",
     "coalesce(job_status IN ('pending', 'failed'), false) AND vfound AND video_status IN ('pending', 'failed')",
     "CASE WHEN after THEN 'processing' ELSE video_status END AS vstat",
     """CASE WHEN job_status IS NULL THEN 'job not found' WHEN NOT coalesce(job_status IN ('pending', 'failed'), false)
          THEN 'job cannot be started' WHEN NOT vfound THEN 'video not found'
          WHEN NOT coalesce(vstat IN ('pending', 'failed'), false) THEN 'video cannot be marked as processing' END""",
-    """CASE WHEN winner THEN 'running' ELSE job_status END AS job_status,
+    """CASE WHEN winner THEN 'running' ELSE job_was END AS job_status,
        CASE WHEN winner THEN 'processing' ELSE video_status END AS video_status,
-       CASE WHEN winner THEN resource_id END AS resource_id, CASE WHEN winner THEN source_filename END AS source_filename"""))
+       CASE WHEN winner THEN resource_id END AS resource_id, CASE WHEN winner THEN source_filename END AS source_filename""",
+    "running"))
 def start_jobs(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    batch = L.runnable_jobs(fx.jobs).select(F.col("id").alias("job_id"), F.col("created_at").alias("seq"))
+    jobs = L.runnable_jobs(fx.jobs).select(F.col("id").alias("job_id"), F.col("created_at").alias("seq"))
+    batch = jobs.unionByName(jobs.withColumn("seq", F.col("seq") + F.expr("INTERVAL 1 DAY")))  # each sent again a day later
     return M.start_jobs(batch, fx.jobs, fx.videos)
 
 
@@ -169,9 +181,9 @@ def start_jobs(spark, sf_dir):
          THEN 'job cannot be completed' WHEN NOT vfound THEN 'video not found'
          WHEN vdur <> 0 THEN 'video duration has already been set' WHEN duration < 0 THEN 'video duration cannot be negative'
          WHEN vstat <> 'processing' THEN 'video cannot be published' END""",
-    """CASE WHEN winner THEN 'completed' ELSE job_status END AS job_status, CASE WHEN winner THEN result END AS job_result,
+    """CASE WHEN winner THEN 'completed' ELSE job_was END AS job_status, CASE WHEN winner THEN result END AS job_result,
        CASE WHEN winner THEN 'published' ELSE video_status END AS video_status,
-       CASE WHEN winner THEN duration ELSE video_duration END AS video_duration"""))
+       CASE WHEN winner THEN duration ELSE video_duration END AS video_duration""", "completed"))
 def complete_jobs(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     batch = fx.job_outcomes.filter(F.col("outcome") == "complete")
@@ -186,30 +198,37 @@ def complete_jobs(spark, sf_dir):
     """CASE WHEN job_status IS NULL THEN 'job not found' WHEN NOT coalesce(job_status = 'running', false)
          THEN 'job cannot be marked as failed' WHEN NOT vfound THEN 'video not found'
          WHEN vstat <> 'processing' THEN 'video cannot be marked as failed' END""",
-    """CASE WHEN winner THEN 'failed' ELSE job_status END AS job_status, CASE WHEN winner THEN error_msg END AS job_error_msg,
-       CASE WHEN winner THEN 'failed' ELSE video_status END AS video_status"""))
+    """CASE WHEN winner THEN 'failed' ELSE job_was END AS job_status, CASE WHEN winner THEN error_msg END AS job_error_msg,
+       CASE WHEN winner THEN 'failed' ELSE video_status END AS video_status""", "failed"))
 def fail_jobs(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     batch = fx.job_outcomes.filter(F.col("outcome") == "fail")
     return M.fail_jobs(batch, fx.jobs, fx.videos)
 
 
-@register("signup_batch", ["signups", "users", "roles", "role_permissions", "permissions"], f"""
-, s AS (SELECT g.*, r.name IS NOT NULL AS role_ok,
+@register("signup_batch", ["signups", "users", "roles", "role_permissions", "permissions"], recursive=True, oracle=f"""
+, s AS MATERIALIZED (SELECT g.*, r.name IS NOT NULL AS role_ok,
           EXISTS (SELECT 1 FROM users u WHERE u.email = g.email) AS email_taken,
           EXISTS (SELECT 1 FROM users u WHERE u.username = g.username) AS name_taken,
-          min(g.user_id) OVER (PARTITION BY g.email) AS fe, min(g.user_id) OVER (PARTITION BY g.username) AS fu
+          row_number() OVER (ORDER BY g.user_id) AS rn
         FROM signups g LEFT JOIN roles r ON r.name = g.role_name),
 rs AS (SELECT r.name AS role_name, string_agg(DISTINCT p.slug, ',' ORDER BY p.slug) AS perms
        FROM roles r JOIN role_permissions rp ON rp.role_id = r.id JOIN permissions p ON p.id = rp.permission_id
        GROUP BY r.name),
-e AS (SELECT s.*, CASE WHEN coalesce(user_id, '') = '' THEN 'user id cannot be empty'
+-- one signup after the other, each against the names and addresses of those accepted before
+g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS emails, CAST([] AS VARCHAR[]) AS names, CAST(NULL AS VARCHAR) AS err
+      UNION ALL
+      SELECT rn, CASE WHEN err IS NULL THEN list_append(emails, email) ELSE emails END,
+             CASE WHEN err IS NULL THEN list_append(names, username) ELSE names END, err
+      FROM (SELECT s.rn, g.emails, g.names, s.email, s.username, CASE WHEN coalesce(user_id, '') = '' THEN 'user id cannot be empty'
                        WHEN coalesce(email, '') = '' THEN 'email cannot be empty'
                        WHEN coalesce(username, '') = '' THEN 'username cannot be empty'
                        WHEN coalesce(password_hash, '') = '' THEN 'password hash cannot be empty'
-                       WHEN email_taken OR fe <> user_id THEN 'email already exists'
-                       WHEN name_taken OR fu <> user_id THEN 'username already exists'
-                       WHEN NOT role_ok THEN 'cannot find role id' END AS err FROM s)
+                       WHEN email_taken OR list_contains(g.emails, email) THEN 'email already exists'
+                       WHEN name_taken OR list_contains(g.names, username) THEN 'username already exists'
+                       WHEN NOT role_ok THEN 'cannot find role id' END AS err
+            FROM g JOIN s ON s.rn = g.rn + 1) step),
+e AS (SELECT s.*, g.err FROM s JOIN g ON g.rn = s.rn)
 SELECT e.user_id, e.username, e.email, e.role_name, err IS NULL AS accepted, err AS error,
   CASE WHEN err IS NULL THEN coalesce(rs.perms, '') END AS permissions,
   CASE WHEN err IS NULL THEN TIMESTAMP '{NOW}' + INTERVAL 15 MINUTE END AS access_expires_at,

@@ -53,6 +53,27 @@ def probe_parse(spark, sf_dir):
     return P.parse_probes(Fixtures(spark, sf_dir).probes)
 
 
+@register("probe_strict", ["probe_docs"], r"""
+, k AS (SELECT event_id, doc, json_valid(doc) AND doc <> '' AS v FROM probe_docs),
+x AS (SELECT event_id, CASE WHEN v THEN doc END AS doc FROM k),
+y AS (SELECT event_id, doc, json_extract_string(doc, '$.format.duration') AS ds,
+        coalesce(json_type(doc, '$.format.duration'), 'NULL') IN ('VARCHAR', 'NULL')
+          AND coalesce(json_type(doc, '$.streams.nb_read_frames'), 'NULL') IN ('VARCHAR', 'NULL')
+          AND coalesce(json_type(doc, '$.streams[0].nb_read_frames'), 'NULL') IN ('VARCHAR', 'NULL') AS texts,
+        coalesce(json_extract_string(doc, '$.streams.nb_read_frames'),
+                 json_extract_string(doc, '$.streams[0].nb_read_frames')) AS fs FROM x),
+z AS (SELECT *, CASE WHEN abs(TRY_CAST(ds AS DOUBLE)) * 1e9 < 9.2e18 THEN TRY_CAST(trunc(TRY_CAST(ds AS DOUBLE) * 1e9) AS BIGINT) END AS ns,
+        CASE WHEN regexp_full_match(fs, '[+-]?[0-9]+') THEN TRY_CAST(fs AS BIGINT) END AS fr FROM y),
+e AS (SELECT *, CASE WHEN doc IS NULL OR NOT texts THEN 'parse ffprobe output'
+                     WHEN ns IS NULL THEN 'parse duration from ffprobe output'
+                     WHEN fr IS NULL THEN 'parse frames from ffprobe output' END AS error FROM z)
+SELECT event_id, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN ns END AS duration_ns,
+  CASE WHEN error IS NULL THEN fr END AS total_frames FROM e
+""")
+def probe_strict(spark, sf_dir):
+    return P.parse_probes(Fixtures(spark, sf_dir).probe_docs)
+
+
 @register("progress_rejections", ["probes"], _PROBES_CTE + """
 SELECT job_id, coalesce(error, CASE WHEN fr = 0 THEN 'total frames cannot be zero' END) AS error
 FROM pr WHERE error IS NOT NULL OR fr = 0

@@ -101,7 +101,13 @@ ERR_USER_ID_EMPTY = "user id cannot be empty"
 ERR_EMAIL_EMPTY = "email cannot be empty"
 ERR_USERNAME_EMPTY = "username cannot be empty"
 ERR_PWD_HASH_EMPTY = "password hash cannot be empty"
+ERR_EMAIL_EXISTS = "email already exists"
+ERR_USERNAME_EXISTS = "username already exists"
 
+ERR_PROBE_PARSE = "parse ffprobe output"
+ERR_PROBE_DURATION = "parse duration from ffprobe output"
+ERR_PROBE_FRAMES = "parse frames from ffprobe output"
+ERR_UNMARSHAL = "unmarshal progress"
 ERR_TOTAL_FRAMES_ZERO = "total frames cannot be zero"
 ERR_PROGRESS_CANNOT_UPDATE = "current frames cannot be updated"
 

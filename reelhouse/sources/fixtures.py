@@ -108,6 +108,22 @@ SELECT 'job-'||CAST(user_id AS VARCHAR(20)) AS job_id,
 FROM (SELECT DISTINCT user_id FROM events) e
 """)
 
+# probe_docs: documents as a probe must not write them (P8), and a few good ones.
+_view("probe_docs", ["events"], """
+SELECT event_id, CASE event_id%11
+    WHEN 0 THEN '{"format":{"duration":1.5},"streams":{"nb_read_frames":"30"}}'
+    WHEN 1 THEN '{"format":{"duration":"1.5"},"streams":[{"nb_read_frames":30}]}'
+    WHEN 2 THEN '{"format":{"duration":"1.5"},"streams":{"nb_read_frames":"30"}} trailing'
+    WHEN 3 THEN '{"format":{"duration":"1.5"},"streams":{"nb_read_frames":"30"}}{}'
+    WHEN 4 THEN '{"format":{"duration":"1e300"},"streams":{"nb_read_frames":"30"}}'
+    WHEN 5 THEN '{"format":{"duration":"1e400"},"streams":{"nb_read_frames":"30"}}'
+    WHEN 6 THEN '{"format":{"duration":null},"streams":{"nb_read_frames":"30"}}'
+    WHEN 7 THEN '{"format":{"duration":"1.5"},"streams":{"nb_read_frames":"99999999999999999999"}}'
+    WHEN 8 THEN ''
+    ELSE '{"format":{"duration":"'||CAST(event_id AS VARCHAR(20))||'.5"},"streams":[{"nb_read_frames":"30"}]}' END AS doc
+FROM events
+""")
+
 _view("video_cmds", ["events"], """
 SELECT 'vid-'||CAST(event_id-event_id%6 AS VARCHAR(20)) AS video_id, event_id AS seq,
   CASE event_type WHEN 'click' THEN 'process' WHEN 'view' THEN 'publish' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'archive' ELSE 'update' END AS cmd
@@ -207,30 +223,35 @@ SELECT 'up-'||CAST(c_custkey AS VARCHAR(20)) AS upload_id,
 FROM customer
 """)
 
-# job_outcomes: one completion or failure report per job (X15, X16); most jobs are not running,
+# job_outcomes: a completion or failure report per job, sent twice (X15, X16); most jobs are not running,
 # so most reports are rejected, as a worker's late or duplicate report would be.
 _view("job_outcomes", ["orders"], """
-SELECT o_orderkey AS seq, 'job-'||CAST(o_orderkey AS VARCHAR(20)) AS job_id,
+SELECT 2*o_orderkey+again AS seq, 'job-'||CAST(o_orderkey AS VARCHAR(20)) AS job_id,
   CASE WHEN o_orderkey%3=0 THEN 'fail' ELSE 'complete' END AS outcome,
   'manifest.mpd' AS result, 'exit status 1' AS error_msg,
   CAST(60+o_orderkey%600 AS BIGINT)*1000000000 - CASE WHEN o_orderkey%37=0 THEN 1000000000000 ELSE 0 END AS duration
-FROM orders
+FROM (SELECT o_orderkey, 0 AS again FROM orders UNION ALL SELECT o_orderkey, 1 AS again FROM orders) o
 """)
 
-# signups: username, e-mail and requested role (some roles unknown, some fields blank).
+# signups: username, e-mail and requested role (some roles unknown, some fields blank, some names
+# and addresses asked for by several).
 _view("signups", ["customer"], """
 SELECT 'new-'||CAST(c_custkey AS VARCHAR(20)) AS user_id,
-  CASE WHEN c_custkey%23=0 THEN '' ELSE lower(c_name)||'@signup.example' END AS email,
-  'new_'||CAST(c_custkey AS VARCHAR(20)) AS username,
+  CASE WHEN c_custkey%23=0 THEN '' WHEN c_custkey%7=3 THEN 'team-'||CAST(c_custkey-c_custkey%50 AS VARCHAR(20))||'@signup.example'
+    ELSE lower(c_name)||'@signup.example' END AS email,
+  'new_'||CAST(CASE WHEN c_custkey%9=4 THEN c_custkey-1 ELSE c_custkey END AS VARCHAR(20)) AS username,
   CASE WHEN c_custkey%29=0 THEN '' ELSE 'hash' END AS password_hash,
   CASE c_custkey%6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' WHEN 4 THEN '5-LOW' ELSE 'no-such-role' END AS role_name
 FROM customer
 """)
 
-# duration_requests: durations to set on videos (X7); account balances give negative ones.
+# duration_requests: durations to set on videos, three per id (X7); account balances give negative ones.
 _view("duration_requests", ["customer"], """
-SELECT 'vid-'||CAST(c_custkey AS VARCHAR(20)) AS id, CAST(sign(c_acctbal)*floor(abs(c_acctbal)) AS BIGINT)*1000000000 AS duration
-FROM customer
+SELECT 'vid-'||CAST(c_custkey AS VARCHAR(20)) AS id, 3*c_custkey+again AS seq,
+  CASE again WHEN 0 THEN CAST(sign(c_acctbal)*floor(abs(c_acctbal)) AS BIGINT)*1000000000
+             WHEN 1 THEN CAST(c_custkey%2 AS BIGINT)*7000000000 ELSE CAST(9000000000 AS BIGINT) END AS duration
+FROM (SELECT c_custkey, c_acctbal, 0 AS again FROM customer UNION ALL SELECT c_custkey, c_acctbal, 1 AS again FROM customer
+      UNION ALL SELECT c_custkey, c_acctbal, 2 AS again FROM customer) c
 """)
 
 # deleted_users: users removed from the catalog; their role links must cascade away (U8).
