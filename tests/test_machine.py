@@ -142,3 +142,16 @@ def test_duration_rules(spark):
     req = spark.createDataFrame([("a", -1), ("b", -1)], "id string, duration long")
     got = {r.id: r.error for r in M.set_duration(req, videos).collect()}
     assert got == {"a": S.ERR_DURATION_NEGATIVE, "b": S.ERR_DURATION_SET}  # set is checked before negative
+
+
+def test_signup_conflicts_follow_the_accepted(spark):
+    """Rivals of a rejected signup are judged as if it had not been there."""
+    rows = [("a", "m@x", "n1", "", "r"), ("b", "m@x", "n2", "h", "r"), ("c", "m@x", "n3", "h", "r"),
+            ("d", "p@x", "n3", "h", "r"), ("e", "q@x", "n3", "h", "r"), ("f", "q@x", "n4", "h", "r")]
+    s = spark.createDataFrame(rows, "user_id string, email string, username string, password_hash string, role_name string")
+    users = spark.createDataFrame([], S.USERS)
+    roles = spark.createDataFrame([("1", "r")], "id string, name string")
+    slugs = spark.createDataFrame([("r", "video:upload")], "role_name string, slug string")
+    got = {r.user_id: r.error for r in M.signup_batch(s, users, roles, slugs, "2024-01-01 00:00:00").collect()}
+    assert got == {"a": S.ERR_PWD_HASH_EMPTY, "b": None, "c": S.ERR_EMAIL_EXISTS, "d": None,
+                   "e": S.ERR_USERNAME_EXISTS, "f": None}

@@ -105,3 +105,12 @@ def test_progress_order_percentages(spark):
     msgs = ev.select(F.col("seq").alias("event_id"), "channel", "payload")
     back = [(r.current_frames, r.status) for r in P.until_terminal(msgs).orderBy("event_id").collect()]
     assert back == [(25, "continue"), (50, "continue"), (75, "continue"), (100, "continue"), (100, "end")]
+
+
+def test_messages_are_one_json_object(spark):
+    good = msg(5, "continue")
+    rows = [(1, "video:A:progress", good + " junk"), (2, "video:A:progress", "null"), (3, "video:A:progress", good + "{}"),
+            (4, "video:A:progress", "[" + good + "]"), (5, "video:A:progress", good + "],[{}"), (6, "video:A:progress", good),
+            (7, "video:A:progress", None), (8, "video:A:progress", ""), (9, "video:A:progress", '{"Status":"a]"}')]
+    bad = {r.event_id for r in P.decode_messages(_msgs(spark, rows)).filter("malformed").collect()}
+    assert bad == {1, 3, 4, 5, 7, 8}

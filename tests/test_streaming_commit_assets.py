@@ -194,3 +194,28 @@ def test_bucketed_commit_rewrites_only_touched_buckets(spark, tmpdir_fresh):
     got_v = {r.id: r.status for r in cat.read("videos").collect()}
     assert len(got_j) == 20 and got_j["j3"] == "running" and got_j["j4"] == "pending"
     assert len(got_v) == 20 and got_v["v3"] == "processing" and got_v["v4"] == "pending"
+
+
+def test_state_tables_survive_snapshots(spark, tmpdir_fresh):
+    """A key closed in the first of 40 batches is still known after the snapshot batch, and a
+    batch that runs again sees what it saw the first time."""
+    from reelhouse.streaming.batch_state import SNAPSHOT_EVERY, BatchState
+    from reelhouse.streaming.progress_stream import CLOSED
+    st = BatchState(spark, f"{tmpdir_fresh}/state", CLOSED, "channel")
+    for b in range(SNAPSHOT_EVERY + 3):
+        st.write(b, spark.createDataFrame([(f"c{b}",)], CLOSED))
+    got = sorted(r.channel for r in st.before(SNAPSHOT_EVERY + 3).collect())
+    assert got == sorted(f"c{b}" for b in range(SNAPSHOT_EVERY + 3))
+    assert sorted(r.channel for r in st.before(2).collect()) == ["c0", "c1"]
+
+
+def test_text_stream_read_error(spark, tmpdir_fresh):
+    """A failed read closes the job's text with an 'error' event that keeps the last frames."""
+    from reelhouse.streaming.progress_stream import run_events_stream
+    inp, out = f"{tmpdir_fresh}/in", f"{tmpdir_fresh}/out"
+    totals = spark.createDataFrame([("j", 300)], "job_id string, total_frames long")
+    spark.createDataFrame([(1, "j", "frame=150"), (2, "j", "progress=error"), (3, "j", "frame=300")],
+                          "event_id long, job_id string, line string").coalesce(1).write.json(f"{inp}/b1")
+    run_events_stream(spark, f"{inp}/*", totals, f"{out}/e", f"{out}/ck")
+    got = [(r.seq, r.status, r.current_frames) for r in spark.read.parquet(f"{out}/e").orderBy("seq").collect()]
+    assert got == [(1, "continue", 150), (2, "error", 150)]

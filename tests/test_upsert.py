@@ -80,3 +80,11 @@ def test_broadcast_and_shuffle_paths_agree(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert "SortMergeJoin" in big._jdf.queryExecution().executedPlan().toString() or \
         "ShuffledHashJoin" in big._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patches_of_one_video_apply_in_order(spark):
+    videos = spark.createDataFrame([("v", "Old", "D", 0, "f", "r", "pending", T0, T0)], S.VIDEOS)
+    patches = spark.createDataFrame([(1, "v", "A", None), (2, "v", "Old", "E"), (3, "v", None, ""), (4, "v", None, None)],
+                                    "seq long, id string, title string, description string")
+    rows = U.apply_patches(videos, U.patch_videos(videos, patches), T1).collect()
+    assert [(r.title, r.description, r.updated_at) for r in rows] == [("Old", "E", T1)]
