@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import checkpoint_cut
 
 COMMIT_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
@@ -135,7 +136,7 @@ def commit_job_batch(catalog: VersionedCatalog, kind: str, batch: DataFrame, now
     from ..operators.upsert import apply_updates
     jobs, videos = catalog.read("jobs"), catalog.read("videos")
     decide = {"start": M.start_jobs, "complete": M.complete_jobs, "fail": M.fail_jobs}[kind]
-    out = decide(batch, jobs, videos)
+    out = checkpoint_cut(decide(batch, jobs, videos))  # decided once, written into two tables
     acc = out.filter("accepted")
     ts = F.lit(now).cast("timestamp")
     job_cols = [F.col("job_id").alias("id"), F.col("job_status").alias("status"), ts.alias("updated_at")]
