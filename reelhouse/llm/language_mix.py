@@ -27,12 +27,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import pieces
+from .words import slices
 
 BUCKETS, SMOOTH, PENALTY, ROUNDS, TOLERANCE = 1 << 15, 0.5, 1.0, 25, 2e-3
 UNDETERMINED = "und"
 #: Overlapping trigrams say about a third of what independent ones would.
 OVERLAP = 3.0
+#: Bytes of text that a task works on at once; its arrays take about a hundred times as much.
+WORK_BYTES = 1 << 18
 
 
 def _grams(data: bytes) -> np.ndarray:
@@ -52,13 +54,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts by language over a task's rows."""
     total: dict[str, np.ndarray] = {}
     for b in batches:
-        texts: dict[str, list] = {}
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            texts.setdefault(lang, []).append(_plain(text))
-        for lang, ts in texts.items():
-            held = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for x, y in pieces(ts):  # the texts' ends are blanks, so no trigram crosses into a word
-                held += np.bincount(_grams(b"".join(ts[x:y])), minlength=BUCKETS)
+        for x, y in slices(b.column(1), WORK_BYTES):
+            part, texts = b.slice(x, y - x), {}
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                texts.setdefault(lang, []).append(_plain(text))
+            for lang, ts in texts.items():  # the texts' ends are blanks, so no trigram crosses into a word
+                held = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                held += np.bincount(_grams(b"".join(ts)), minlength=BUCKETS)
     for lang, n in total.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())],
@@ -84,17 +86,20 @@ def mixtures(p: np.ndarray, c: np.ndarray, starts: np.ndarray, doc: np.ndarray,
 
     ``p``: trigram probabilities by component, ``c``: how often the document has the trigram,
     ``starts``/``doc``: where documents begin and which one a row is of, ``use``: the
-    components each document may use."""
+    components each document may use. A document is done when its shares settle, whatever
+    the others do."""
     n = np.add.reduceat(c, starts)
     share = use / use.sum(1, keepdims=True)
     live, one = np.arange(len(starts)), np.ones(p.shape[1])
     st, dd, pp, cc = starts, doc, p, c
+    moving = np.ones(len(starts), bool)
     for _ in range(ROUNDS):
         r = share[live][dd] * pp
         r *= (cc / (r @ one))[:, None]
         new = np.add.reduceat(r, st, axis=0) / n[live][:, None]
-        moving = np.abs(new - share[live]).max(1) > TOLERANCE
-        share[live] = new
+        step = np.abs(new - share[live]).max(1)
+        share[live[moving]] = new[moving]
+        moving &= step > TOLERANCE
         if not moving.any():
             break
         if moving.mean() < 0.7:  # go on with the documents that still change
@@ -103,6 +108,7 @@ def mixtures(p: np.ndarray, c: np.ndarray, starts: np.ndarray, doc: np.ndarray,
             renum = np.cumsum(moving) - 1
             dd = renum[dd[keep]]
             st = np.searchsorted(dd, np.arange(len(live)))
+            moving = np.ones(len(live), bool)
     fit = np.add.reduceat(c * np.log((share[doc] * p) @ one), starts)
     return share, fit
 
@@ -154,27 +160,27 @@ def infer(texts: list[bytes], model: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return share, chosen, np.clip(np.maximum(part, odds * (1 - share[:, k])), 0, 1)
 
 
-def _predict(langs: list[str], sent):
+def _predict(langs: list[str], sent, with_text: bool):
     letter = regex.compile(r"\p{L}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole, x, y in ((b, x, y) for b in batches for x, y in slices(b.column(0), WORK_BYTES)):
+            b = whole.slice(x, y - x)
             texts = b.column(0).to_pylist()
             n = len(texts)
             pred, score, noise = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
             mix = [[] for _ in range(n)]
             at = [i for i, t in enumerate(texts) if t and langs and letter.search(t)]
-            plain = [_plain(texts[i]) for i in at]
-            for x, y in pieces(plain):
-                share, chosen, s = infer(plain[x:y], sent.value)
-                for i, sh, ch, v in zip(at[x:y], share, chosen, s):
+            if at:
+                share, chosen, s = infer([_plain(texts[i]) for i in at], sent.value)
+                for i, sh, ch, v in zip(at, share, chosen, s):
                     mix[i] = sorted(((langs[j], float(sh[j])) for j in np.flatnonzero(ch)), key=lambda m: (-m[1], m[0]))
                     pred[i], score[i], noise[i] = mix[i][0][0], v, sh[-1]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
             made = [pa.array(pred, pa.string()), pa.array(score), pa.array(noise),
                     pa.array([[{"lang": a, "share": v} for a, v in m] for m in mix], kind)]
-            yield pa.RecordBatch.from_arrays(b.columns[1:] + made,
-                                             names=b.schema.names[1:] + ["lang_pred", "score", "noise", "mixture"])
+            kept = b.schema.names[0 if with_text else 1:]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + made, names=kept + ["lang_pred", "score", "noise", "mixture"])
     return run
 
 
@@ -182,10 +188,12 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "t
     """The columns ``keep`` of ``docs`` plus lang_pred, score, noise (share that no language
     explains) and mixture (language, share) of the chosen set, largest first."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(text).alias("__text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
-    return picked.mapInArrow(_predict(langs, sent), ", ".join(filter(None, (
+    with_text = text in keep  # then it moves to the tasks and back once
+    picked = docs.select(F.col(text).alias(text if with_text else "__text"), *[c for c in keep if c != text])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[0 if with_text else 1:])
+    found = picked.mapInArrow(_predict(langs, sent, with_text), ", ".join(filter(None, (
         schema, "lang_pred string, score double, noise double, mixture array<struct<lang:string,share:double>>"))))
+    return found.select(*keep, "lang_pred", "score", "noise", "mixture")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -142,6 +142,16 @@ def pieces(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tupl
         yield at, len(texts)
 
 
+def slices(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of an Arrow string column, about ``limit`` bytes of text each."""
+    import pyarrow.compute as pc
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    if not len(size):
+        return
+    edge = np.flatnonzero(np.diff((np.cumsum(size) - size) // limit, prepend=-1))
+    yield from zip(edge.tolist(), [*edge[1:].tolist(), len(size)])
+
+
 def utf8(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8 bytes (None for null)."""
     import pyarrow as pa
