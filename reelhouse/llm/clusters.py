@@ -48,13 +48,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], extras: tuple[str, ...] = (),
-                 may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
+                 may_link: Callable[[str, str], Column] | None = None, bands: DataFrame | None = None) -> DataFrame:
     """(id, comp) of the entries that have a verified link.
 
     ``entries``: (bucket, id, *extras), and ``weight`` if it is known how many copies a member
     stands for: half of the centres are then the heaviest members. ``verify`` takes distinct pairs (a, b) and returns
     those that are linked. ``may_link(x, y)``: a cheap necessary condition on the extras, whose
-    names are prefixed with ``x`` and ``y``; it is part of the joins that make the pairs."""
+    names are prefixed with ``x`` and ``y``; it is part of the joins that make the pairs. ``bands``:
+    (id, bands), the fixed number of buckets that each member may share, in one order; then the
+    full comparison makes a pair in the first bucket that its members share, and only there."""
     ensure_checkpoint_dir(entries.sparkSession)
     may_link = may_link or (lambda x, y: F.lit(True))
     cols = ("id", *extras)
@@ -83,8 +85,12 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], e
     live = live.join(mixed, "bucket").select("bucket", "comp", *cols).checkpoint()
     if live.isEmpty():
         return comps
-    cols = (*cols, "comp")
+    cols, first = (*cols, "comp"), F.lit(True)
+    if bands is not None:
+        live, cols = live.join(bands, "id"), (*cols, "bands")
     x, y = side(live, "x_"), side(live, "y_")
-    met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") < F.col("y_comp")) & may_link("x_", "y_"))
+    if bands is not None:
+        first = F.get(F.array_compact(F.zip_with("x_bands", "y_bands", lambda a, b: F.when(a == b, a))), F.lit(0)) == x["bucket"]
+    met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") < F.col("y_comp")) & may_link("x_", "y_") & first)
     more = verify(distinct_pairs(met)).select("a", "b").checkpoint()
     return comps if more.isEmpty() else components(links.union(more))

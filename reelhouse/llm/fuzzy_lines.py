@@ -11,7 +11,7 @@ Jaccard similarity of the sets, at least ``PERCENT`` / 100. The links become com
 distributed union-find (``clusters``). Of a component's occurrences the first stays (least
 doc_id, then line number), all others go.
 
-Texts move twice: to fetch the lines to verify, and to cut the lines that go.
+Texts move twice: to make the sets to verify, once a line, and to cut the lines that go.
 
 Defined cases: blank lines (nothing but white space) always stay and are never compared; null
 text has no lines and stays null; a text that loses all its lines becomes empty; rows that
@@ -90,10 +90,10 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
     entries = entries.join(shared, "bucket").join(distinct.select("id", "n", "f0", "f1", "weight"), "id").checkpoint()
     wanted = (distinct.join(entries.select("id").distinct(), "id").select("at.doc", "at.th", F.struct("at.pos", "id").alias("w"))
               .groupBy("doc", "th").agg(F.collect_list("w").alias("ws")))
-    path = scratch_path(spark, "lines-to-verify")
-    found = _with_lines(lambda ls: F.transform("ws", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["pos"]).alias("line"))))
-    docs.join(wanted, ["doc", "th"]).select(F.explode(found).alias("w")).select("w.id", "w.line").write.parquet(path)
-    texts = spark.read.parquet(path)
+    path = scratch_path(spark, "sets-to-verify")
+    found = _with_lines(lambda ls: F.transform("ws", lambda w: F.struct(w["id"].alias("id"), _set(F.get(ls, w["pos"])).alias("h"))))
+    docs.join(wanted, ["doc", "th"]).select(F.explode(found).alias("w")).select("w.id", "w.h").write.parquet(path)
+    sets = spark.read.parquet(path)
 
     def may_link(x, y):
         m, n = F.col(f"{x}n"), F.col(f"{y}n")
@@ -102,13 +102,13 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
         return (F.least(m, n) >= need) & (differ <= m + n - 2 * need)
 
     def verify(pairs):
-        a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-        b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", _set(F.col("x")).alias("x"), _set(F.col("y")).alias("y"))
+        a = sets.select(F.col("id").alias("a"), F.col("h").alias("x"))
+        b = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
+        both = pairs.join(a, "a").join(b, "b")
         common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
         return common.filter(100 * F.col("c") >= PERCENT * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b").distinct()
 
-    comps = link_buckets(entries, verify, extras=("n", "f0", "f1"), may_link=may_link)
+    comps = link_buckets(entries, verify, extras=("n", "f0", "f1"), may_link=may_link, bands=distinct.select("id", "bands"))
     grouped = distinct.join(comps, "id", "left").select("l1", "l2", "at", F.coalesce("comp", "id").alias("comp"))
     # only lines with several occurrences or a component can lose any: the keeper of each
     keeper = grouped.groupBy("comp").agg(F.min("at").alias("keep"))
