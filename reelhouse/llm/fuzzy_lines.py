@@ -1,9 +1,9 @@
 """Fuzzy line dedup by MinHash, with built-in functions only.
 
 Equal lines become one row by their 128-bit hash (aggregated before the shuffle, so a line that
-sits in a third of all documents is a few rows). A line's set is its character shingles taken
-at the word starts: ``SHINGLE`` characters, on into the next words, or the whole word where it
-is longer, so every character counts. Its signature is ``HASHES`` minima over that set; a band is
+sits in a third of all documents is a few rows). A line's set is all its overlapping shingles of
+``SHINGLE`` characters (a shorter line is one), whatever its script, with or without blanks. Its
+signature is ``HASHES`` minima over that set; a band is
 three of them, and lines that are 0.8 similar share one of the ``BANDS`` bands nearly always (the
 tests measure it). Lines that share a band must pass the size bound and a parity bound (bits in
 which hashed parities of the sets differ are a lower bound of their difference), then the exact
@@ -11,7 +11,7 @@ Jaccard similarity of the sets, at least ``PERCENT`` / 100. The links become com
 distributed union-find (``clusters``). Of a component's occurrences the first stays (least
 doc_id, then line number), all others go.
 
-Texts move twice: to make the sets to verify, once a line, and to cut the lines that go.
+Texts move twice: to fetch the lines to verify, once a line, and to cut the lines that go.
 
 Defined cases: blank lines (nothing but white space) always stay and are never compared; null
 text has no lines and stays null; a text that loses all its lines becomes empty; rows that
@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .clusters import link_buckets
 
-SHINGLE, HASHES, BANDS, PERCENT = 12, 16, 8, 80
+SHINGLE, HASHES, BANDS, PERCENT = 8, 16, 8, 80
 _NO_ID = -(1 << 63)
 
 
 def _set(line: Column) -> Column:
-    """Hashes of the line's shingles, distinct. Each match takes a word and the space after it, so
-    the next one begins at a word start."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?=(\S{{{SHINGLE},}}+|\S.{{0,{SHINGLE - 1}}}))\S++\s*+"), F.lit(1))
+    """Hashes of the line's shingles, distinct. Each match takes one character (code point) and
+    looks ahead for its shingle, so the time is linear in the line's length."""
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    found = F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(every)
     return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
@@ -90,10 +91,10 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
     entries = entries.join(shared, "bucket").join(distinct.select("id", "n", "f0", "f1", "weight"), "id").checkpoint()
     wanted = (distinct.join(entries.select("id").distinct(), "id").select("at.doc", "at.th", F.struct("at.pos", "id").alias("w"))
               .groupBy("doc", "th").agg(F.collect_list("w").alias("ws")))
-    path = scratch_path(spark, "sets-to-verify")
-    found = _with_lines(lambda ls: F.transform("ws", lambda w: F.struct(w["id"].alias("id"), _set(F.get(ls, w["pos"])).alias("h"))))
-    docs.join(wanted, ["doc", "th"]).select(F.explode(found).alias("w")).select("w.id", "w.h").write.parquet(path)
-    sets = spark.read.parquet(path)
+    path = scratch_path(spark, "lines-to-verify")  # text: a set takes eight times its bytes
+    found = _with_lines(lambda ls: F.transform("ws", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["pos"]).alias("line"))))
+    docs.join(wanted, ["doc", "th"]).select(F.explode(found).alias("w")).select("w.id", "w.line").write.parquet(path)
+    texts = spark.read.parquet(path)
 
     def may_link(x, y):
         m, n = F.col(f"{x}n"), F.col(f"{y}n")
@@ -102,9 +103,9 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
         return (F.least(m, n) >= need) & (differ <= m + n - 2 * need)
 
     def verify(pairs):
-        a = sets.select(F.col("id").alias("a"), F.col("h").alias("x"))
-        b = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
-        both = pairs.join(a, "a").join(b, "b")
+        a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
+        b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", _set(F.col("x")).alias("x"), _set(F.col("y")).alias("y"))
         common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
         return common.filter(100 * F.col("c") >= PERCENT * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b").distinct()
 

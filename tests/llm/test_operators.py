@@ -208,6 +208,51 @@ def test_near_lines_against_all_pairs(spark):
     assert got == want
 
 
+def _kept_by_all_shingles(docs, size=8, percent=80):
+    """Document -> text left, every distinct line against every other by all its overlapping shingles."""
+    first = {}
+    for i, t in sorted(docs):
+        for p, x in enumerate(t.split("\n")):
+            if x.strip():
+                first.setdefault(x, (i, p))
+    sets = {x: frozenset(x[k:k + size] for k in range(max(1, len(x) - size + 1))) for x in first}
+    root = {x: x for x in first}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by_first = sorted(first, key=first.get)
+    for i, x in enumerate(by_first):
+        for y in by_first[:i]:
+            c = len(sets[x] & sets[y])
+            if 100 * c >= percent * (len(sets[x]) + len(sets[y]) - c):
+                a, b = sorted((find(x), find(y)), key=first.get)
+                root[b] = a
+    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip() or first[find(x)] == (i, p)) for i, t in docs}
+
+
+def test_near_lines_by_all_character_shingles(spark):
+    """The small documents, and lines of a script without blanks, by the whole definition."""
+    rng = np.random.default_rng(5)
+    docs = [(r[0], r[1] or "") for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    for script in ((0x4E00, 0x9000), (0x1F600, 0x1F640), (0x61, 0x7B)):  # Chinese, beyond 16 bits, one long word
+        for n in (60, 120, 400):
+            line = [chr(c) for c in rng.integers(*script, n)]
+            near = line[:]
+            near[n // 3] = "#"
+            docs += [(100_000 + len(docs), "".join(line)), (100_000 + len(docs) + 1, "".join(near))]
+    for k in range(40):  # two characters of a line changed: most lose a fifth of the shingles at word starts
+        line = " ".join("".join(chr(c) for c in rng.integers(0x61, 0x7B, int(m))) for m in rng.integers(2, 12, 22))
+        near = line[:40] + "#" + line[41:90] + "#" + line[91:]
+        docs += [(200_000 + len(docs), line), (200_000 + len(docs) + 1, near)]
+    made = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], DOCS)
+    got = {r.doc_id: r.text for r in fuzzy_lines.drop_surplus_lines(made).collect()}
+    want = _kept_by_all_shingles(docs)
+    assert got == want and sum(want[i] == "" for i in want if i >= 100_000) >= 30
+
+
 def test_subsets_and_lists_agree(spark, monkeypatch):
     """Light sets by subsets give the components that inverted lists give."""
     rng = np.random.default_rng(3)
