@@ -18,6 +18,8 @@ from reelhouse.session import ensure_checkpoint_dir
 
 #: A document goes if no language explains more than this share of it.
 MAX_NOISE = 0.8
+#: Near copies: words of a shingle, and the similarity of the sets.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +45,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one of the smallest id.
+    """One document of each component of near copies (shingles of five words, similarity 0.8 or
+    more): the one of the smallest id.
 
     Documents without words or without an id link with nothing and stay; rows that repeat the
     id and all columns of a kept document are copies of it and go."""
-    comps = ngram_join.jaccard_components(docs)
+    comps = ngram_join.jaccard_components(docs, shingle=NEAR_WORDS, percent=NEAR_PERCENT)
     goes = comps.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     twice = comps.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__rows")).filter("__rows > 1")
     kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)

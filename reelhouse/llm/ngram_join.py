@@ -4,12 +4,12 @@ A document's set is its distinct shingles of ``SHINGLE`` words. Two sets link if
 similarity is at least ``PERCENT`` / 100. Documents with equal sets are one representative.
 
 Light sets (up to the boundary) enumerate subsets of fixed size: linked sets of size n miss at
-most floor(n / 10) elements (at 90 percent) of the other, so they share one of their subsets
+most floor(n / 10) elements (at 90 percent, n / 5 at 80) of the other, so they share one of their subsets
 that lack so many elements or fewer; each subset is one hash, the set's sum without the missing
 ones. Heavy sets scan inverted lists: under one order of all shingles, rarest first, linked sets
 share a shingle among their first n - ceil(0.9 n) + 1. The boundary is the size up to which
 subsets cost less (rows they make) than list scans (rows times the length of their lists),
-measured on the sets themselves. Sets that a light set could link to beyond the boundary enumerate, too.
+measured on the sets themselves; no set that may miss more than ``LOST`` elements is light. Sets that a light set could link to beyond the boundary enumerate, too.
 
 Rarity comes from a table of fixed size that counts hashed shingles over all documents; any
 order serves, this one keeps frequent shingles out of the lists.
@@ -43,8 +43,8 @@ from .words import NOT_SPACE, mix64, pieces, split_words, utf8, windows_hash, wi
 SHINGLE, PERCENT = 3, 90
 #: Entries of the table of shingle counts and of the table of documents to verify.
 COUNT_BITS, MEMBER_BITS, CHUNK = 1 << 20, 1 << 23, 1 << 12
-#: Possible boundaries: largest light set.
-BOUNDARIES = (0, 9, 17, 26)
+#: Light sets miss at most so many elements, and have at most so many.
+LOST, LIGHT = 2, 26
 
 
 def _missing(n: int, percent: int) -> int:
@@ -52,6 +52,11 @@ def _missing(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def _largest(percent: int) -> int:
+    """The largest possible boundary: what its sets can link to misses at most LOST elements, too."""
+    return max(n for n in range(LIGHT + 1) if _missing(n * 100 // percent, percent) <= LOST)
+
+
 def _sets(texts: list[bytes | None], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
     """(index, distinct shingle hashes, sorted) of every text."""
     for x, y in pieces(texts):
@@ -128,7 +133,7 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
 def _signatures(shingle: int, percent: int, sent):
     """Per document: set size, set key (128 bits), prefix of the inverted lists, subset hashes,
     parity."""
-    largest = BOUNDARIES[-1] * 100 // percent
+    largest = _largest(percent) * 100 // percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,12 +213,12 @@ def _close(percent: int):
 
 
 def _boundary(reps: DataFrame, lists: DataFrame) -> int:
-    """The largest light set, by cost: rows that subsets make against rows in the lists times
-    the length of those lists."""
-    rows = reps.filter(F.col("n") <= BOUNDARIES[-1]).groupBy("n").agg(F.sum(F.size("subsets")).alias("rows"))
-    scan = lists.filter(F.col("n") <= BOUNDARIES[-1]).groupBy("n").agg(F.sum("len").alias("scan"))
+    """The largest light set of those in ``reps``, by cost: rows that subsets make against rows in
+    the lists times the length of those lists."""
+    rows = reps.groupBy("n").agg(F.sum(F.size("subsets")).alias("rows"))
+    scan = lists.groupBy("n").agg(F.sum("len").alias("scan"))
     cost = rows.join(scan, "n", "left").na.fill(0).collect()  # one row per size
-    return min(BOUNDARIES, key=lambda x: (sum(r["rows"] if r["n"] <= x else r["scan"] for r in cost), x))
+    return min((0, *(r["n"] for r in cost)), key=lambda x: (sum(r["rows"] if r["n"] <= x else r["scan"] for r in cost), x))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -231,7 +236,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lists = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "bucket"))
     shared = lists.groupBy("bucket").agg(F.count("*").alias("len")).filter("len > 1")
     lists = lists.join(shared, "bucket").checkpoint()  # a list of one links nothing
-    light = _boundary(reps, lists)
+    may_be_light = F.col("n") <= _largest(percent)
+    light = _boundary(reps.filter(may_be_light), lists.filter(may_be_light))
     entries = lists.filter(F.col("n") > light).select("bucket", "id", "n", "pos")
     if light:
         subsets = reps.filter(F.col("n") <= light * 100 // percent).select("doc_id", "n", F.explode("subsets").alias("bucket"))

@@ -1,8 +1,11 @@
 """The corpus pipeline: columns, order of the stages, and what each one decides."""
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
+from reelhouse.llm import ngram_join
+
 from ..conftest import SF_SMALL
 
 
@@ -26,3 +29,39 @@ def test_stages_keep_columns_and_clean_documents(spark):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join",
                                                       "benchmark decontamination", "best-fit packing"]
+
+
+def _near(x, y, shingle=5, percent=80):
+    a, b = ({tuple(t[i:i + shingle]) for i in range(max(1, len(t) - shingle + 1))} for t in (x.split(), y.split()))
+    return 100 * len(a & b) >= percent * len(a | b)
+
+
+def _edited(words, n):
+    words = list(words)
+    for k in range(n):
+        words[(2 * k + 1) * len(words) // (2 * n)] = f"edit{k}"
+    return " ".join(words)
+
+
+def test_near_copies_of_five_words_and_four_fifths(spark):
+    """The documents that stay are those that all pairs leave."""
+    rng, texts = np.random.default_rng(11), []
+    for n, edits in [(100, 2), (200, 4), (400, 8), (100, 4), (60, 3)] + [(int(n), 1) for n in rng.integers(5, 60, 40)]:
+        words = [f"w{i}" for i in rng.integers(0, 5000, n)]
+        texts += [" ".join(words), _edited(words, edits), " ".join([*words, "end"])]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if comp[i] != comp[j] and _near(texts[i], texts[j]):
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF_SMALL).collect()}
+    assert kept == set(comp) and {1, 4, 7}.isdisjoint(kept) and 10 in kept
+
+
+def test_light_sets_stay_small_at_any_percent():
+    for percent in (50, 80, 90, 99, 100):
+        n = ngram_join._largest(percent) * 100 // percent
+        assert ngram_join._missing(n, percent) <= 2 and n <= 52
+    assert ngram_join._largest(90) == 26 and ngram_join._largest(80) == 11
