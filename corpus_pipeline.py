@@ -37,8 +37,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without lines that (nearly) repeat an earlier one; no document goes."""
-    left = fuzzy_lines.drop_surplus_lines(docs)
+    """Every document without lines that (nearly) repeat an earlier one. Goes: a document that had
+    words and lost all of them, as each of its lines stands in an earlier one."""
+    left = fuzzy_lines.drop_surplus_lines(docs, into="__left")
+    lost = F.col("text").rlike(r"\S") & ~F.col("__left").rlike(r"\S")
+    left = left.filter(~F.coalesce(lost, F.lit(False))).withColumn("text", F.col("__left"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)

@@ -65,3 +65,14 @@ def test_light_sets_stay_small_at_any_percent():
         n = ngram_join._largest(percent) * 100 // percent
         assert ngram_join._missing(n, percent) <= 2 and n <= 52
     assert ngram_join._largest(90) == 26 and ngram_join._largest(80) == 11
+
+
+def test_one_document_of_each_copy_group_is_left(spark):
+    rng = np.random.default_rng(12)
+    texts = ["\n".join(" ".join(f"w{i}" for i in rng.integers(0, 5000, 15)) for _ in range(3)) for _ in range(4)]
+    rows = [(10 * g + k, t, len(t)) for g, t in enumerate(texts) for k in range(5)] + [(100, None, 0), (101, "", 0), (102, " \n", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    out = corpus_pipeline.line_dedup(spark, docs, SF_SMALL)
+    assert out.columns == docs.columns
+    left = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert left == {**{10 * g: (t, len(t)) for g, t in enumerate(texts)}, 100: (None, None), 101: ("", 0), 102: (" \n", 2)}
