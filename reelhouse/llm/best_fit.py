@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-CAPACITY, END_ID, BUCKET_ROWS, MAX_STEPS = 1024, 2, 50_000, 20_000
+CAPACITY, END_ID, BUCKET_ROWS = 1024, 2, 50_000
 #: Fixed value: the public word pattern of this vocabulary, its runs possessive.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 SPECIAL = {"<|endoftext|>": 50256}
@@ -141,8 +141,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return done
 
 
-def local_search(plan: Counter, capacity: int, steps: int = MAX_STEPS) -> Counter:
-    """Exchanges between underfull fillings that raise the sum of squared fills."""
+def local_search(plan: Counter, capacity: int) -> Counter:
+    """Exchanges between underfull fillings that raise the sum of squared fills, so they end."""
     full = Counter({f: n for f, n in plan.items() if _fill(f) == capacity})
     under = Counter({f: n for f, n in plan.items() if _fill(f) < capacity})
     total = sum(_fill(f) * n for f, n in plan.items())
@@ -165,9 +165,7 @@ def local_search(plan: Counter, capacity: int, steps: int = MAX_STEPS) -> Counte
                     yield x + z - y, [x, z], [y]
 
     stuck: set = set()
-    for _ in range(steps):
-        if sum(full.values()) + sum(under.values()) <= fewest:
-            break
+    while sum(full.values()) + sum(under.values()) > fewest:
         order = sorted((f for f in under), key=lambda f: (_fill(f), f))
         todo = None
         for b in order:                      # the emptiest first: it is to empty

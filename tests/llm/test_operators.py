@@ -154,6 +154,11 @@ def test_local_search_empties_sequences():
     assert count == {6: 1, 5: 1, 4: 1, 3: 1, 2: 1}
 
 
+def test_local_search_goes_on_to_the_end():
+    plan = best_fit.Counter({((1, 25_000),): 1, ((1, 25_001),): 1})  # a piece moves at a time
+    assert best_fit.local_search(plan, 60_000) == {((1, 50_001),): 1}
+
+
 def test_languages_on_held_out_rows(spark):
     got = llm.queries()["op1_language_mix"](spark, "/root/testdata/sf0.01")
     true = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
