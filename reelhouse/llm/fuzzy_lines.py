@@ -4,7 +4,7 @@ Equal lines become one row by their 128-bit hash (aggregated before the shuffle,
 sits in a third of all documents is a few rows). A line's set is all its overlapping shingles of
 ``SHINGLE`` characters (a shorter line is one), whatever its script, with or without blanks. Its
 signature is ``HASHES`` minima over that set; a band is
-three of them, and lines that are 0.8 similar share one of the ``BANDS`` bands nearly always (the
+three of them, and lines that are 0.8 similar share one of the ``BANDS`` bands nearly always (98 to 99.6 percent, the
 tests measure it). Lines that share a band must pass the size bound and a parity bound (bits in
 which hashed parities of the sets differ are a lower bound of their difference), then the exact
 Jaccard similarity of the sets, at least ``PERCENT`` / 100. The links become components by

@@ -258,6 +258,19 @@ def test_near_lines_by_all_character_shingles(spark):
     assert got == want and sum(want[i] == "" for i in want if i >= 100_000) >= 30
 
 
+@pytest.mark.parametrize("k", [2, 10, 40])
+def test_band_recall_at_four_fifths(spark, k):
+    """Pairs of sets of 9 k elements, similar by exactly 0.8: how many share a band."""
+    rng = np.random.default_rng(k)
+    h = rng.integers(-(1 << 63), (1 << 63) - 1, (1000, 10 * k))
+    rows = [(i, v) for i, x in enumerate(h) for v in (x[:9 * k].tolist(), x[k:].tolist())]
+    orders, minima, bands = fuzzy_lines._bands()
+    signed = spark.createDataFrame(rows, "id long, _h array<long>").withColumn("_o", orders).withColumn("_v", minima).select("id", bands.alias("b"))
+    found = signed.groupBy("id").agg(F.min("b").alias("x"), F.max("b").alias("y")).filter(F.arrays_overlap("x", "y")).count()
+    print("band recall", 9 * k, found / 1000)
+    assert found >= 980
+
+
 def test_subsets_and_lists_agree(spark, monkeypatch):
     """Light sets by subsets give the components that inverted lists give."""
     rng = np.random.default_rng(3)
