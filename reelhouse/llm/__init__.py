@@ -10,10 +10,10 @@ and ``oracle_sql()`` below collect them for the driver contract.
 from __future__ import annotations
 
 from . import (bench_join, best_fit, fuzzy_lines, host_reputation, language_mix, merkle_manifest, ngram_join, piece_codec, pii_spans,
-               repeated_spans, sampled_shards, topk_search)
+               repeated_spans, sampled_shards, token_alignment, topk_search)
 
 MODULES = (language_mix, repeated_spans, bench_join, host_reputation, ngram_join, pii_spans, fuzzy_lines,
-           sampled_shards, topk_search, best_fit, piece_codec,
+           sampled_shards, topk_search, best_fit, piece_codec, token_alignment,
            merkle_manifest)
 
 
