@@ -99,7 +99,7 @@ class Sides:
         none = np.empty(0, np.int64)
         if not text:
             return none, none
-        a, b = self.a.encode_ordinary(" " + text), np.frombuffer(self.b.encode(text), "<u4").tolist()
+        a, b = self.a.encode_ordinary(" " + text), self.b.library.encode(text)
         want = b" " + text.encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
             return none, none
