@@ -1,10 +1,12 @@
 """State-machine queries: replay_video, replay_job, set_duration, rename_user, archive_videos,
-upload_batch, start_jobs, complete_jobs, fail_jobs, signup_batch, login_claims."""
+upload_batch, start_jobs, complete_jobs, fail_jobs, signup_batch, login_claims, replay_job_batch,
+replay_video_edits."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import job_replay as J
 from ..operators import lookup as L
 from ..operators import machine as M
 from ..operators import rbac as R
@@ -256,3 +258,43 @@ def login_claims(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     look = R.lookup_users_by_key(fx.login_keys, fx.users)
     return M.login_claims(look, fx.users, fx.user_roles, fx.role_permissions, fx.permissions, NOW)
+
+
+# one command after the other per video; ``done`` holds the status of its jobs that changed
+@register("replay_job_batch", ["job_commands", "jobs", "videos"], recursive=True, oracle="""
+, c AS (SELECT k.*, j.video_id, j.status AS js, v.status AS vs, v.duration AS vd,
+          row_number() OVER (PARTITION BY j.video_id ORDER BY k.seq) AS rn
+        FROM job_commands k LEFT JOIN jobs j ON j.id = k.job_id LEFT JOIN videos v ON v.id = j.video_id),
+r AS (
+  SELECT video_id, CAST(0 AS BIGINT) AS rn, vs, vd, CAST(map() AS MAP(VARCHAR, VARCHAR)) AS done,
+    CAST(NULL AS VARCHAR) AS now, CAST(NULL AS VARCHAR) AS err
+  FROM (SELECT DISTINCT video_id, vs, vd FROM c WHERE vs IS NOT NULL) v
+  UNION ALL
+  SELECT video_id, rn, CASE WHEN e IS NULL THEN CASE cmd WHEN 'start' THEN 'processing' WHEN 'fail' THEN 'failed' ELSE 'published' END ELSE vs END,
+    CASE WHEN e IS NULL AND cmd = 'complete' THEN duration ELSE vd END,
+    CASE WHEN e IS NULL THEN map_concat(done, MAP([job_id], [goes])) ELSE done END, CASE WHEN e IS NULL THEN goes ELSE now END, e
+  FROM (SELECT *, CASE cmd WHEN 'start' THEN 'running' WHEN 'fail' THEN 'failed' ELSE 'completed' END AS goes,
+          CASE WHEN cmd = 'start' THEN CASE WHEN now IN ('running', 'completed') THEN 'job cannot be started'
+                                            WHEN vs IN ('processing', 'published', 'archived') THEN 'video cannot be marked as processing' END
+               WHEN cmd = 'fail' THEN CASE WHEN now <> 'running' THEN 'job cannot be marked as failed'
+                                           WHEN vs <> 'processing' THEN 'video cannot be marked as failed' END
+               ELSE CASE WHEN now <> 'running' THEN 'job cannot be completed' WHEN vd <> 0 THEN 'video duration has already been set'
+                         WHEN duration < 0 THEN 'video duration cannot be negative' WHEN vs <> 'processing' THEN 'video cannot be published' END
+          END AS e
+        FROM (SELECT r.video_id, c.rn, r.vs, r.vd, r.done, c.job_id, c.cmd, c.duration, coalesce(element_at(r.done, c.job_id)[1], c.js) AS now
+              FROM r JOIN c ON c.video_id = r.video_id AND c.rn = r.rn + 1) x) y)
+SELECT c.seq, c.job_id, c.video_id, c.cmd, r.err IS NULL AS accepted, r.err AS error, r.now AS job_status,
+  CASE WHEN r.err IS NULL AND c.cmd = 'complete' THEN c.result END AS job_result,
+  CASE WHEN r.err IS NULL AND c.cmd = 'fail' THEN c.error_msg END AS job_error_msg, r.vs AS video_status, r.vd AS video_duration
+FROM c JOIN r ON r.video_id = c.video_id AND r.rn = c.rn
+UNION ALL
+SELECT seq, job_id, video_id, cmd, false, CASE WHEN js IS NULL THEN 'job not found'
+    WHEN cmd = 'start' AND js IN ('running', 'completed') THEN 'job cannot be started'
+    WHEN cmd = 'fail' AND js <> 'running' THEN 'job cannot be marked as failed'
+    WHEN cmd = 'complete' AND js <> 'running' THEN 'job cannot be completed' ELSE 'video not found' END,
+  js, NULL, NULL, NULL, NULL
+FROM c WHERE vs IS NULL
+""")
+def replay_job_batch(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return J.replay_job_batch(fx.job_commands, fx.jobs, fx.videos)

@@ -259,6 +259,28 @@ _view("deleted_users", ["customer"], """
 SELECT 'user-'||CAST(c_custkey AS VARCHAR(20)) AS id FROM customer WHERE c_custkey%7=0
 """)
 
+# job_commands: start / fail / complete commands for all jobs (some unknown), those of one video's jobs
+# interleaved by shipping day; parts give durations, a few of them zero or negative.
+_view("job_commands", ["lineitem"], """
+SELECT CAST(day AS BIGINT)*1000000000000+l_orderkey*10+l_linenumber AS seq,
+  CASE WHEN l_orderkey%53=0 THEN 'job-missing-' ELSE 'job-' END||CAST(l_orderkey AS VARCHAR(20)) AS job_id,
+  CASE WHEN (7*l_orderkey+3*l_linenumber)%8<4 THEN 'start' WHEN (7*l_orderkey+3*l_linenumber)%8<7 THEN 'fail' ELSE 'complete' END AS cmd,
+  CAST(part%40-2 AS BIGINT)*1000000000 AS duration, 'manifest.mpd' AS result, 'exit status '||CAST(l_linenumber AS VARCHAR(20)) AS error_msg
+FROM (SELECT l_orderkey, l_linenumber, min(extract(YEAR FROM l_shipdate)*372+extract(MONTH FROM l_shipdate)*31+extract(DAY FROM l_shipdate)) AS day,
+        min(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber) l
+""")
+
+# video_edits: status moves and edits of title, description and duration for all videos (some unknown).
+_view("video_edits", ["events"], """
+SELECT 'vid-'||CAST(CASE WHEN event_id%61=0 THEN 90000000 ELSE 0 END+event_id%700 AS VARCHAR(20)) AS video_id, event_id AS seq,
+  CASE event_type WHEN 'click' THEN 'process' WHEN 'view' THEN CASE WHEN event_id%2=0 THEN 'publish' ELSE 'archive' END
+    WHEN 'error' THEN CASE WHEN event_id%3=0 THEN 'fail' WHEN event_id%3=1 THEN 'set_duration' ELSE 'rename' END
+    WHEN 'purchase' THEN 'set_title' ELSE 'set_description' END AS cmd,
+  CASE event_id%5 WHEN 0 THEN '' WHEN 1 THEN CAST(NULL AS VARCHAR(20)) ELSE 'text '||CAST(event_id AS VARCHAR(20)) END AS text,
+  CAST(event_id%4-1 AS BIGINT)*1000000000 AS duration
+FROM events
+""")
+
 # permission_requests: slug lists to sync, one list per brand, each with repeats (U4).
 _view("permission_requests", ["part"], """
 SELECT p_partkey AS req_id, 'part:'||lower(p_brand) AS slug FROM part
