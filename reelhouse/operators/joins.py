@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, measured_side
 
 REQUEST_LIMIT = 200_000
 
@@ -24,9 +24,10 @@ def request_left_join(requests: DataFrame, table: DataFrame, on: list[str] | str
     """``requests.join(table, on, "left")`` without shuffling ``table`` for small batches.
     Output columns: the join keys, then the requests' columns, then the table's columns."""
     keys = [on] if isinstance(on, str) else list(on)
-    rb = bounded_broadcast(requests, max_rows)
-    if rb is requests:
-        return requests.join(table, keys, "left")
+    rb, small = measured_side(requests, max_rows)
+    if not small:
+        return rb.join(table, keys, "left")
+    rb = F.broadcast(rb)
     matched = table.join(rb, keys, "inner")
     hit = F.broadcast(matched.select(*keys).distinct())  # at most the batch's distinct keys
     missing = rb.join(hit, keys, "left_anti")
@@ -42,9 +43,9 @@ def with_exists_flag(requests: DataFrame, table: DataFrame, keys: list[str] | st
     (semi join); otherwise the table's distinct keys are shuffled once."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     req_keys = requests.select(*keys).distinct()
-    rk = bounded_broadcast(req_keys, max_rows)
-    if rk is not req_keys:
-        hit = F.broadcast(table.select(*keys).join(rk, keys, "left_semi").distinct()
+    rk, small = measured_side(req_keys, max_rows)
+    if small:
+        hit = F.broadcast(table.select(*keys).join(F.broadcast(rk), keys, "left_semi").distinct()
                           .withColumn(flag, F.lit(True)))  # at most the batch's distinct keys
     else:
         hit = table.select(*keys).distinct().withColumn(flag, F.lit(True))

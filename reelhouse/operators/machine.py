@@ -134,7 +134,7 @@ class Machine:
     # -- replay
     def replay(self, cmds: DataFrame, key: str, seq: str, cmd: str, payload: dict[str, str] | None = None,
                initial: DataFrame | None = None, initial_state: str | None = None,
-               branching: int = 1024) -> DataFrame:
+               branching: int = 1024, missing_error: str = S.ERR_JOB_NOT_FOUND) -> DataFrame:
         """Final state per entity after its commands in ``seq`` order.
 
         The start state is ``initial_state`` for every entity, or the ``status`` column of
@@ -156,7 +156,7 @@ class Machine:
         ok = "coalesce(found, false)"
         nacc = f"CASE WHEN {ok} THEN {self.at_sql('_t', 'a', i0)} ELSE CAST(0 AS BIGINT) END"
         names = "array(" + ", ".join(_q(st) for st in self.states) + ")"
-        missing = _q(S.ERR_JOB_NOT_FOUND) if initial is not None else "CAST(NULL AS STRING)"
+        missing = _q(missing_error) if initial is not None else "CAST(NULL AS STRING)"
         out = [F.col(key), F.expr(ok).alias("found"),
                F.expr(f"CASE WHEN {ok} THEN element_at({names}, {self.at_sql('_t', 'n', i0)} + 1) END").alias("status"),
                F.col("n").alias("n_commands"), F.expr(nacc).alias("n_accepted"),
@@ -172,6 +172,56 @@ def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+@dataclass
+class Guarded:
+    """A command of a ``GuardedMachine``.
+
+    ``rules`` are (states or None, payload condition or None, rejection text), checked in order: a
+    rule with states rejects the command there, one with a condition (SQL over the payload columns)
+    where that holds, one with both where both do. ``moves`` maps a state to the next one, under the
+    SQL condition ``when`` if given; unnamed states stay. ``register`` gives
+    for a register the SQL of what an accepted command writes there."""
+    rules: list[tuple[list[str] | None, str | None, str]] = field(default_factory=list)
+    moves: dict[str, str] = field(default_factory=dict)
+    when: str | None = None
+    register: dict[str, str] = field(default_factory=dict)
+
+
+@dataclass
+class GuardedMachine(Machine):
+    """A machine whose commands may also be rejected for their payload, or for what an earlier one
+    wrote (a flag of a register is part of the state, e.g. duration set or not).
+
+    A command is still one transition function over the states, as its payload is known when it is
+    built; so composition, and with it the replay as a tree, stay as they are."""
+    commands: dict[str, Guarded] = field(default_factory=dict)
+
+    @property
+    def registers(self) -> list[str]:
+        return sorted({r for c in self.commands.values() for r in c.register})
+
+    def element_sql(self, cmd: str, payload: dict[str, str] | None = None) -> str:
+        null_s = "CAST(NULL AS STRING)"
+        n, a, e, regs = [], [], [], {r: [] for r in self.registers}
+        for i, st in enumerate(self.states):
+            err, nxt, reg = [], [], {r: [] for r in self.registers}
+            for name, c in self.commands.items():
+                broken = [(cond or "true", text) for states, cond, text in c.rules if states is None or st in states]
+                whens = "".join(f" WHEN {cond} THEN {_q(text)}" for cond, text in broken)
+                err.append(f"WHEN {_q(name)} THEN " + (f"CASE{whens} END" if broken else null_s))
+                to = self.states.index(c.moves.get(st, st))
+                nxt.append(f"WHEN {_q(name)} THEN " + (f"CASE WHEN {c.when} THEN {to} ELSE {i} END" if c.when else str(to)))
+                for r in self.registers:
+                    reg[r].append(f"WHEN {_q(name)} THEN " + (f"CAST({c.register[r]} AS STRING)" if r in c.register else null_s))
+            error = f"(CASE {cmd} {' '.join(err)} ELSE {_q(self.unknown_error)} END)"
+            n.append(f"CASE WHEN {error} IS NULL THEN CASE {cmd} {' '.join(nxt)} END ELSE {i} END")
+            a.append(f"CAST(CASE WHEN {error} IS NULL THEN 1 ELSE 0 END AS BIGINT)")
+            e.append(error)
+            for r in self.registers:
+                regs[r].append(f"CASE WHEN {error} IS NULL THEN CASE {cmd} {' '.join(reg[r])} END END")
+        return self._struct_sql(n, a, e, regs)
+
+
 # FIXED VALUES: the two machines' legal moves (from the domain rules).
 VIDEO_MACHINE = Machine(
     states=S.VIDEO_STATUSES,
@@ -198,6 +248,44 @@ JOB_MACHINE = Machine(
 )
 
 
+
+#: A video record: its status, and whether its duration is set (``+``), which can happen once.
+_SET = "+"
+_UNSET, _ALL_SET = list(S.VIDEO_STATUSES), [st + _SET for st in S.VIDEO_STATUSES]
+
+
+def _from(moves: dict[str, str], error: str) -> Guarded:
+    """A status move, the same whether the duration is set or not."""
+    both = {**moves, **{a + _SET: b + _SET for a, b in moves.items()}}
+    return Guarded([([st for st in _UNSET + _ALL_SET if st not in both], None, error)], both)
+
+
+VIDEO_RECORD_MACHINE = GuardedMachine(
+    states=_UNSET + _ALL_SET, moves={}, errors={},
+    commands={
+        **{c: _from(VIDEO_MACHINE.moves[c], VIDEO_MACHINE.errors[c]) for c in ("process", "publish", "fail", "archive")},
+        "set_title": Guarded([(None, "coalesce(text, '') = ''", S.ERR_TITLE_EMPTY)], register={"title": "text"}),
+        "set_description": Guarded([(None, "coalesce(text, '') = ''", S.ERR_DESCRIPTION_EMPTY)], register={"description": "text"}),
+        "set_duration": Guarded([(_ALL_SET, None, S.ERR_DURATION_SET), (None, "duration < 0", S.ERR_DURATION_NEGATIVE)],
+                                dict(zip(_UNSET, _ALL_SET)), "coalesce(duration, 0) <> 0", {"duration": "coalesce(duration, 0)"}),
+    })
+
+
+def replay_video_edits(edits: DataFrame, videos: DataFrame, branching: int = 1024) -> DataFrame:
+    """Replay of status moves and guarded edits (video_id, seq, cmd, text, duration): a title or
+    description must not be empty or null (X6), a duration not negative and not set before (X7; null
+    counts as 0, and 0 leaves it unset).
+
+    Per video with edits: video_id, found, status, title, description, duration, n_commands, n_accepted,
+    n_rejected, last_error. ``seq`` orders the edits of a video and must be distinct there."""
+    start = videos.select(F.col("id").alias("video_id"), "title", "description", F.col("duration").cast("string").alias("duration"),
+                          F.when(F.col("duration") != 0, F.concat("status", F.lit(_SET))).otherwise(F.col("status")).alias("status"))
+    out = VIDEO_RECORD_MACHINE.replay(edits, "video_id", "seq", "cmd", initial=start, branching=branching,
+                                      missing_error=S.ERR_VIDEO_NOT_FOUND)
+    return out.select("video_id", "found", F.rtrim(F.col("status"), F.lit(_SET)).alias("status"), "title", "description",
+                      F.col("duration").cast("long").alias("duration"), "n_commands", "n_accepted", "n_rejected", "last_error")
+
+
 # ---------------------------------------------------------------- snapshot batches
 def _first_per_key(df: DataFrame, key: str, order: list[str], eligible: Column) -> DataFrame:
     """Flag ``_winner`` on the first eligible row per key (order by ``order``, distinct in a
@@ -304,13 +392,19 @@ def fail_jobs(batch: DataFrame, jobs: DataFrame, videos: DataFrame) -> DataFrame
 
 
 def archive_videos(requests: DataFrame, videos: DataFrame, key: str = "id") -> DataFrame:
-    """Find (F1) then archive (X5); one request per video id (distinct)."""
+    """Find (F1) then archive (X5), a row per request. Of repeated requests for a published
+    video one is accepted; the others find it archived."""
     v = videos.select(F.col("id").alias(key), F.col("status").alias("_status"), F.lit(True).alias("_found"))
-    r = request_left_join(requests.select(key).distinct(), v, key)
+    r = request_left_join(requests.groupBy(key).agg(F.count(F.lit(1)).alias("_times")), v, key)
+    r = r.withColumn("_again", F.explode(F.when(F.col("_times") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    ok = F.col("_status") == S.VIDEO_PUBLISHED
     err = first_error((F.col("_found").isNull(), S.ERR_VIDEO_NOT_FOUND),
-                      (F.col("_status") != S.VIDEO_PUBLISHED, S.ERR_VIDEO_CANNOT_ARCHIVE))
-    return r.select(F.col(key).alias("id"), err.isNull().alias("accepted"), err.alias("error"),
-                    F.when(err.isNull(), S.VIDEO_ARCHIVED).otherwise(F.col("_status")).alias("status"))
+                      (~ok | F.col("_again"), S.ERR_VIDEO_CANNOT_ARCHIVE))
+    # the second row stands for all repeats: one row each
+    out = r.select(F.col(key).alias("id"), err.isNull().alias("accepted"), err.alias("error"),
+                   F.when(F.coalesce(ok, F.lit(False)), S.VIDEO_ARCHIVED).otherwise(F.col("_status")).alias("status"),
+                   F.when(F.col("_again"), F.col("_times") - 1).otherwise(F.lit(1)).alias("_rows"))
+    return out.withColumn("_rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows").cast("long")))).drop("_rows")
 
 
 def set_duration(requests: DataFrame, videos: DataFrame, seq: str = "seq") -> DataFrame:

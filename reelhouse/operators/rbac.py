@@ -4,7 +4,7 @@ sync (U4) and role assignment with outcomes (J6, U5, A3).
 
 Scale notes
 - roles / permissions / role_permissions are dimension tables; the role -> slug map is
-  broadcast only after a LIMIT-ed count proves it small (``bounded_broadcast``), else the
+  broadcast only if its measured size allows it (``bounded_broadcast``), else the
   join is shuffled. user_roles is the fact side and is never broadcast.
 - DISTINCT (user, slug) is an aggregate with map-side combine.
 - The case-insensitive "email OR username" lookup is rewritten as an equi-join on

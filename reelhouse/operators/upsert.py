@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.exprs import first_error
+from ..session import measured_side
 from .joins import join_back
 
 # Column roles of each table on conflict (from the service's ON CONFLICT clauses).
@@ -58,16 +59,15 @@ def keyed_upsert(target: DataFrame, changes: DataFrame, key: list[str], immutabl
     rows), the change keys already present are found by a key-only scan of the target
     (broadcast semi join), and the remaining changes are appended as inserts. Otherwise both
     sides are shuffled once for a full outer join."""
-    from ..session import bounded_broadcast
     cols = key + immutable + mutable
     c = collapse_changes(changes, key, immutable, mutable, seq)
     c = c.select(*key, *[F.col(x).alias(f"_c_{x}") for x in immutable + mutable], F.lit(True).alias("_in_c"))
-    cb = bounded_broadcast(c, max_broadcast_rows)
-    proven_small = cb is not c
+    c, proven_small = measured_side(c, max_broadcast_rows)
     t = target.select(*key, *[F.col(x).alias(f"_t_{x}") for x in immutable + mutable],
                       F.lit(True).alias("_in_t"))
     if proven_small:
-        present = target.select(*key).join(cb.select(*key), key, "left_semi")  # key-only scan, no shuffle
+        cb = F.broadcast(c)
+        present = target.select(*key).join(cb.select(*key), key, "left_semi").distinct()  # key-only scan; only matches move
         inserts = cb.join(F.broadcast(present), key, "left_anti")  # present has at most |changes| keys
         j = t.join(cb, key, "left").unionByName(inserts.select("*", F.lit(None).cast("boolean").alias("_in_t")),
                                                allowMissingColumns=True)

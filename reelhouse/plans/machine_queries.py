@@ -298,3 +298,37 @@ FROM c WHERE vs IS NULL
 def replay_job_batch(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return J.replay_job_batch(fx.job_commands, fx.jobs, fx.videos)
+
+
+@register("replay_video_edits", ["video_edits", "videos"], recursive=True, oracle="""
+, c AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS rn FROM video_edits),
+ids AS (SELECT c.video_id, count(*) AS n, any_value(v.id) IS NOT NULL AS found FROM c LEFT JOIN videos v ON v.id = c.video_id GROUP BY c.video_id),
+r AS (
+  SELECT i.video_id, CAST(0 AS BIGINT) AS rn, v.status, v.title, v.description, v.duration, CAST(0 AS BIGINT) AS n_acc, CAST(NULL AS VARCHAR) AS last_error
+  FROM ids i JOIN videos v ON v.id = i.video_id
+  UNION ALL
+  SELECT video_id, rn, CASE WHEN e IS NULL THEN ns ELSE status END, CASE WHEN e IS NULL AND cmd = 'set_title' THEN text ELSE title END,
+    CASE WHEN e IS NULL AND cmd = 'set_description' THEN text ELSE description END,
+    CASE WHEN e IS NULL AND cmd = 'set_duration' THEN newdur ELSE duration END, n_acc + CASE WHEN e IS NULL THEN 1 ELSE 0 END, coalesce(e, last_error)
+  FROM (SELECT r.*, c.rn AS crn, c.cmd, c.text, c.duration AS newdur,
+          CASE c.cmd WHEN 'process' THEN 'processing' WHEN 'publish' THEN 'published' WHEN 'fail' THEN 'failed' WHEN 'archive' THEN 'archived' ELSE r.status END AS ns,
+          CASE c.cmd WHEN 'process' THEN CASE WHEN r.status NOT IN ('pending', 'failed') THEN 'video cannot be marked as processing' END
+            WHEN 'publish' THEN CASE WHEN r.status <> 'processing' THEN 'video cannot be published' END
+            WHEN 'fail' THEN CASE WHEN r.status <> 'processing' THEN 'video cannot be marked as failed' END
+            WHEN 'archive' THEN CASE WHEN r.status <> 'published' THEN 'video cannot be archived' END
+            WHEN 'set_title' THEN CASE WHEN coalesce(c.text, '') = '' THEN 'video title cannot be empty' END
+            WHEN 'set_description' THEN CASE WHEN coalesce(c.text, '') = '' THEN 'video description cannot be empty' END
+            WHEN 'set_duration' THEN CASE WHEN r.duration <> 0 THEN 'video duration has already been set'
+                                          WHEN c.duration < 0 THEN 'video duration cannot be negative' END
+            ELSE 'unknown command' END AS e
+        FROM r JOIN c ON c.video_id = r.video_id AND c.rn = r.rn + 1) x(video_id, was, status, title, description, duration, n_acc, last_error, rn, cmd, text, newdur, ns, e)),
+done AS (SELECT video_id, arg_max(status, rn) AS status, arg_max(title, rn) AS title, arg_max(description, rn) AS description,
+           arg_max(duration, rn) AS duration, arg_max(n_acc, rn) AS n_acc, max(last_error) FILTER (rn = n) AS last_error
+         FROM r JOIN ids USING (video_id) GROUP BY video_id)
+SELECT i.video_id, i.found, d.status, d.title, d.description, d.duration, i.n AS n_commands, coalesce(d.n_acc, 0) AS n_accepted,
+  i.n - coalesce(d.n_acc, 0) AS n_rejected, CASE WHEN i.found THEN d.last_error ELSE 'video not found' END AS last_error
+FROM ids i LEFT JOIN done d USING (video_id)
+""")
+def replay_video_edits(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return M.replay_video_edits(fx.video_edits, fx.videos)

@@ -74,22 +74,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 BROADCAST_BYTES = 64 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows and
-    ``BROADCAST_BYTES`` bytes (its columns as text).
-
-    The proof stops after max_rows + 1 rows, which a reliable checkpoint keeps, so the
-    broadcast reuses the rows; no cache is made, and a cache of the caller's stays. Beyond a
-    bound the frame is returned unhinted: the planner then uses a shuffle join (AQE may still
-    broadcast at runtime from measured sizes). A static estimate is not trusted here because a
-    small dimension derived from a large table (e.g. DISTINCT roles of all orders) is estimated
-    at the large table's size.
+def measured_side(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
+    """``df`` computed once, in parallel, into a reliable checkpoint, and whether it may be
+    broadcast: at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes (its columns as text),
+    counted on the checkpoint by an aggregate.
+
+    Whatever the answer, the join reads the checkpoint, so nothing is computed twice. A static
+    estimate is not trusted here because a small dimension derived from a large table (e.g.
+    DISTINCT roles of all orders) is estimated at the large table's size.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    head = df.limit(max_rows + 1).checkpoint()
-    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    n, held = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(head) if n <= max_rows and held <= BROADCAST_BYTES else df
+    kept = df.checkpoint()
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns])))
+    n, held = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return kept, n <= max_rows and held <= BROADCAST_BYTES
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """The ``measured_side``, hinted for broadcast if it may be; else unhinted, and the planner
+    shuffles (AQE may still broadcast at runtime from measured sizes)."""
+    kept, small = measured_side(df, max_rows)
+    return F.broadcast(kept) if small else kept
 
 
 def checkpoint_cut(df: DataFrame) -> DataFrame:

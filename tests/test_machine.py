@@ -5,6 +5,8 @@ the composite job use cases."""
 import datetime as dt
 import random
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -155,3 +157,62 @@ def test_signup_conflicts_follow_the_accepted(spark):
     got = {r.user_id: r.error for r in M.signup_batch(s, users, roles, slugs, "2024-01-01 00:00:00").collect()}
     assert got == {"a": S.ERR_PWD_HASH_EMPTY, "b": None, "c": S.ERR_EMAIL_EXISTS, "d": None,
                    "e": S.ERR_USERNAME_EXISTS, "f": None}
+
+
+def _edit_one_by_one(edits, videos):
+    state = {v[0]: list(v[1:]) for v in videos}  # status, title, description, duration
+    out = {}
+    for vid, seq, cmd, text, duration in sorted(edits, key=lambda e: e[1]):
+        n = out.setdefault(vid, [0, 0, None])
+        n[0] += 1
+        v = state.get(vid)
+        if v is None:
+            n[2] = "video not found"
+            continue
+        moves = {"process": (("pending", "failed"), "processing", "video cannot be marked as processing"),
+                 "publish": (("processing",), "published", "video cannot be published"),
+                 "fail": (("processing",), "failed", "video cannot be marked as failed"),
+                 "archive": (("published",), "archived", "video cannot be archived")}
+        if cmd in moves:
+            starts, to, err = moves[cmd]
+            if v[0] in starts:
+                v[0], err = to, None
+        elif cmd in ("set_title", "set_description"):
+            err = None if text else f"video {cmd[4:]} cannot be empty"
+            if not err:
+                v[1 if cmd == "set_title" else 2] = text
+        elif cmd == "set_duration":
+            err = "video duration has already been set" if v[3] else "video duration cannot be negative" if (duration or 0) < 0 else None
+            if not err:
+                v[3] = duration or 0
+        else:
+            err = "unknown command"
+        n[1] += err is None
+        n[2] = err or n[2]
+    return {vid: (vid in state, *(state.get(vid) or [None] * 4), *n) for vid, n in out.items()}
+
+
+@pytest.mark.parametrize("branching", [2, 1024])
+def test_guarded_edits_one_by_one(spark, branching):
+    """Payload rules and the duration's flag survive composition, whatever the fan-in."""
+    import random
+    rng = random.Random(9)
+    videos = [(f"v{i}", rng.choice(["pending", "processing", "published", "failed", "archived"]), f"t{i}", f"d{i}", rng.choice([0, 0, 9]))
+              for i in range(15)]
+    cmds = ["process", "publish", "fail", "archive", "set_title", "set_description", "set_duration", "set_duration", "other"]
+    edits = [(f"v{rng.randrange(17)}", s, rng.choice(cmds), rng.choice([None, "", f"x{s}"]), rng.choice([-1, 0, None, s]))
+             for s in rng.sample(range(1, 3000), 400)]
+    e = spark.createDataFrame(edits, "video_id string, seq long, cmd string, text string, duration long")
+    v = spark.createDataFrame(videos, "id string, status string, title string, description string, duration long")
+    got = {r.video_id: (r.found, r.status, r.title, r.description, r.duration, r.n_commands, r.n_accepted, r.last_error)
+           for r in M.replay_video_edits(e, v, branching=branching).collect()}
+    assert got == _edit_one_by_one(edits, videos)
+
+
+def test_repeated_archive_requests_are_rejected(spark):
+    v = spark.createDataFrame([("a", "published"), ("b", "archived"), ("c", "published")], "id string, status string")
+    r = spark.createDataFrame([("a",), ("a",), ("a",), ("b",), ("b",), ("c",), ("x",)], "id string")
+    got = sorted((r.id, r.accepted, r.error, r.status) for r in M.archive_videos(r, v).collect())
+    no = "video cannot be archived"
+    assert got == [("a", False, no, "archived")] * 2 + [("a", True, None, "archived")] + [("b", False, no, "archived")] * 2 + \
+        [("c", True, None, "archived"), ("x", False, "video not found", None)]
