@@ -1,15 +1,9 @@
 """Asset-tree checks against the catalog: upload leftovers (X20) and published videos whose
 manifest file is missing (X21). Both are anti-joins over the S7 listing; the listing is
-distributed by the binaryFile source and file contents are never read.
-
-``write_asset_tree`` is the storer's side: each Spark task writes the files of its rows
-under <base>/<resource_id>/<asset_path> on a shared POSIX path (mapInPandas; no driver
-loop, no collect)."""
+distributed by the binaryFile source and file contents are never read."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +19,3 @@ def missing_manifests(info: DataFrame, assets: DataFrame) -> DataFrame:
     pub = info.filter((F.col("status") == "published") & (F.coalesce(F.col("manifest_path"), F.lit("")) != ""))
     have = assets.select("resource_id", F.col("asset_path").alias("manifest_path"))
     return pub.select("id", "resource_id", "manifest_path").join(have, ["resource_id", "manifest_path"], "left_anti")
-
-
-def write_asset_tree(files: DataFrame, base: str) -> None:
-    """Write one small file per row (resource_id, asset_path, content) below ``base``.
-    ``base`` must be a shared POSIX path (a mounted folder); writes are idempotent."""
-    local = base[len("file:"):] if base.startswith("file:") else base
-
-    def write_part(it):
-        import pandas as pd
-        n = 0
-        for pdf in it:
-            for rid, ap, content in zip(pdf["resource_id"], pdf["asset_path"], pdf["content"]):
-                p = os.path.join(local, rid, ap)
-                os.makedirs(os.path.dirname(p), exist_ok=True)
-                with open(p, "w") as fh:
-                    fh.write(content or "")
-                n += 1
-        yield pd.DataFrame({"written": [n]})
-
-    files.select("resource_id", "asset_path", "content").mapInPandas(write_part, "written long") \
-        .agg(F.sum("written")).collect()

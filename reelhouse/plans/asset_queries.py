@@ -1,11 +1,11 @@
 """Asset-tree queries over files that Spark writes from the catalog tables:
-asset_orphans (S7, X20), missing_manifests (S7, X21, J3), export_json (S8).
+asset_orphans (S7, X20), missing_manifests (S7, X21, J3), ordered_text and file_frames (S4, P1),
+probe_files (S5, P8), export_json (S8).
 
 Tree written per run (one fresh folder under the shared checkpoint directory):
-  <base>/<resource_id>/seg1.m4s and /<manifest>  for published videos with a manifest, except
-                                                that the manifest is left out when md5(id)
-                                                starts with '0' (the missing ones);
-  <base>/res-up-<n>/original.mp4                 for every upload (none became a video).
+  seg1.m4s and the manifest  for published videos with a manifest, except that the manifest is left
+                             out when md5(id) starts with '0' (the missing ones);
+  original.mp4               for every upload (none became a video).
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from ..operators import assets as A
 from ..operators import lookup as L
+from ..operators import progress as P
 from ..session import scratch_path
-from ..sources.files import asset_catalog, video_info_json
+from ..sources.files import (asset_catalog, read_probe_docs, read_progress_text, video_info_json, write_assets, write_probe_docs,
+                             write_text_logs)
 from ..sources.fixtures import Fixtures
+from .progress_queries import _FRAMES_CTE
 from .registry import register
 
 
@@ -28,9 +31,9 @@ def _build_tree(spark, sf_dir) -> tuple[str, object, object]:
     mans = (pub.filter(F.substring(F.md5("id"), 1, 1) != "0")
                .select("resource_id", F.col("manifest_path").alias("asset_path"), F.lit("manifest").alias("content")))
     ups = (fx.uploads.filter(F.col("resource_id") != "")
-              .select("resource_id", F.lit("original.mp4").alias("asset_path"), F.lit("data").alias("content")))
-    base = scratch_path(spark, "assets")
-    A.write_asset_tree(segs.unionByName(mans).unionByName(ups), base)
+              .select("resource_id", F.lit("original.mp4").alias("asset_path"), F.lit("dat").alias("content")))
+    base = scratch_path(spark, "assets")  # a file ends with a line end: an original has 4 bytes
+    write_assets(segs.unionByName(mans).unionByName(ups), base)
     return base, info, fx
 
 
@@ -70,3 +73,30 @@ FROM videos v JOIN latest l ON l.video_id = v.id
 def export_json(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return video_info_json(L.video_info(fx.videos, fx.jobs))
+
+
+def _text_files(spark, sf_dir):
+    path = scratch_path(spark, "text")
+    write_text_logs(Fixtures(spark, sf_dir).progress_lines, path)
+    return read_progress_text(spark, path)
+
+
+@register("ordered_text", ["progress_lines"], """
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS line_no, line FROM progress_lines
+""")
+def ordered_text(spark, sf_dir):
+    return _text_files(spark, sf_dir)
+
+
+@register("file_frames", ["progress_lines"], _FRAMES_CTE + """
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS line_no, outcome, frame FROM fl
+""")
+def file_frames(spark, sf_dir):
+    return P.parse_frame_lines(_text_files(spark, sf_dir))
+
+
+@register("probe_files", same_as="probe_parse")
+def probe_files(spark, sf_dir):
+    path = scratch_path(spark, "probes")
+    write_probe_docs(Fixtures(spark, sf_dir).probes, path)
+    return P.parse_probes(read_probe_docs(spark, path))

@@ -3,47 +3,94 @@ catalog (S7) and JSON export with omitted empty fields (S8).
 
 All are Spark readers / writers: the text and binaryFile sources split the listing over
 tasks; the asset catalog never reads file contents (the binaryFile ``content`` column is
-pruned away)."""
+pruned away). Spark's writers name the files, so what a file belongs to stands in its folders,
+``<column>=<value>``; files put there by others, named after their key, are read as well."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import basename, relative_to
 
-def read_progress_text(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """One row per line; job_id from the file name (<job_id>.log), line order kept in
-    ``line_no`` (position inside the file) so frames can be replayed in order."""
+
+def _unescaped(c: Column) -> Column:
+    """A folder's value as it was: file names in URIs are escaped, and so are values in folder names."""
+    for _ in range(2):
+        c = F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return c
+
+
+def _key_of(path: Column, key: str) -> Column:
+    """The key of a file: its ``<key>=<value>`` folder, else its own name without the ending."""
+    folder = F.regexp_extract(path, f"/{key}=([^/]*)/", 1)
+    return _unescaped(F.when(folder != "", folder).otherwise(F.regexp_replace(basename(path), r"\.[^.]*$", "")))
+
+
+def write_text_logs(lines: DataFrame, path: str, key: str = "job_id", order: str = "event_id", line: str = "line") -> None:
+    """S4 sink: each job's lines in ``order`` as text files in its folder. Ranges of (key, order) are
+    written by one task each, so a job with many lines has several files, in the order of their names."""
+    (lines.select(key, order, F.col(line).alias("value")).repartitionByRange(key, order).sortWithinPartitions(key, order)
+          .select(key, "value").write.partitionBy(key).text(path))
+
+
+def read_progress_text(spark: SparkSession, path: str, streaming: bool = False, key: str = "job_id") -> DataFrame:
+    """The lines of the text files below ``path``; a stream has (key, line).
+
+    In batch form also ``line_no`` (long): 1, 2, ... in the order of the text, that is by file name, then by
+    the split's place in the file, then by the line's place in the split. The splits' line counts, one
+    small row per split, give each split its first number, so no file is read by one task."""
     if streaming:
-        df = spark.readStream.text(path)
-        return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.log$", 1).alias("job_id"),
-                         F.col("value").alias("line"))
-    df = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"))
-    return df.select(F.regexp_extract("_f", r"([^/]+)\.log$", 1).alias("job_id"), "line",
-                     F.monotonically_increasing_id().alias("line_no"))
+        df = spark.readStream.option("recursiveFileLookup", "true").text(path)
+        return df.select(_key_of(F.col("_metadata.file_path"), key).alias(key), F.col("value").alias("line"))
+    df = spark.read.option("recursiveFileLookup", "true").text(path)
+    at = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    splits = (at.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+              .withColumn(key, _key_of(F.col("_file"), key)))
+    before = Window.partitionBy(key).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    return at.join(splits, ["_file", "_block"]).select(
+        key, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "line")
+
 
+def write_probe_docs(probes: DataFrame, path: str, key: str = "job_id", doc: str = "doc") -> None:
+    """S5 sink: one document per job folder (a job with several documents has them line by line)."""
+    probes.select(key, F.col(doc).alias("value")).repartition(key).write.partitionBy(key).text(path)
 
-def read_probe_docs(spark: SparkSession, path: str) -> DataFrame:
-    """One probe document per file (<job_id>.json), read whole."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("job_id"),
-                     F.col("value").alias("doc"))
+
+def read_probe_docs(spark: SparkSession, path: str, key: str = "job_id") -> DataFrame:
+    """One probe document per file, read whole."""
+    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return df.select(_key_of(F.col("_metadata.file_path"), key).alias(key), F.regexp_replace("value", r"\n$", "").alias("doc"))
 
 
 def _uri(path: str) -> str:
     return path if ":" in path.split("/")[0] else "file:" + path
 
 
+def write_assets(files: DataFrame, base: str) -> None:
+    """Storer's side: (resource_id, asset_path, content) as files in a folder for each asset."""
+    files.select("resource_id", "asset_path", F.col("content").alias("value")).repartition("resource_id", "asset_path") \
+        .write.mode("append").partitionBy("resource_id", "asset_path").text(base)
+
+
 def asset_catalog(spark: SparkSession, base: str) -> DataFrame:
-    """Every file under ``base`` as (resource_id, asset_path, size, modified), the path
-    relative to <base>/<resource_id>/; directories are skipped by the source itself."""
+    """Every asset under ``base`` as (resource_id, asset_path, size, modified): a file, its path
+    relative to <base>/<resource_id>/, or a folder that ``write_assets`` made, its part files taken
+    together. Directories are skipped by the source itself."""
     root = _uri(base.rstrip("/")).replace("file:///", "file:/")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
              .select("path", "length", "modificationTime"))
-    rel = F.substring(F.regexp_replace("path", "^file:///", "file:/"), len(root) + 2, 1 << 30)
-    return files.select(F.regexp_extract(rel, r"^([^/]+)/", 1).alias("resource_id"),
-                        F.regexp_extract(rel, r"^[^/]+/(.+)$", 1).alias("asset_path"),
-                        F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    rel = relative_to(F.regexp_replace("path", "^file:///", "file:/"), root)
+    part = F.regexp_extract(rel, r"^resource_id=[^/]*/asset_path=([^/]*)/", 1)
+    own = F.regexp_extract(rel, r"^[^/]+/(.+)$", 1)
+    folder = F.regexp_extract(rel, r"^([^/]+)/", 1)
+    by_writer = part != ""
+    value = F.url_decode(F.replace(F.when(by_writer, F.regexp_replace(folder, "^resource_id=", "")), F.lit("+"), F.lit("%2B")))
+    asset = F.url_decode(F.replace(F.when(by_writer, part), F.lit("+"), F.lit("%2B")))
+    return files.groupBy(F.coalesce(value, folder).alias("resource_id"), F.coalesce(asset, own).alias("asset_path")).agg(
+        F.sum("length").alias("size"), F.max("modificationTime").alias("modified"))
 
 
 def video_info_json(info: DataFrame) -> DataFrame:

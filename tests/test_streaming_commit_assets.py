@@ -4,12 +4,13 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from reelhouse import schemas as S
 from reelhouse.operators import assets as A
 from reelhouse.operators import progress as P
 from reelhouse.plans.commit import VersionedCatalog, commit_upload_batch
-from reelhouse.sources.files import asset_catalog, read_probe_docs, read_progress_text
+from reelhouse.sources.files import asset_catalog, read_probe_docs, read_progress_text, write_assets, write_text_logs
 from reelhouse.streaming.progress_stream import run_progress_stream
 
 
@@ -85,19 +86,44 @@ def test_asset_tree(spark, tmpdir_fresh):
 
 
 def test_asset_writer_and_text_sources(spark, tmpdir_fresh):
-    files = spark.createDataFrame([("r1", "a/b.txt", "hello"), ("r2", "c.txt", "x")],
+    files = spark.createDataFrame([("r1", "a/b.txt", "hello"), ("r 2", "c=+1.txt", "x"), ("r 2", "c=+1.txt", "yz")],
                                   "resource_id string, asset_path string, content string")
-    A.write_asset_tree(files, f"{tmpdir_fresh}/tree")
-    assert open(f"{tmpdir_fresh}/tree/r1/a/b.txt").read() == "hello"
+    write_assets(files, f"{tmpdir_fresh}/tree")
+    got = {(r.resource_id, r.asset_path, r["size"]) for r in asset_catalog(spark, f"{tmpdir_fresh}/tree").collect()}
+    assert got == {("r1", "a/b.txt", 6), ("r 2", "c=+1.txt", 5)}
     _write(f"{tmpdir_fresh}/logs/job-7.log", "frame=1\nframe=2\n")
     _write(f"{tmpdir_fresh}/probes/job-7.json", '{"format":{"duration":"1.5"},"streams":{"nb_read_frames":"2"}}')
     lines = read_progress_text(spark, f"{tmpdir_fresh}/logs")
-    assert sorted((r.job_id, r.line) for r in lines.collect()) == [("job-7", "frame=1"), ("job-7", "frame=2")]
+    assert sorted((r.job_id, r.line_no, r.line) for r in lines.collect()) == [("job-7", 1, "frame=1"), ("job-7", 2, "frame=2")]
+    stream = read_progress_text(spark, f"{tmpdir_fresh}/logs", streaming=True)
+    q = stream.writeStream.format("memory").queryName("text_lines").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("text_lines").collect())) == [("job-7", "frame=1"), ("job-7", "frame=2")]
     probes = read_probe_docs(spark, f"{tmpdir_fresh}/probes")
     p = P.parse_probes(probes).collect()[0]
     assert (p.job_id, p.duration_ns, p.total_frames) == ("job-7", 1500000000, 2)
 
 
+def test_text_order_over_splits_and_files(spark, tmpdir_fresh):
+    """A hot job's text lies in several files, each read in several splits; order and numbers hold."""
+    rows = [(i, "hot" if i % 3 else f"job a/{i % 5}", f"line {i} " + "x" * (i % 40)) for i in range(2000)] + [(2000, "one", "")]
+    src = spark.createDataFrame(rows, "event_id long, job_id string, line string").repartition(7)
+    write_text_logs(src, f"{tmpdir_fresh}/text")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = read_progress_text(spark, f"{tmpdir_fresh}/text")
+        assert lines.select(F.spark_partition_id()).distinct().count() > 1
+        got = lines.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want, n = set(), {}
+    for i, job, line in rows:
+        n[job] = n.get(job, 0) + 1
+        want.add((job, n[job], line))
+    assert {tuple(r) for r in got} == want and len(got) == len(rows)
+
+
 def test_text_stream_end_carries_state(spark, tmpdir_fresh):
     """Frames in one micro-batch, the progress=end line in the next: the end event carries
     the last frames / percentage kept in state; lines after the end are ignored."""
