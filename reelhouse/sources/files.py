@@ -70,9 +70,9 @@ def _uri(path: str) -> str:
 
 
 def write_assets(files: DataFrame, base: str) -> None:
-    """Storer's side: (resource_id, asset_path, content) as files in a folder for each asset."""
-    files.select("resource_id", "asset_path", F.col("content").alias("value")).repartition("resource_id", "asset_path") \
-        .write.mode("append").partitionBy("resource_id", "asset_path").text(base)
+    """Storer's side: (resource_id, asset_path, content) as files, in one folder for each asset."""
+    files.select(F.concat_ws("/", "resource_id", "asset_path").alias("asset"), F.col("content").alias("value")) \
+        .repartition("asset").write.mode("append").partitionBy("asset").text(base)
 
 
 def asset_catalog(spark: SparkSession, base: str) -> DataFrame:
@@ -83,13 +83,10 @@ def asset_catalog(spark: SparkSession, base: str) -> DataFrame:
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
              .select("path", "length", "modificationTime"))
     rel = relative_to(F.regexp_replace("path", "^file:///", "file:/"), root)
-    part = F.regexp_extract(rel, r"^resource_id=[^/]*/asset_path=([^/]*)/", 1)
-    own = F.regexp_extract(rel, r"^[^/]+/(.+)$", 1)
-    folder = F.regexp_extract(rel, r"^([^/]+)/", 1)
-    by_writer = part != ""
-    value = F.url_decode(F.replace(F.when(by_writer, F.regexp_replace(folder, "^resource_id=", "")), F.lit("+"), F.lit("%2B")))
-    asset = F.url_decode(F.replace(F.when(by_writer, part), F.lit("+"), F.lit("%2B")))
-    return files.groupBy(F.coalesce(value, folder).alias("resource_id"), F.coalesce(asset, own).alias("asset_path")).agg(
+    folder = F.regexp_extract(rel, r"^asset=([^/]*)/", 1)
+    asset = F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(rel)
+    return files.groupBy(F.regexp_extract(asset, r"^([^/]+)/", 1).alias("resource_id"),
+                         F.regexp_extract(asset, r"^[^/]+/(.+)$", 1).alias("asset_path")).agg(
         F.sum("length").alias("size"), F.max("modificationTime").alias("modified"))
 
 
