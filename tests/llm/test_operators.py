@@ -181,63 +181,6 @@ def test_components_of_chains(spark):
     assert {got[i] for i in range(41)} == {0} and got[101] == 100
 
 
-def test_near_lines_against_all_pairs(spark):
-    """Every distinct line against every other, on the small documents."""
-    docs = [(r[0], r[1] or "") for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
-    first = {}
-    for i, t in sorted(docs):
-        for p, x in enumerate(t.split("\n")):
-            if x.strip():
-                first.setdefault(x, (i, p))
-    shingle = re.compile(r"(?<!\S)(?=(\S{12,}|\S.{0,11}))")
-    sets = {x: frozenset(shingle.findall(x)) for x in first}
-    root = {x: x for x in first}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    by_first = sorted(first, key=first.get)
-    for i, x in enumerate(by_first):
-        for y in by_first[:i]:
-            c = len(sets[x] & sets[y])
-            if 100 * c >= 80 * (len(sets[x]) + len(sets[y]) - c):
-                a, b = sorted((find(x), find(y)), key=first.get)
-                root[b] = a
-    want = {}
-    for i, t in docs:
-        left = [x for p, x in enumerate(t.split("\n")) if not x.strip() or first[find(x)] == (i, p)]
-        want[i] = hashlib.sha256("\n".join(left).encode()).hexdigest()
-    got = {r.doc_id: r.kept_sha256 for r in llm.queries()["op7_fuzzy_lines"](spark, SF_SMALL).collect()}
-    assert got == want
-
-
-def _kept_by_all_shingles(docs, size=8, percent=80):
-    """Document -> text left, every distinct line against every other by all its overlapping shingles."""
-    first = {}
-    for i, t in sorted(docs):
-        for p, x in enumerate(t.split("\n")):
-            if x.strip():
-                first.setdefault(x, (i, p))
-    sets = {x: frozenset(x[k:k + size] for k in range(max(1, len(x) - size + 1))) for x in first}
-    root = {x: x for x in first}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    by_first = sorted(first, key=first.get)
-    for i, x in enumerate(by_first):
-        for y in by_first[:i]:
-            c = len(sets[x] & sets[y])
-            if 100 * c >= percent * (len(sets[x]) + len(sets[y]) - c):
-                a, b = sorted((find(x), find(y)), key=first.get)
-                root[b] = a
-    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip() or first[find(x)] == (i, p)) for i, t in docs}
-
-
 def test_near_lines_by_all_character_shingles(spark):
     """The small documents, and lines of a script without blanks, by the whole definition."""
     rng = np.random.default_rng(5)
