@@ -72,6 +72,34 @@ def json_text_or_absent(doc: Column, path: str) -> Column:
     return F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
 
 
+def format_text(template: str | Column, args: str | Column) -> Column:
+    """``template`` with its verbs replaced by ``args`` (array of text) in order, as one fold over the
+    template's parts: %s and %v take any argument, %d an integer, %% is a percent sign.
+
+    What doesn't fit is marked, as a service's log would show it: an absent argument ``%!s(MISSING)``, one
+    of the wrong kind or under another verb ``%!d(string=x)``, a null one ``%!s(<nil>)`` (%v: ``<nil>``), a
+    percent sign at the end ``%!(NOVERB)``, and arguments that are left ``%!(EXTRA string=x, string=y)``.
+    Flags and widths are not known. A null template gives null, null args are none."""
+    t, a = col(template), F.coalesce(col(args), F.array().cast("array<string>"))
+    parts = F.regexp_extract_all(t, F.lit("(?s)%.|%$|[^%]+"), F.lit(0))
+
+    def step(acc: Column, part: Column) -> Column:
+        verb, arg = F.substring(part, 2, 1), F.get(a, acc["n"])
+        takes = part.startswith("%") & ~part.isin("%", "%%")
+        text = (F.when(~part.startswith("%"), part).when(part == "%%", "%").when(part == "%", "%!(NOVERB)")
+                .when(acc["n"] >= F.size(a), F.concat(F.lit("%!"), verb, F.lit("(MISSING)")))
+                .when(arg.isNull(), F.when(verb == "v", "<nil>").otherwise(F.concat(F.lit("%!"), verb, F.lit("(<nil>)"))))
+                .when(verb.isin("s", "v") | ((verb == "d") & arg.rlike(r"^-?[0-9]+$")), arg)
+                .otherwise(F.concat(F.lit("%!"), verb, F.lit("(string="), arg, F.lit(")"))))
+        return F.struct(F.concat(acc["out"], text).alias("out"), (acc["n"] + takes.cast("int")).alias("n"))
+
+    def finish(acc: Column) -> Column:
+        rest = F.transform(F.slice(a, acc["n"] + 1, F.size(a)), lambda x: F.coalesce(F.concat(F.lit("string="), x), F.lit("<nil>")))
+        return F.when(acc["n"] < F.size(a), F.concat(acc["out"], F.lit("%!(EXTRA "), F.array_join(rest, ", "), F.lit(")"))).otherwise(acc["out"])
+
+    return F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step, finish)
+
+
 def basename(path: str | Column) -> Column:
     """Last element of a '/'-separated path (the manifest name a worker reports)."""
     return F.element_at(F.split(col(path), "/"), -1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.exprs import format_text
 
 APP_NAME = "media-api"
 
@@ -34,6 +35,13 @@ def log_envelopes(records: DataFrame, app: str = APP_NAME, key: str = "event_id"
                                            envelope().alias("envelope"))
 
 
+def formatted_envelopes(calls: DataFrame, app: str = APP_NAME, key: str = "event_id") -> DataFrame:
+    """L1 from the logger's call: records with ``template`` and ``args`` (array of text) instead of a
+    message (see ``exprs.format_text``)."""
+    message = format_text("template", "args")
+    return log_envelopes(calls.select(key, "level", "category", "source_id", message.alias("message")), app, key)
+
+
 def log_quarantine(records: DataFrame, key: str = "event_id") -> DataFrame:
     """L2: records whose category (or level) is outside the domain."""
     reason = F.when(~F.coalesce(F.col("category").isin(*S.LOG_CATEGORIES), F.lit(False)), "invalid category") \

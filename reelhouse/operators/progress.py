@@ -90,9 +90,18 @@ def progress_events(lines: DataFrame, probes: DataFrame, key: str = "job_id",
     """Text -> events for each job with a usable probe: one 'continue' event per valid
     frame line in event order, then the terminal event that keeps the last frames /
     percentage (0 / 0 when no frame line): 'end' after a clean end of the text, 'error' for
-    the jobs listed in ``failed_reads`` (their text stopped on a read failure). Rows whose
-    percentage overflowed are left out (see ``percentage``). Each event has its channel and
-    payload."""
+    the jobs in ``failed_reads``. Rows whose percentage overflowed are left out (see
+    ``percentage``). Each event has its channel and payload.
+
+    ``failed_reads`` names jobs; with an ``event_id`` column, where the read failed (the first such place
+    counts): lines from there on were not read, and the 'error' event stands there, also if no line was
+    read before it."""
+    failed = at = None
+    if failed_reads is not None:
+        at = F.min("event_id") if "event_id" in failed_reads.columns else F.lit(None).cast("long")
+        failed = failed_reads.groupBy(key).agg(at.alias("_failed_at"), F.lit(True).alias("_read_failed"))
+        lines = join_back(lines, failed, key, "left") \
+            .filter(F.col("_failed_at").isNull() | (F.col("event_id") < F.col("_failed_at"))).select(*lines.columns)
     parsed = parse_frame_lines(lines)
     probed = parse_probes(probes)
     tot = probed.filter(F.col("ok") & (F.col("total_frames") != 0)).select(key, "total_frames")
@@ -100,13 +109,12 @@ def progress_events(lines: DataFrame, probes: DataFrame, key: str = "job_id",
     cont = cont.select(key, F.col("event_id").alias("seq"), F.lit(S.PROGRESS_CONTINUE).alias("status"),
                        "total_frames", "current_frames", "percentage")
     last = cont.groupBy(key).agg(F.max_by(F.struct("current_frames", "percentage"), "seq").alias("_l"))
-    ends = join_back(join_back(parsed.groupBy(key).agg((F.max("event_id") + 1).alias("seq")), tot, key, "inner"),
-                     last, key, "left")
-    if failed_reads is not None:
-        ends = ends.join(failed_reads.select(key, F.lit(True).alias("_read_failed")).distinct(), key, "left")
+    stops = parsed.groupBy(key).agg((F.max("event_id") + 1).alias("seq"))
+    terminal = F.lit(S.PROGRESS_END)
+    if failed is not None:
+        stops = stops.join(failed, key, "full_outer").withColumn("seq", F.coalesce("_failed_at", "seq")).filter("seq IS NOT NULL")
         terminal = F.when(F.col("_read_failed"), F.lit(S.PROGRESS_ERROR)).otherwise(F.lit(S.PROGRESS_END))
-    else:
-        terminal = F.lit(S.PROGRESS_END)
+    ends = join_back(join_back(stops, tot, key, "inner"), last, key, "left")
     ends = (ends.select(key, "seq", terminal.alias("status"), "total_frames",
                           F.coalesce(F.col("_l.current_frames"), F.lit(0).cast("long")).alias("current_frames"),
                           F.coalesce(F.col("_l.percentage"), F.lit(0).cast("long")).alias("percentage")))

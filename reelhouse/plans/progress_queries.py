@@ -1,9 +1,11 @@
 """Progress and log queries: parse_frames, probe_parse, progress_rejections, percentages,
-progress_events, progress_until_end, progress_quarantine, progress_state, log_envelopes,
-log_quarantine."""
+progress_events, failed_read_events, progress_until_end, progress_quarantine, progress_state, log_envelopes,
+log_quarantine, formatted_logs."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import logs as LG
 from ..operators import progress as P
 from ..sources.fixtures import Fixtures
@@ -115,6 +117,29 @@ def progress_events(spark, sf_dir):
     return P.progress_events(fx.progress_lines.select("event_id", "job_id", "line"), fx.probes)
 
 
+@register("failed_read_events", ["progress_lines", "probes", "read_failures"], _FRAMES_CTE + _PROBES_CTE + """
+, ok AS (SELECT job_id, fr AS total_frames FROM pr WHERE error IS NULL AND fr <> 0),
+ff AS (SELECT job_id, min(event_id) AS failed_at FROM read_failures GROUP BY job_id),
+ev AS (SELECT f.job_id, f.event_id AS seq, 'continue' AS status, o.total_frames, f.frame AS current_frames,
+         least(f.frame * 100 // o.total_frames, 100) AS percentage
+       FROM fl f JOIN ok o ON o.job_id = f.job_id LEFT JOIN ff ON ff.job_id = f.job_id
+       WHERE f.outcome = 'frame' AND (ff.failed_at IS NULL OR f.event_id < ff.failed_at)),
+lastev AS (SELECT job_id, arg_max(current_frames, seq) AS cf, arg_max(percentage, seq) AS pc FROM ev GROUP BY job_id),
+ends AS (SELECT j.job_id, coalesce(ff.failed_at, j.last_seq + 1) AS seq, CASE WHEN ff.job_id IS NULL THEN 'end' ELSE 'error' END AS status,
+           o.total_frames, coalesce(l.cf, 0) AS current_frames, coalesce(l.pc, 0) AS percentage
+         FROM (SELECT job_id, max(event_id) AS last_seq FROM progress_lines GROUP BY job_id) j
+         JOIN ok o ON o.job_id = j.job_id LEFT JOIN ff ON ff.job_id = j.job_id LEFT JOIN lastev l ON l.job_id = j.job_id),
+allev AS (SELECT * FROM ev UNION ALL SELECT * FROM ends)
+SELECT job_id, seq, status, total_frames, current_frames, percentage, 'video:' || job_id || ':progress' AS channel,
+  '{"TotalFrames":' || total_frames || ',"CurrentFrames":' || current_frames || ',"Status":"' || status
+    || '","Percentage":' || percentage || '}' AS payload
+FROM allev
+""")
+def failed_read_events(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return P.progress_events(fx.progress_lines.select("event_id", "job_id", "line"), fx.probes, failed_reads=fx.read_failures)
+
+
 _MSGS_CTE = """
 , g AS (SELECT event_id, channel, regexp_extract(channel, '^video:(.*):progress$', 1) AS job_id,
           coalesce(CAST(json_extract(payload, '$.TotalFrames') AS BIGINT), 0) AS total_frames,
@@ -178,3 +203,29 @@ WHERE NOT coalesce(category IN ('default', 'video', 'job', 'auth') AND level IN
 """)
 def log_quarantine(spark, sf_dir):
     return LG.log_quarantine(Fixtures(spark, sf_dir).log_records)
+
+
+@register("formatted_logs", ["log_calls"], recursive=True, oracle=f"""
+, c AS (SELECT *, regexp_extract_all(template, '%.|%$|[^%]+') AS parts,
+          CASE WHEN args_text = '' THEN [] ELSE string_split(args_text, ',') END AS args FROM log_calls),
+r AS (
+  SELECT event_id, 0 AS k, 0 AS n, '' AS out FROM c
+  UNION ALL
+  SELECT event_id, k, n + CASE WHEN starts_with(p, '%') AND p NOT IN ('%', '%%') AND n < len(args) THEN 1 ELSE 0 END,
+    out || CASE WHEN NOT starts_with(p, '%') THEN p WHEN p = '%%' THEN '%' WHEN p = '%' THEN '%!(NOVERB)'
+                WHEN n >= len(args) THEN '%!' || p[2] || '(MISSING)'
+                WHEN p IN ('%s', '%v') OR (p = '%d' AND regexp_full_match(args[n + 1], '-?[0-9]+')) THEN args[n + 1]
+                ELSE '%!' || p[2] || '(string=' || args[n + 1] || ')' END
+  FROM (SELECT r.event_id, r.k + 1 AS k, r.n, r.out, c.args, c.parts[r.k + 1] AS p FROM r JOIN c ON c.event_id = r.event_id AND r.k < len(c.parts)) x),
+m AS (SELECT c.event_id, c.level, c.category, c.source_id, r.out || CASE WHEN r.n < len(c.args) THEN '%!(EXTRA ' ||
+         array_to_string(list_transform(c.args[r.n + 1:], lambda x: 'string=' || x), ', ') || ')' ELSE '' END AS message
+      FROM r JOIN c ON c.event_id = r.event_id AND r.k = len(c.parts))
+SELECT event_id, level, 'logs:{LG.APP_NAME}:' || level AS channel,
+  '{{"category":' || to_json(category) || ',"level":' || to_json(level) || ',"message":' || to_json(message)
+    || CASE WHEN coalesce(source_id, '') <> '' THEN ',"source_id":' || to_json(source_id) ELSE '' END || '}}' AS envelope
+FROM m
+""")
+def formatted_logs(spark, sf_dir):
+    calls = Fixtures(spark, sf_dir).log_calls
+    none = F.array().cast("array<string>")
+    return LG.formatted_envelopes(calls.withColumn("args", F.when(F.col("args_text") == "", none).otherwise(F.split("args_text", ","))))

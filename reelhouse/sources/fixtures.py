@@ -281,6 +281,23 @@ SELECT 'vid-'||CAST(CASE WHEN event_id%61=0 THEN 90000000 ELSE 0 END+event_id%70
 FROM events
 """)
 
+# read_failures: where reading a job's text failed (P3); some before its first line.
+_view("read_failures", ["events"], """
+SELECT 'job-'||CAST(user_id AS VARCHAR(20)) AS job_id, CASE WHEN user_id%12=0 THEN CAST(0 AS BIGINT) ELSE event_id END AS event_id
+FROM events WHERE user_id%4=0 AND event_type='error'
+""")
+
+# log_calls: format texts with their arguments, separated by commas; some miss arguments or have too many.
+_view("log_calls", ["events"], """
+SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level,
+  CASE event_type WHEN 'click' THEN 'video' WHEN 'view' THEN 'job' WHEN 'signup' THEN 'default' ELSE 'auth' END AS category,
+  CASE event_type WHEN 'click' THEN 'got video %s info' WHEN 'view' THEN 'job %s: %d%% of %d frames' WHEN 'error' THEN 'parse token: %v'
+    WHEN 'signup' THEN 'file path %s is %z invalid %' ELSE 'user "%s" logged in' END AS template,
+  CASE WHEN event_id%7=0 THEN '' WHEN event_id%7=1 THEN 'a,b,c,d' ELSE 'id-'||CAST(event_id AS VARCHAR(20))||','||CAST(event_id%100 AS VARCHAR(20))||',300' END AS args_text,
+  CASE WHEN event_id%2=0 THEN '' ELSE 'src-'||CAST(event_id AS VARCHAR(20)) END AS source_id
+FROM events
+""")
+
 # permission_requests: slug lists to sync, one list per brand, each with repeats (U4).
 _view("permission_requests", ["part"], """
 SELECT p_partkey AS req_id, 'part:'||lower(p_brand) AS slug FROM part

@@ -92,3 +92,14 @@ def test_bounded_broadcast_falls_back(spark):
     assert j_small.count() == 10 and j_big.count() == 100
     # beyond the bound no broadcast hint is attached to the big side
     assert "broadcast" not in j_big._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_format_text_marks_what_does_not_fit(spark):
+    from reelhouse.functions.exprs import format_text
+    cases = [("find video %s: %v", ["v1", "not found"], "find video v1: not found"), ("100%% of %d", ["7"], "100% of 7"),
+             ("%s", [], "%!s(MISSING)"), ("%d", ["x"], "%!d(string=x)"), ("%z!", ["x"], "%!z(string=x)!"), ("end %", [], "end %!(NOVERB)"),
+             ("plain", ["a", None], "plain%!(EXTRA string=a, <nil>)"), ("%v %s", [None, None], "<nil> %!s(<nil>)"), ("", [], ""),
+             ("%s %s", ["a"], "a %!s(MISSING)"), ("%s\n%d", ["%s", "-3"], "%s\n-3"), ("x", None, "x"), (None, ["a"], None)]
+    df = spark.createDataFrame([(i, t, a) for i, (t, a, _) in enumerate(cases)], "i int, t string, a array<string>")
+    got = {r.i: r.m for r in df.select("i", format_text("t", "a").alias("m")).collect()}
+    assert got == {i: m for i, (_, _, m) in enumerate(cases)}

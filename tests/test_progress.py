@@ -114,3 +114,14 @@ def test_messages_are_one_json_object(spark):
             (7, "video:A:progress", None), (8, "video:A:progress", ""), (9, "video:A:progress", '{"Status":"a]"}')]
     bad = {r.event_id for r in P.decode_messages(_msgs(spark, rows)).filter("malformed").collect()}
     assert bad == {1, 3, 4, 5, 7, 8}
+
+
+def test_failed_reads_close_with_error_where_they_failed(spark):
+    lines = spark.createDataFrame([(1, "a", "frame=10"), (2, "a", "frame=20"), (3, "a", "frame=30"), (1, "b", "frame=5"), (9, "c", "frame=7")],
+                                  "event_id long, job_id string, line string")
+    doc = '{"format":{"duration":"1"},"streams":{"nb_read_frames":"100"}}'
+    probes = spark.createDataFrame([(j, doc) for j in "abcd"], "job_id string, doc string")
+    fails = spark.createDataFrame([("a", 3), ("a", 7), ("c", 4), ("d", 2), ("x", 1)], "job_id string, event_id long")
+    got = sorted((r.job_id, r.seq, r.status, r.current_frames) for r in P.progress_events(lines, probes, failed_reads=fails).collect())
+    assert got == [("a", 1, "continue", 10), ("a", 2, "continue", 20), ("a", 3, "error", 20), ("b", 1, "continue", 5), ("b", 2, "end", 5),
+                   ("c", 4, "error", 0), ("d", 2, "error", 0)]
