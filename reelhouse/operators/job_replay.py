@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.exprs import first_error
-from ..session import checkpoint_cut
+from ..session import checkpoint_cut, scratch_path
 from .joins import join_back
 
 START, COMPLETE, FAIL = "start", "complete", "fail"
@@ -63,32 +63,32 @@ def replay_job_batch(cmds: DataFrame, jobs: DataFrame, videos: DataFrame) -> Dat
     todo = cmds.select("seq", "job_id", "cmd", "duration", "result", "error_msg").join(j, "job_id", "left").join(v, "video_id", "left")
     todo = todo.select(*cols)
     todo = checkpoint_cut(todo.withColumn("error", _rejection()))
-    decided = [todo.filter("video_status IS NULL")]  # without a video nothing changes: judged once
-    rest = todo.filter("video_status IS NOT NULL")
+    folder = scratch_path(cmds.sparkSession, "job-replay")  # what a round settles is written there, one table for all rounds
+    todo.filter("video_status IS NULL").write.parquet(f"{folder}/round=0")  # without a video nothing changes: judged once
+    rest, n = todo.filter("video_status IS NOT NULL"), 0
     while True:
         # of the accepted commands the first; the state that it leaves
         won = rest.filter(F.col("error").isNull()).groupBy("video_id").agg(
             F.min(F.struct("seq", "job_id", "cmd", F.coalesce("duration", F.lit(0).cast("long")).alias("duration"))).alias("_w"))
         judged = join_back(rest, won, "video_id", "left")
-        later = F.col("_w").isNotNull() & (F.col("seq") > F.col("_w.seq"))
-        here = F.col("_w").isNotNull() & (F.col("seq") == F.col("_w.seq")) & (F.col("job_id") == F.col("_w.job_id"))
-        judged = checkpoint_cut(judged.select(*cols, "error", "_w", F.coalesce(later, F.lit(False)).alias("_later"),
-                                              F.coalesce(here, F.lit(False)).alias("_here")))
-        decided.append(judged.filter("NOT _later").select(*cols, "error"))
-        left = judged.filter("_later")
-        if left.isEmpty():
-            break
-        if judged.filter("NOT _later AND NOT _here AND error IS NULL").limit(1).count():
+        later = F.coalesce(F.col("seq") > F.col("_w.seq"), F.lit(False))
+        here = F.coalesce((F.col("seq") == F.col("_w.seq")) & (F.col("job_id") == F.col("_w.job_id")), F.lit(False))
+        judged = checkpoint_cut(judged.select(*cols, "error", "_w", later.alias("_later"), here.alias("_here")))
+        n += 1
+        judged.filter("NOT _later").select(*cols, "error").write.parquet(f"{folder}/round={n}")
+        left, unsettled = judged.agg(F.count_if("_later"), F.count_if(F.expr("NOT _later AND NOT _here AND error IS NULL"))).first()
+        if unsettled:
             raise ValueError("commands of one video need distinct values of seq, none of them null")
+        if not left:
+            break
         own = F.col("job_id") == F.col("_w.job_id")
-        rest = left.select("seq", "job_id", "video_id", "cmd", "duration", "result", "error_msg",
-                           F.when(own, _after(F.col("_w.cmd"), JOB_AFTER)).otherwise(F.col("job_status")).alias("job_status"),
-                           _after(F.col("_w.cmd"), VIDEO_AFTER).alias("video_status"),
-                           F.when(F.col("_w.cmd") == COMPLETE, F.col("_w.duration")).otherwise(F.col("video_duration")).alias("video_duration"))
+        rest = judged.filter("_later").select(
+            "seq", "job_id", "video_id", "cmd", "duration", "result", "error_msg",
+            F.when(own, _after(F.col("_w.cmd"), JOB_AFTER)).otherwise(F.col("job_status")).alias("job_status"),
+            _after(F.col("_w.cmd"), VIDEO_AFTER).alias("video_status"),
+            F.when(F.col("_w.cmd") == COMPLETE, F.col("_w.duration")).otherwise(F.col("video_duration")).alias("video_duration"))
         rest = rest.withColumn("error", _rejection())
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
+    out = cmds.sparkSession.read.schema(todo.schema).parquet(folder).select(*cols, "error")
     ok = F.col("error").isNull()
     return out.select(
         "seq", "job_id", "video_id", "cmd", ok.alias("accepted"), "error",
