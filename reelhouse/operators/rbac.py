@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import has_permission
+from .. import schemas as S
 from ..session import bounded_broadcast
 from .joins import request_left_join, with_exists_flag
 
@@ -82,6 +83,18 @@ def lookup_users_by_key(keys: DataFrame, users: DataFrame, key_id: str = "key_id
              .select("key_id", "login", (n > 0).alias("found"), "user_id", n.alias("n_matches"), (n > 1).alias("ambiguous")))
 
 
+def sync_permission_lists(permissions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """U4 with whole lists (req_id, slugs array): (the new permissions table, an outcome per request).
+
+    A list is one statement: a null slug in it rejects it whole (the column is NOT NULL), so none of its
+    slugs is inserted for its sake. Null and empty lists are accepted and insert nothing."""
+    bad = F.coalesce(F.exists("slugs", lambda x: x.isNull()), F.lit(False))
+    judged = requests.select("req_id", (~bad).alias("accepted"), F.when(bad, F.lit(S.ERR_SLUG_NULL)).alias("error"),
+                             F.coalesce(F.size(F.array_distinct(F.filter("slugs", lambda x: x.isNotNull()))), F.lit(0)).alias("n_slugs"), "slugs")
+    rows = judged.filter("accepted").select(F.explode("slugs").alias("slug"))
+    return sync_permissions(permissions, rows), judged.drop("slugs").withColumn("n_slugs", F.greatest("n_slugs", F.lit(0)))
+
+
 def sync_permissions(permissions: DataFrame, requested: DataFrame, slug: str = "slug",
                      id_expr: Column | None = None) -> DataFrame:
     """U4: insert every requested slug not yet present; keep existing rows; never delete.

@@ -1,5 +1,5 @@
 """RBAC queries: role_permissions, user_permissions, user_permission_list, permission_check,
-user_lookup, sync_permissions, assign_roles."""
+user_lookup, sync_permissions, sync_permission_lists, permission_list_outcomes, assign_roles."""
 
 from __future__ import annotations
 
@@ -84,6 +84,36 @@ def sync_permissions(spark, sf_dir):
     return R.sync_permissions(fx.permissions, fx.permission_requests).select("slug", "inserted")
 
 
+def _permission_lists(fx):
+    """The lists as arrays: an empty text is an empty list, an empty place a null slug."""
+    none = F.array().cast("array<string>")
+    slugs = F.transform(F.split("slugs_text", ","), lambda x: F.nullif(x, F.lit("")))
+    return fx.permission_lists.select("req_id", F.when(F.col("slugs_text") == "", none).otherwise(slugs).alias("slugs"))
+
+
+@register("sync_permission_lists", ["permissions", "permission_lists"], """
+, u AS (SELECT req_id, nullif(unnest(string_split(slugs_text, ',')), '') AS slug FROM permission_lists WHERE slugs_text <> ''),
+fine AS (SELECT req_id FROM u GROUP BY req_id HAVING count(*) = count(slug))
+SELECT slug, false AS inserted FROM permissions
+UNION ALL
+SELECT DISTINCT slug, true AS inserted FROM u SEMI JOIN fine ON u.req_id = fine.req_id WHERE slug NOT IN (SELECT slug FROM permissions)
+""")
+def sync_permission_lists(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return R.sync_permission_lists(fx.permissions, _permission_lists(fx))[0].select("slug", "inserted")
+
+
+@register("permission_list_outcomes", ["permissions", "permission_lists"], """
+, u AS (SELECT req_id, nullif(unnest(string_split(slugs_text, ',')), '') AS slug FROM permission_lists WHERE slugs_text <> ''),
+n AS (SELECT req_id, count(*) > count(slug) AS bad, CAST(count(DISTINCT slug) AS INTEGER) AS n FROM u GROUP BY req_id)
+SELECT l.req_id, NOT coalesce(bad, false) AS accepted, CASE WHEN bad THEN 'slug cannot be null' END AS error, coalesce(n, 0) AS n_slugs
+FROM permission_lists l LEFT JOIN n ON n.req_id = l.req_id
+""")
+def permission_list_outcomes(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return R.sync_permission_lists(fx.permissions, _permission_lists(fx))[1]
+
+
 @register("assign_roles", ["role_requests", "users", "roles", "user_roles"], """
 , q AS (
   SELECT rq.req_id, rq.user_id, rq.role_name, r.id AS role_id,

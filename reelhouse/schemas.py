@@ -113,6 +113,7 @@ ERR_PROGRESS_CANNOT_UPDATE = "current frames cannot be updated"
 
 ERR_VIDEO_NOT_FOUND = "video not found"
 ERR_JOB_NOT_FOUND = "job not found"
+ERR_SLUG_NULL = "slug cannot be null"
 ERR_ROLE_NOT_FOUND = "cannot find role id"
 ERR_MISSING_USER_ID = "missing user id"
 ERR_TOKEN_EXPIRED = "token is expired"

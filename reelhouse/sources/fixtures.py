@@ -298,6 +298,15 @@ SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'w
 FROM events
 """)
 
+# permission_lists: a list of slugs for each part, separated by commas; some hold no slug between two
+# commas (a null slug), some are empty, some null.
+_view("permission_lists", ["part"], """
+SELECT p_partkey AS req_id, CASE WHEN p_partkey%13=0 THEN CAST(NULL AS VARCHAR(80)) WHEN p_partkey%13=1 THEN ''
+  WHEN p_partkey%13=2 THEN 'part:'||lower(p_brand)||',,list:'||CAST(p_partkey AS VARCHAR(20))
+  ELSE 'part:'||lower(p_brand)||',list:'||CAST(p_partkey%40 AS VARCHAR(20))||','||'part:'||lower(p_brand) END AS slugs_text
+FROM part
+""")
+
 # permission_requests: slug lists to sync, one list per brand, each with repeats (U4).
 _view("permission_requests", ["part"], """
 SELECT p_partkey AS req_id, 'part:'||lower(p_brand) AS slug FROM part

@@ -97,3 +97,13 @@ def test_assigned_role_permission_visible(spark):
     new_ur = R.apply_role_assignments(ur, R.assign_roles(req, users, roles, ur))
     got = [(r.user_id, r.slug) for r in R.permissions_by_user(new_ur, rp, perms).collect()]
     assert got == [("u1", "video:upload")]
+
+
+def test_sync_of_lists_that_repeat_are_empty_or_hold_nulls(spark):
+    perms = spark.createDataFrame([("p1", "a")], "id string, slug string")
+    req = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["c", None]), (3, []), (4, None), (5, ["b", "d"]), (6, [None])], "req_id int, slugs array<string>")
+    table, out = R.sync_permission_lists(perms, req)
+    assert sorted((r.slug, r.inserted) for r in table.collect()) == [("a", False), ("b", True), ("d", True)]
+    no = "slug cannot be null"
+    assert sorted((r.req_id, r.accepted, r.error, r.n_slugs) for r in out.collect()) == [
+        (1, True, None, 2), (2, False, no, 1), (3, True, None, 0), (4, True, None, 0), (5, True, None, 2), (6, False, no, 0)]
