@@ -3,15 +3,17 @@
 Equal lines become one row by their 128-bit hash (aggregated before the shuffle, so a line that
 sits in a third of all documents is a few rows). A line's set is all its overlapping shingles of
 ``SHINGLE`` characters (a shorter line is one), whatever its script, with or without blanks. Its
-signature is ``HASHES`` minima over that set; a band is
+signature is ``HASHES`` minima over that set, made in one pass: every shingle is a row whose hash goes into
+minima and maxima of its differently flipped forms, which each task adds up per line before anything moves. A band is
 three of them, and lines that are 0.8 similar share one of the ``BANDS`` bands nearly always (98 to 99.6 percent, the
 tests measure it). Lines that share a band must pass the size bound and a parity bound (bits in
-which hashed parities of the sets differ are a lower bound of their difference), then the exact
+which hashed parities of the sets differ are a lower bound of their difference; 128 bits for the
+first pairs, 1,024 for those across components), then the exact
 Jaccard similarity of the sets, at least ``PERCENT`` / 100. The links become components by
 distributed union-find (``clusters``). Of a component's occurrences the first stays (least
-doc_id, then line number), all others go.
+doc_id, then line number, then text hash), all others go.
 
-Texts move twice: to fetch the lines to verify, once a line, and to cut the lines that go.
+Texts move once, to fetch the lines that share a band.
 
 Defined cases: blank lines (nothing but white space) always stay and are never compared; null
 text has no lines and stays null; a text that loses all its lines becomes empty; rows that
@@ -25,40 +27,64 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .clusters import link_buckets
+from .clusters import forget, link_buckets
 
 SHINGLE, HASHES, BANDS, PERCENT = 8, 16, 8, 80
+#: Words of 64 bits in a set's parity.
+WORDS = 16
 _NO_ID = -(1 << 63)
 
 
-def _set(line: Column) -> Column:
-    """Hashes of the line's shingles, distinct. Each match takes one character (code point) and
-    looks ahead for its shingle, so the time is linear in the line's length."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    found = F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(every)
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+def _starts(b: str) -> str:
+    """Numbers of the shingles of a line, whose code points ``b`` holds at four bytes each (so that
+    a shingle is cut out without a walk along the line)."""
+    return f"sequence(0, greatest(cast(octet_length({b}) div 4 as int) - {SHINGLE}, 0))"
 
 
-def _parity(half: int) -> Column:
-    """Half of a 128-bit parity of the set ``_h``: a bit for each value of seven low bits."""
-    return F.expr(f"aggregate(_h, 0L, (a, x) -> a ^ if((x >> 6 & 1L) = {half}, shiftleft(1L, cast(x & 63L as int)), 0L))")
+def _shingle(b: str, i: str) -> str:
+    return f"xxhash64(substring({b}, 4 * {i} + 1, {4 * SHINGLE}))"
 
 
-def _bands() -> tuple[Column, Column, Column]:
-    """Reordered sets of ``_h``; minima over them (``_o``); band hashes of the minima ``_v``."""
-    def order(j):  # flipping bits reorders the hashes; the leading ones differ for each j
+def _set(line: str) -> str:
+    """Hashes of the line's shingles, distinct."""
+    return f"transform(array(encode({line}, 'UTF-32')), b -> array_distinct(transform({_starts('b')}, i -> {_shingle('b', 'i')})))[0]"
+
+
+def _orders(h: str) -> list[Column]:
+    """Aggregates: least and greatest of the hashes ``h`` in differently flipped orders (the
+    greatest value in one order is the least one with all bits flipped)."""
+    def flipped(j):  # flipping bits reorders the hashes; the leading ones differ for each j
         flip = (j << 60) | (j * 0x0123456789ABCDF & (1 << 60) - 1)
-        return F.transform(F.col("_h"), lambda x: x.bitwiseXOR(F.lit(flip).cast("long")))
+        return F.col(h).bitwiseXOR(F.lit(flip).cast("long"))
+
+    half = HASHES // 2
+    return [F.min(flipped(j)).alias(f"v{j}") for j in range(half)] + [
+        F.max(flipped(half - 1 - j)).alias(f"v{half + j}") for j in range(half)]
+
+
+def _bands() -> Column:
+    """Band hashes of the minima ``v0``, ``v1``, ..."""
+    return F.array(*[F.xxhash64(F.lit(b), *[F.col(f"v{(2 * b + k) % HASHES}") for k in (0, 1, 6)]) for b in range(BANDS)])
 
-    half = HASHES // 2  # the greatest value in one order is the least one with all bits flipped
-    least = [F.array_min(F.get("_o", F.lit(j))) for j in range(half)]
-    most = [F.array_max(F.get("_o", F.lit(j))) for j in reversed(range(half))]
 
-    def bands(values):
-        v = [F.get(values, F.lit(j)) for j in range(HASHES)]
-        return F.array(*[F.xxhash64(F.lit(b), *[v[(2 * b + k) % HASHES] for k in (0, 1, 6)]) for b in range(BANDS)])
+def _signed(docs: DataFrame) -> DataFrame:
+    """(l1, l2, bands) of the distinct lines."""
+    def parts(line):
+        return F.struct(F.xxhash64(line).alias("l1"), F.xxhash64(F.lit(1), line).alias("l2"), F.encode(line, "UTF-32").alias("b"),
+                        line.rlike(r"\S").alias("live"))
 
-    return F.array(*[order(j) for j in range(half)]), F.array(*least, *most), bands(F.col("_v"))
+    each = docs.select(F.explode(F.transform(F.split("text", "\n", -1), parts)).alias("s")).filter("s.live").select("s.l1", "s.l2", "s.b")
+    hashed = each.select("l1", "l2", "b", F.explode(F.expr(_starts("b"))).alias("i")).select("l1", "l2", F.expr(_shingle("b", "i")).alias("h"))
+    return hashed.groupBy("l1", "l2").agg(*_orders("h")).select("l1", "l2", _bands().alias("bands"))
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """(id, n: set size, p0, p1, ...: the set's parity, a bit for each value of ten low bits) of
+    lines (id, line)."""
+    h = texts.select("id", F.explode(F.expr(_set("line"))).alias("h")).select(
+        "id", F.expr(f"cast(h >> 6 & {WORDS - 1}L as int)").alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("bit"))
+    return h.groupBy("id").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(F.col("w") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{w}")
+                                                          for w in range(WORDS)])
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -72,67 +98,85 @@ def _with_lines(make, text: str = "text") -> Column:
     return F.get(F.transform(F.array(F.split(text, "\n", -1)), make), F.lit(0))
 
 
+def _differ(x: str, y: str, names: list[str]) -> Column:
+    return sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in names), F.lit(0))
+
+
+def _may_link(*names: str):
+    """The size bound, and the parity bound over the words ``names``."""
+    def bound(x, y):
+        m, n = F.col(f"{x}n"), F.col(f"{y}n")
+        need = F.ceil(PERCENT * (m + n) / (100.0 + PERCENT) - 1e-9)  # of the intersection
+        return (F.least(m, n) >= need) & (_differ(x, y, list(names)) <= m + n - 2 * need)
+    return bound
+
+
 def surplus_lines(docs: DataFrame) -> DataFrame:
     """(doc, th, gone: numbers of the lines that go) of the rows (doc, th, text) that lose any."""
     spark = docs.sparkSession
     key = (F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(1), "line").alias("l2"))
-    orders, minima, bands = _bands()
-    made = F.struct(bands.alias("bands"), F.size("_h").alias("n"), _parity(0).alias("f0"), _parity(1).alias("f1"))
-    signed = (_lines(docs).select("doc", "th", "pos", *key, _set(F.col("line")).alias("_h")).withColumn("_o", orders).withColumn("_v", minima)
-              .select("doc", "th", "pos", "l1", "l2", made.alias("s")))
-    place = F.struct("doc", "pos", "th")
+    lines = _lines(docs).select("doc", "th", "pos", *key)
+    first = lines.groupBy("l1", "l2").agg(F.min(F.struct("doc", "pos", "th")).alias("at"), F.count("*").alias("weight"))
     path = scratch_path(spark, "distinct-lines")  # written: its row numbers must not change
-    (signed.groupBy("l1", "l2").agg(F.min(place).alias("at"), F.first("s").alias("s"), F.count("*").alias("weight"))
-     .select("l1", "l2", "at", "s.*", "weight", F.monotonically_increasing_id().alias("id")).write.parquet(path))
+    first.join(_signed(docs), ["l1", "l2"]).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
     distinct = spark.read.parquet(path)
 
-    entries = distinct.select(F.explode("bands").alias("bucket"), "id")
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    entries = entries.join(shared, "bucket").join(distinct.select("id", "n", "f0", "f1", "weight"), "id").checkpoint()
-    wanted = (distinct.join(entries.select("id").distinct(), "id").select("at.doc", "at.th", F.struct("at.pos", "id").alias("w"))
+    buckets = distinct.select(F.explode("bands").alias("bucket"), "id")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    paths = [scratch_path(spark, name) for name in ("shared-bands", "lines-to-verify", "line-parities")]
+    buckets.join(shared, "bucket").write.parquet(paths[0])
+    buckets = spark.read.parquet(paths[0])
+    wanted = (distinct.join(buckets.select("id").distinct(), "id").select("at.doc", "at.th", F.struct("at.pos", "id").alias("w"))
               .groupBy("doc", "th").agg(F.collect_list("w").alias("ws")))
-    path = scratch_path(spark, "lines-to-verify")  # text: a set takes eight times its bytes
     found = _with_lines(lambda ls: F.transform("ws", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["pos"]).alias("line"))))
-    docs.join(wanted, ["doc", "th"]).select(F.explode(found).alias("w")).select("w.id", "w.line").write.parquet(path)
-    texts = spark.read.parquet(path)
-
-    def may_link(x, y):
-        m, n = F.col(f"{x}n"), F.col(f"{y}n")
-        need = F.ceil(PERCENT * (m + n) / (100.0 + PERCENT) - 1e-9)  # of the intersection
-        differ = sum((F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in ("f0", "f1")), F.lit(0))
-        return (F.least(m, n) >= need) & (differ <= m + n - 2 * need)
+    docs.join(wanted, ["doc", "th"]).select(F.explode(found).alias("w")).select("w.id", "w.line").dropDuplicates(["id"]).write.parquet(paths[1])
+    texts = spark.read.parquet(paths[1])  # text: a set takes eight times its bytes
+    _parities(texts).write.parquet(paths[2])
+    parities = spark.read.parquet(paths[2])
+    half = [f"p{w}" for w in range(WORDS // 2)], [f"p{w}" for w in range(WORDS // 2, WORDS)]
+    folds = parities.select("id", "n", *[F.expr(" ^ ".join(names)).alias(f"f{k}") for k, names in enumerate(half)])
+    entries = buckets.join(folds.join(distinct.select("id", "weight"), "id"), "id")
 
     def verify(pairs):
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", _set(F.col("x")).alias("x"), _set(F.col("y")).alias("y"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", F.expr(_set("x")).alias("x"), F.expr(_set("y")).alias("y"))
         common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
         return common.filter(100 * F.col("c") >= PERCENT * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b").distinct()
 
-    comps = link_buckets(entries, verify, extras=("n", "f0", "f1"), may_link=may_link, bands=distinct.select("id", "bands"))
-    grouped = distinct.join(comps, "id", "left").select("l1", "l2", "at", F.coalesce("comp", "id").alias("comp"))
+    late = distinct.select("id", "bands").join(parities.drop("n"), "id")
+    comps = link_buckets(entries, verify, extras=("n", "f0", "f1"), may_link=_may_link("f0", "f1"), late=late,
+                         may_link_late=_may_link(*half[0], *half[1]))
+    for p in paths:
+        forget(spark, p)
     # only lines with several occurrences or a component can lose any: the keeper of each
+    grouped = (distinct.join(comps, "id", "left").filter((F.col("weight") > 1) | F.col("comp").isNotNull())
+               .select("l1", "l2", "at", F.coalesce("comp", "id").alias("comp")))
     keeper = grouped.groupBy("comp").agg(F.min("at").alias("keep"))
     keys = grouped.join(keeper, "comp").select("l1", "l2", "keep")
-    lines = _lines(docs).select("doc", "th", "pos", *key)
-    gone = lines.join(keys, ["l1", "l2"]).filter((F.col("doc") != F.col("keep.doc")) | (F.col("pos") != F.col("keep.pos")))
+    gone = lines.join(keys, ["l1", "l2"]).filter(F.struct("doc", "pos", "th") != F.col("keep"))
     return gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
 
 
 def drop_surplus_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "text", gone: str | None = None) -> DataFrame:
     """``docs`` with column ``into`` holding the text that is left; with ``gone``, a column of
     that name with the numbers of the lines that went."""
-    keyed = docs.withColumn("__doc", F.coalesce(F.col(doc_id), F.lit(_NO_ID))).withColumn("__th", F.xxhash64(text))
-    lost = surplus_lines(keyed.select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.col(text).alias("text")))
-    lost = lost.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names can't clash with the operator's
+    own, body = (F.col(f"c{names.index(c)}") for c in (doc_id, text))
+    keyed = plain.withColumn("doc", F.coalesce(own.cast("long"), F.lit(_NO_ID))).withColumn("th", F.xxhash64(body)).withColumn("text", body)
+    lost = surplus_lines(keyed.select("doc", "th", "text"))
+
     def stay(ls):
-        return F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone"))
+        return F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
 
-    left = _with_lines(lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n"), text)
-    out = keyed.join(lost, ["__doc", "__th"], "left").withColumn(into, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
+    left = _with_lines(lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n"))
+    made = {into: F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)}
     if gone:
-        out = out.withColumn(gone, F.coalesce("__gone", F.array().cast("array<int>")))
-    return out.drop("__doc", "__th", "__gone")
+        made[gone] = F.coalesce("gone", F.array().cast("array<int>"))
+    out = keyed.join(lost, ["doc", "th"], "left")
+    kept = [made.pop(c).alias(c) if c in made else F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    return out.select(*kept, *[v.alias(c) for c, v in made.items()])
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

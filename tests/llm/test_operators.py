@@ -181,6 +181,31 @@ def test_components_of_chains(spark):
     assert {got[i] for i in range(41)} == {0} and got[101] == 100
 
 
+def _kept_by_all_shingles(docs, size=8, percent=80):
+    """Document -> text left, every distinct line against every other by all its overlapping shingles."""
+    first = {}
+    for i, t in sorted(docs):
+        for p, x in enumerate(t.split("\n")):
+            if x.strip():
+                first.setdefault(x, (i, p))
+    sets = {x: frozenset(x[k:k + size] for k in range(max(1, len(x) - size + 1))) for x in first}
+    root = {x: x for x in first}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by_first = sorted(first, key=first.get)
+    for i, x in enumerate(by_first):
+        for y in by_first[:i]:
+            c = len(sets[x] & sets[y])
+            if 100 * c >= percent * (len(sets[x]) + len(sets[y]) - c):
+                a, b = sorted((find(x), find(y)), key=first.get)
+                root[b] = a
+    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip() or first[find(x)] == (i, p)) for i, t in docs}
+
+
 def test_near_lines_by_all_character_shingles(spark):
     """The small documents, and lines of a script without blanks, by the whole definition."""
     rng = np.random.default_rng(5)
@@ -206,9 +231,9 @@ def test_band_recall_at_four_fifths(spark, k):
     """Pairs of sets of 9 k elements, similar by exactly 0.8: how many share a band."""
     rng = np.random.default_rng(k)
     h = rng.integers(-(1 << 63), (1 << 63) - 1, (1000, 10 * k))
-    rows = [(i, v) for i, x in enumerate(h) for v in (x[:9 * k].tolist(), x[k:].tolist())]
-    orders, minima, bands = fuzzy_lines._bands()
-    signed = spark.createDataFrame(rows, "id long, _h array<long>").withColumn("_o", orders).withColumn("_v", minima).select("id", bands.alias("b"))
+    rows = [(i, side, v) for i, x in enumerate(h) for side, v in enumerate((x[:9 * k].tolist(), x[k:].tolist()))]
+    each = spark.createDataFrame(rows, "id long, side int, s array<long>").select("id", "side", F.explode("s").alias("h"))
+    signed = each.groupBy("id", "side").agg(*fuzzy_lines._orders("h")).select("id", fuzzy_lines._bands().alias("b"))
     found = signed.groupBy("id").agg(F.min("b").alias("x"), F.max("b").alias("y")).filter(F.arrays_overlap("x", "y")).count()
     print("band recall", 9 * k, found / 1000)
     assert found >= 980
