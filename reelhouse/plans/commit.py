@@ -1,142 +1,73 @@
-"""All-or-nothing writes of several tables (videos + jobs) without a transactional
-table format.
+"""All-or-nothing writes of videos and jobs.
 
-Layout under one root folder (a shared path, e.g. below spark.checkpoint.dir):
-
-    <root>/v=<n>/<table>/part-*.parquet               data written by version n, or with buckets
-    <root>/v=<n>/<table>/bucket=<b>/part-*.parquet    one folder per hash bucket of the id
-    <root>/_commits/part-*.parquet                    commit log: one row per committed version
-
-A version's tables are written first; the commit is the append of ONE commit-log row
-(version, table -> version map). Readers take the highest committed version and read each
-table from the version recorded for it, so a failure before the log append leaves the
-previous state fully visible (the orphaned v=<n> folder is garbage, never read), and
-tables (or buckets) that were not rewritten are carried over by reference, so a small
-batch rewrites only the buckets its changes fall into. Single writer assumed.
+A batch is decided once and its changes are joined to both tables. Both results are one frame with a
+column ``table_name``, written by one Spark job into one folder (partitioned by table), and a marker of one row
+beside it is written last. Readers go by the marker, so a job that fails half-way leaves the
+folder committed before fully visible, and its own folder is never read. Each commit has a new folder.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..operators import machine as M
+from ..operators.upsert import apply_updates, upsert_jobs, upsert_videos
 from ..session import checkpoint_cut
 
-COMMIT_SCHEMA = T.StructType([
-    T.StructField("version", T.LongType()),
-    T.StructField("tables", T.MapType(T.StringType(), T.LongType())),
-    T.StructField("committed_at", T.TimestampType()),
-])
 
+def commit_both(videos: DataFrame, jobs: DataFrame, folder: str) -> None:
+    """Both tables as one write to a new ``folder``, then its marker."""
+    def rows(df: DataFrame, table: str) -> DataFrame:
+        return df.select(F.lit(table).alias("table_name"), *[f.name for f in S.TABLES[table].fields])
+
+    both = rows(videos, "videos").unionByName(rows(jobs, "jobs"), allowMissingColumns=True)
+    both.write.partitionBy("table_name").parquet(folder)
+    videos.sparkSession.range(1).write.parquet(_marker(folder))
 
-class VersionedCatalog:
-    """Versioned tables under ``root``. With ``buckets`` = N > 0 every table is stored in N
-    hash buckets of its id (``pmod(xxhash64(id), N)``, one folder each) and the commit row
-    maps ``table/bucket`` -> version, so a commit may rewrite only the buckets it touches;
-    with 0 each table is one folder and a commit rewrites it whole."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 0):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+def _marker(folder: str) -> str:
+    return f"{folder.rstrip('/')}-committed"
+
+
+def committed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:
+    """(videos, jobs) of a folder that was committed, else None."""
+    try:
+        if spark.read.schema("id long").parquet(_marker(folder)).isEmpty():
+            return None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # only a missing marker means that nothing was committed
+        return None
 
-    def bucket_of(self, key: str = "id"):
-        return F.pmod(F.xxhash64(F.col(key)), F.lit(self.buckets))
+    def table(name: str) -> DataFrame:
+        return spark.read.schema(S.TABLES[name]).parquet(f"{folder.rstrip('/')}/table_name={name}")
 
-    def _log(self) -> DataFrame | None:
+    def present(name: str) -> DataFrame:
         try:
-            return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/_commits")
+            return table(name)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
-                raise  # only a missing log means that nothing was committed
-            return None
+                raise
+            return spark.createDataFrame([], S.TABLES[name])  # an empty table has no folder
 
-    def head(self):
-        """The latest commit row (version, tables) or None."""
-        log = self._log()
-        if log is None:
-            return None
-        return log.orderBy(F.col("version").desc()).limit(1).first()
-
-    def version(self) -> int:
-        h = self.head()
-        return int(h["version"]) if h else 0
-
-    def _paths(self, mapping: dict, table: str, buckets: list[int] | None = None) -> list[str]:
-        if not self.buckets:
-            return [f"{self.root}/v={mapping[table]}/{table}"] if table in mapping else []
-        out = []
-        for k, v in mapping.items():
-            t, _, b = k.partition("/")
-            if t == table and v >= 0 and (buckets is None or int(b) in buckets):
-                out.append(f"{self.root}/v={v}/{table}/bucket={b}")
-        return sorted(out)
-
-    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
-        """The committed table (or only the given buckets of it)."""
-        h = self.head()
-        paths = self._paths(dict(h["tables"]), table, buckets) if h else []
-        if not paths:
-            return self.spark.createDataFrame([], S.TABLES[table])
-        return self.spark.read.schema(S.TABLES[table]).parquet(*paths)
-
-    def commit(self, tables: dict[str, DataFrame], fail_after_writes: bool = False,
-               touched: dict[str, list[int]] | None = None) -> int:
-        """Write ``tables`` as the next version and publish it atomically; returns the version.
-        With buckets, ``touched[table]`` lists the buckets the frame holds (the others are
-        carried by reference); without it the frame is the whole table. ``fail_after_writes``
-        simulates a crash between data and commit (tests)."""
-        h = self.head()
-        n = (int(h["version"]) if h else 0) + 1
-        mapping = dict(h["tables"]) if h else {}
-        for name, df in tables.items():
-            cols = [f.name for f in S.TABLES[name].fields] if name in S.TABLES else df.columns
-            # a v=<n> folder left by a crash before its commit row was never visible: replace it
-            out = f"{self.root}/v={n}/{name}"
-            if not self.buckets:
-                df.select(*cols).write.mode("overwrite").parquet(out)
-                mapping[name] = n
-                continue
-            rows = df.select(*cols, self.bucket_of().alias("bucket"))
-            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
-            scope = (touched or {}).get(name)
-            scope = list(range(self.buckets)) if scope is None else scope
-            # buckets that received rows (at most N small ints); a touched bucket left empty
-            # is recorded as -1 so readers skip it
-            written = {r[0] for r in self.spark.read.parquet(out).select("bucket").distinct().collect()} \
-                if scope else set()
-            for b in scope:
-                mapping[f"{name}/{b}"] = n if b in written else -1
-        if fail_after_writes:
-            raise RuntimeError(f"simulated failure before commit of version {n}")
-        row = [(n, mapping, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))]
-        self.spark.createDataFrame(row, COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
-        return n
-
-
-def commit_upload_batch(catalog: VersionedCatalog, uploads: DataFrame, now) -> int:
-    """X13 under U7: accepted uploads become new videos and jobs in one version."""
-    from ..operators.machine import upload_batch, uploaded_rows
-    from ..operators.upsert import upsert_jobs, upsert_videos
-    new_v, new_j = uploaded_rows(upload_batch(uploads, now))
+    return present("videos"), present("jobs")
+
+
+def commit_upload_batch(videos: DataFrame, jobs: DataFrame, uploads: DataFrame, now, folder: str) -> None:
+    """X13 under U7: accepted uploads become new videos and jobs together."""
+    new_v, new_j = M.uploaded_rows(M.upload_batch(uploads, now))
     seq = F.lit(0).cast("long").alias("seq")
-    videos = upsert_videos(catalog.read("videos"), new_v.select("*", seq)).drop("action", "rows_affected")
-    jobs = upsert_jobs(catalog.read("jobs"), new_j.select("*", seq)).drop("action", "rows_affected")
-    return catalog.commit({"videos": videos, "jobs": jobs})
-
-
-def commit_job_batch(catalog: VersionedCatalog, kind: str, batch: DataFrame, now) -> tuple[int, DataFrame]:
-    """X14 / X15 / X16 under U7: decide a start / complete / fail batch against the current
-    version, then write the accepted job and video changes of the batch as ONE new version
-    (both tables or neither). Returns (version, outcomes)."""
-    from ..operators import machine as M
-    from ..operators.upsert import apply_updates
-    jobs, videos = catalog.read("jobs"), catalog.read("videos")
+    commit_both(upsert_videos(videos, new_v.select("*", seq)), upsert_jobs(jobs, new_j.select("*", seq)), folder)
+
+
+def commit_job_batch(videos: DataFrame, jobs: DataFrame, kind: str, batch: DataFrame, now, folder: str) -> DataFrame:
+    """X14 / X15 / X16 under U7: decides a start / complete / fail batch against the tables, writes
+    the accepted changes of jobs and videos together and returns the outcomes."""
     decide = {"start": M.start_jobs, "complete": M.complete_jobs, "fail": M.fail_jobs}[kind]
-    out = checkpoint_cut(decide(batch, jobs, videos))  # decided once, written into two tables
+    out = checkpoint_cut(decide(batch, jobs, videos))  # decided once, used for two tables
     acc = out.filter("accepted")
     ts = F.lit(now).cast("timestamp")
     job_cols = [F.col("job_id").alias("id"), F.col("job_status").alias("status"), ts.alias("updated_at")]
@@ -146,14 +77,5 @@ def commit_job_batch(catalog: VersionedCatalog, kind: str, batch: DataFrame, now
         vid_cols.append(F.col("video_duration").alias("duration"))
     if kind == "fail":
         job_cols.append(F.col("job_error_msg").alias("error_msg"))
-    job_upd, vid_upd = acc.select(*job_cols), acc.select(*vid_cols)
-    if not catalog.buckets:
-        return catalog.commit({"jobs": apply_updates(jobs, job_upd),
-                               "videos": apply_updates(videos, vid_upd)}), out
-    # rewrite only the buckets holding accepted changes (at most N bucket numbers)
-    tj = sorted({r[0] for r in job_upd.select(catalog.bucket_of()).distinct().collect()})
-    tv = sorted({r[0] for r in vid_upd.select(catalog.bucket_of()).distinct().collect()})
-    new_jobs = apply_updates(catalog.read("jobs", tj), job_upd) if tj else None
-    new_videos = apply_updates(catalog.read("videos", tv), vid_upd) if tv else None
-    parts = {k: v for k, v in {"jobs": new_jobs, "videos": new_videos}.items() if v is not None}
-    return catalog.commit(parts, touched={"jobs": tj, "videos": tv}), out
+    commit_both(apply_updates(videos, acc.select(*vid_cols)), apply_updates(jobs, acc.select(*job_cols)), folder)
+    return out

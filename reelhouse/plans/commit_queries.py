@@ -1,6 +1,6 @@
 """Two-table commits as queries: commit_uploads (X13), commit_starts, commit_completions and
-commit_failures (X14-X16). Each commits the catalog as version 1 and a batch as version 2 below
-the shared checkpoint folder and returns both tables as the committed version holds them."""
+commit_failures (X14-X16). Each writes both tables with a batch's changes together, below the shared checkpoint
+folder, and returns them as a reader of the committed folder finds them."""
 
 from __future__ import annotations
 
@@ -11,30 +11,33 @@ from .. import schemas as S
 from ..operators import lookup as L
 from ..session import scratch_path
 from ..sources.fixtures import Fixtures
-from .commit import VersionedCatalog, commit_job_batch, commit_upload_batch
+from .commit import commit_job_batch, commit_upload_batch, committed
 from .machine_queries import NOW
 from .registry import ORACLES, register
 
-BUCKETS = 8
 
-
-def _catalog(spark, fx, buckets: int) -> VersionedCatalog:
-    cat = VersionedCatalog(spark, scratch_path(spark, "catalog"), buckets)
-    cat.commit({t: getattr(fx, t).select(*[F.col(f.name).cast(f.dataType) for f in S.TABLES[t].fields])
-                for t in ("videos", "jobs")})
-    return cat
-
-
-def _tables(cat: VersionedCatalog) -> DataFrame:
+def _tables(spark, folder: str) -> DataFrame:
+    videos, jobs = committed(spark, folder)
     none = F.lit(None).cast("string")
-    return cat.read("videos").select(
+    return videos.select(
         F.lit("videos").alias("table_name"), "id", F.col("id").alias("video_id"), "status", "duration",
         none.alias("result"), none.alias("error_msg"), "created_at", "updated_at").unionByName(
-        cat.read("jobs").select(
+        jobs.select(
             F.lit("jobs").alias("table_name"), "id", "video_id", "status", F.lit(None).cast("long").alias("duration"),
             "result", "error_msg", "created_at", "updated_at"))
 
 
+def _current(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """videos and jobs in the columns and types of the data model."""
+    return tuple(getattr(fx, t).select(*[F.col(f.name).cast(f.dataType) for f in S.TABLES[t].fields]) for t in ("videos", "jobs"))
+
+
+def _job_batch(spark, fx: Fixtures, kind: str, batch: DataFrame) -> DataFrame:
+    folder = scratch_path(spark, "catalog")
+    commit_job_batch(*_current(fx), kind, batch, NOW, folder)
+    return _tables(spark, folder)
+
+
 @register("commit_uploads", ["videos", "jobs", "uploads"], f"""
 , a AS (SELECT * FROM uploads WHERE coalesce(upload_id, '') <> '' AND coalesce(filename, '') <> '' AND coalesce(resource_id, '') <> '')
 SELECT 'videos' AS table_name, id, id AS video_id, status, duration, NULL AS result, NULL AS error_msg, created_at, updated_at FROM videos
@@ -44,9 +47,9 @@ UNION ALL SELECT 'jobs', 'job-' || upload_id, 'vid-' || upload_id, 'pending', NU
 """)
 def commit_uploads(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    cat = _catalog(spark, fx, 0)
-    commit_upload_batch(cat, fx.uploads, NOW)
-    return _tables(cat)
+    folder = scratch_path(spark, "catalog")
+    commit_upload_batch(*_current(fx), fx.uploads, NOW, folder)
+    return _tables(spark, folder)
 
 
 def _committed(outcomes: str, duration: str, result: str, error_msg: str) -> str:
@@ -67,25 +70,19 @@ FROM jobs j LEFT JOIN o ON o.job_id = j.id
 @register("commit_starts", ["videos", "jobs"], _committed("start_jobs", "v.duration", "j.result", "j.error_msg"))
 def commit_starts(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    cat = _catalog(spark, fx, BUCKETS)
     batch = L.runnable_jobs(fx.jobs).select(F.col("id").alias("job_id"), F.col("created_at").alias("seq"))
-    commit_job_batch(cat, "start", batch, NOW)
-    return _tables(cat)
+    return _job_batch(spark, fx, "start", batch)
 
 
 @register("commit_completions", ["videos", "jobs"],
           _committed("complete_jobs", "coalesce(o.video_duration, v.duration)", "coalesce(o.job_result, j.result)", "j.error_msg"))
 def commit_completions(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    cat = _catalog(spark, fx, BUCKETS)
-    commit_job_batch(cat, "complete", fx.job_outcomes.filter(F.col("outcome") == "complete"), NOW)
-    return _tables(cat)
+    return _job_batch(spark, fx, "complete", fx.job_outcomes.filter(F.col("outcome") == "complete"))
 
 
 @register("commit_failures", ["videos", "jobs"],
           _committed("fail_jobs", "v.duration", "j.result", "coalesce(o.job_error_msg, j.error_msg)"))
 def commit_failures(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    cat = _catalog(spark, fx, BUCKETS)
-    commit_job_batch(cat, "fail", fx.job_outcomes.filter(F.col("outcome") == "fail"), NOW)
-    return _tables(cat)
+    return _job_batch(spark, fx, "fail", fx.job_outcomes.filter(F.col("outcome") == "fail"))

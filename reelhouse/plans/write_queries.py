@@ -132,10 +132,10 @@ def duplicate_keys(spark, sf_dir):
     return I.union_all([I.duplicate_keys(getattr(fx, t), t, k) for t, k in _DUPS])
 
 
-_NN = [("videos", VIDEO_COLS), ("jobs", JOB_COLS), ("users", USER_COLS)]
+_NN = [(t, [f.name for f in s.fields]) for t, s in SC.TABLES.items()]
 
 
-@register("null_checks", ["videos", "jobs", "users"], "\nUNION ALL\n".join(
+@register("null_checks", list(SC.TABLES), "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS n_null FROM {t}"
     for t, cols in _NN for c in cols))
 def null_checks(spark, sf_dir):

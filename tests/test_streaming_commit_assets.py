@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reelhouse import schemas as S
 from reelhouse.operators import assets as A
 from reelhouse.operators import progress as P
-from reelhouse.plans.commit import VersionedCatalog, commit_upload_batch
+from reelhouse.plans.commit import commit_both, commit_job_batch, commit_upload_batch, committed
 from reelhouse.sources.files import asset_catalog, read_probe_docs, read_progress_text, write_assets, write_text_logs
 from reelhouse.streaming.progress_stream import run_progress_stream
 
@@ -38,28 +38,31 @@ def test_stream_state_survives_batches(spark, tmpdir_fresh):
     assert sorted((r.job_id, r.event_id, r.status) for r in batch.collect()) == got
 
 
-def _vc(spark, root):
-    return VersionedCatalog(spark, root)
+def _empty(spark):
+    return spark.createDataFrame([], S.VIDEOS), spark.createDataFrame([], S.JOBS)
 
 
-def test_two_table_commit_and_rollback(spark, tmpdir_fresh):
-    cat = _vc(spark, f"{tmpdir_fresh}/catalog")
+def test_two_table_commit_and_failure(spark, tmpdir_fresh):
     now = dt.datetime(2024, 1, 15)
     ups = spark.createDataFrame([("up-1", "T", "D", "a.mp4", "res-a"), ("up-2", "T", "D", "", "res-b")],
                                 "upload_id string, title string, description string, filename string, resource_id string")
-    v1 = commit_upload_batch(cat, ups, now)
-    assert v1 == 1
-    assert [r.id for r in cat.read("videos").collect()] == ["vid-up-1"]
-    assert [(r.id, r.status) for r in cat.read("jobs").collect()] == [("job-up-1", "pending")]
-    # a crash after writing the data but before the commit row leaves version 1 visible
-    more = spark.createDataFrame([("vid-x", "t", "d", 0, "f", "r", "pending", now, now)], S.VIDEOS)
-    with pytest.raises(RuntimeError):
-        cat.commit({"videos": cat.read("videos").unionByName(more), "jobs": cat.read("jobs")},
-                   fail_after_writes=True)
-    assert cat.version() == 1 and cat.read("videos").count() == 1
-    # only videos rewritten: jobs carried over by reference
-    v2 = cat.commit({"videos": cat.read("videos").unionByName(more)})
-    assert v2 == 2 and cat.read("videos").count() == 2 and cat.read("jobs").count() == 1
+    one, two = f"{tmpdir_fresh}/one", f"{tmpdir_fresh}/two"
+    assert committed(spark, one) is None
+    commit_upload_batch(*_empty(spark), ups, now, one)
+    videos, jobs = committed(spark, one)
+    assert videos.schema == S.VIDEOS and jobs.schema == S.JOBS
+    assert [r.id for r in videos.collect()] == ["vid-up-1"]
+    assert [(r.id, r.status) for r in jobs.collect()] == [("job-up-1", "pending")]
+    # a write that fails in one table commits neither; what was committed before stays
+    broken = jobs.withColumn("result", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        commit_both(videos, broken, two)
+    assert committed(spark, two) is None and committed(spark, one)[0].count() == 1
+
+
+def test_empty_tables_commit(spark, tmpdir_fresh):
+    commit_both(*_empty(spark), f"{tmpdir_fresh}/none")
+    assert [df.count() for df in committed(spark, f"{tmpdir_fresh}/none")] == [0, 0]
 
 
 def _write(path, text):
@@ -142,22 +145,26 @@ def test_text_stream_end_carries_state(spark, tmpdir_fresh):
 
 
 def test_job_lifecycle_commits_both_tables(spark, tmpdir_fresh):
-    from reelhouse.plans.commit import commit_job_batch
-    cat = _vc(spark, f"{tmpdir_fresh}/catalog")
     t0, t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)
-    cat.commit({"videos": spark.createDataFrame([("v1", "t", "d", 0, "f.mp4", "res-1", "pending", t0, t0)], S.VIDEOS),
-                "jobs": spark.createDataFrame([("j1", "v1", "transcode", "pending", "", "", t0, t0)], S.JOBS)})
-    v, out = commit_job_batch(cat, "start", spark.createDataFrame([("j1", 1)], "job_id string, seq long"), t1)
-    assert v == 2 and out.collect()[0].accepted
-    assert (cat.read("jobs").first().status, cat.read("videos").first().status) == ("running", "processing")
-    batch = spark.createDataFrame([(1, "j1", "manifest.mpd", 120 * 10**9)], "seq long, job_id string, result string, duration long")
-    v, _ = commit_job_batch(cat, "complete", batch, t2)
-    j, vid = cat.read("jobs").first(), cat.read("videos").first()
-    assert v == 3 and (j.status, j.result, j.updated_at) == ("completed", "manifest.mpd", t2)
-    assert (vid.status, vid.duration, vid.created_at) == ("published", 120 * 10**9, t0)
-    # a rejected batch still commits a version, but changes nothing
-    v, out = commit_job_batch(cat, "fail", spark.createDataFrame([(1, "j1", "x")], "seq long, job_id string, error_msg string"), t2)
-    assert not out.collect()[0].accepted and cat.read("jobs").first().status == "completed"
+    now = [spark.createDataFrame([(f"v{i}", "t", "d", 0, "f.mp4", f"res-{i}", "pending", t0, t0) for i in range(3)], S.VIDEOS),
+           spark.createDataFrame([(f"j{i}", f"v{i}", "transcode", "pending", "", "", t0, t0) for i in range(3)], S.JOBS)]
+
+    def batch(kind, rows, schema, at):
+        folder = f"{tmpdir_fresh}/{kind}"
+        out = commit_job_batch(*now, kind, spark.createDataFrame(rows, schema), at, folder).collect()
+        now[:] = committed(spark, folder)
+        videos, jobs = ({r.id: r for r in df.collect()} for df in now)
+        assert len(videos) == len(jobs) == 3 and (videos["v2"].status, jobs["j2"].status) == ("pending", "pending")
+        return out, videos["v1"], jobs["j1"]
+
+    out, v, j = batch("start", [("j1", 1)], "job_id string, seq long", t1)
+    assert out[0].accepted and (j.status, v.status) == ("running", "processing")
+    out, v, j = batch("complete", [(1, "j1", "manifest.mpd", 120 * 10**9)], "seq long, job_id string, result string, duration long", t2)
+    assert (j.status, j.result, j.updated_at) == ("completed", "manifest.mpd", t2)
+    assert (v.status, v.duration, v.created_at) == ("published", 120 * 10**9, t0)
+    # a batch of which nothing is accepted is committed too, and changes nothing
+    out, v, j = batch("fail", [(1, "j1", "x")], "seq long, job_id string, error_msg string", t2)
+    assert not out[0].accepted and j.status == "completed"
 
 
 def test_stream_equals_batch_files_landed_one_by_one(spark, tmpdir_fresh):
@@ -202,26 +209,6 @@ def test_worker_output_files(spark, tmpdir_fresh):
     assert out.select(relative_to("manifest_path", "/elsewhere")).first()[0] is None
 
 
-def test_bucketed_commit_rewrites_only_touched_buckets(spark, tmpdir_fresh):
-    from reelhouse.plans.commit import commit_job_batch
-    cat = VersionedCatalog(spark, f"{tmpdir_fresh}/catalog", buckets=4)
-    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
-    videos = spark.createDataFrame([(f"v{i}", "t", "d", 0, "f.mp4", f"res-{i}", "pending", t0, t0) for i in range(20)],
-                                   S.VIDEOS)
-    jobs = spark.createDataFrame([(f"j{i}", f"v{i}", "transcode", "pending", "", "", t0, t0) for i in range(20)], S.JOBS)
-    assert cat.commit({"videos": videos, "jobs": jobs}) == 1
-    assert cat.read("videos").count() == 20 and cat.read("jobs").count() == 20
-    v, out = commit_job_batch(cat, "start", spark.createDataFrame([("j3", 1)], "job_id string, seq long"), t1)
-    assert v == 2 and out.collect()[0].accepted
-    tables = dict(cat.head()["tables"])
-    assert sum(1 for k, ver in tables.items() if k.startswith("jobs/") and ver == 2) == 1
-    assert sum(1 for k, ver in tables.items() if k.startswith("videos/") and ver == 2) == 1
-    got_j = {r.id: r.status for r in cat.read("jobs").collect()}
-    got_v = {r.id: r.status for r in cat.read("videos").collect()}
-    assert len(got_j) == 20 and got_j["j3"] == "running" and got_j["j4"] == "pending"
-    assert len(got_v) == 20 and got_v["v3"] == "processing" and got_v["v4"] == "pending"
-
-
 def test_state_tables_survive_snapshots(spark, tmpdir_fresh):
     """A key closed in the first of 40 batches is still known after the snapshot batch, and a
     batch that runs again sees what it saw the first time."""
