@@ -1,6 +1,6 @@
 """Asset-tree queries over files that Spark writes from the catalog tables:
 asset_orphans (S7, X20), missing_manifests (S7, X21, J3), ordered_text and file_frames (S4, P1),
-probe_files (S5, P8), export_json (S8).
+probe_files (S5, P8), export_json, export_list_json, export_upload_json (S8).
 
 Tree written per run (one fresh folder under the shared checkpoint directory):
   seg1.m4s and the manifest  for published videos with a manifest, except that the manifest is left
@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ..operators import assets as A
 from ..operators import lookup as L
+from ..operators import machine as M
 from ..operators import progress as P
 from ..session import scratch_path
-from ..sources.files import (asset_catalog, read_probe_docs, read_progress_text, video_info_json, write_assets, write_probe_docs,
-                             write_text_logs)
+from ..sources.files import (asset_catalog, read_json_lines, read_probe_docs, read_progress_text, upload_json, video_info_json,
+                             video_list_json, write_assets, write_json_lines, write_probe_docs, write_text_logs)
 from ..sources.fixtures import Fixtures
+from .machine_queries import NOW
 from .progress_queries import _FRAMES_CTE
 from .registry import register
 
@@ -72,7 +74,33 @@ FROM videos v JOIN latest l ON l.video_id = v.id
 """)
 def export_json(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    return video_info_json(L.video_info(fx.videos, fx.jobs))
+    return _through_files(spark, video_info_json(L.video_info(fx.videos, fx.jobs)))
+
+
+def _through_files(spark, df):
+    path = scratch_path(spark, "json")
+    write_json_lines(df, path)
+    return read_json_lines(spark, path)
+
+
+@register("export_list_json", ["videos"], """
+SELECT '{"ID":' || to_json(id) || coalesce(',"Title":' || to_json(title), '') || coalesce(',"Description":' || to_json(description), '')
+  || coalesce(',"Duration":' || CAST(duration AS VARCHAR), '') || coalesce(',"Filename":' || to_json(filename), '')
+  || coalesce(',"ResourceID":' || to_json(resource_id), '') || ',"Status":' || to_json(status)
+  || ',"CreatedAt":' || to_json(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ'))
+  || ',"UpdatedAt":' || to_json(strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%fZ')) || '}' AS value
+FROM videos WHERE status = 'published'
+""")
+def export_list_json(spark, sf_dir):
+    return _through_files(spark, video_list_json(L.published(Fixtures(spark, sf_dir).videos)))
+
+
+@register("export_upload_json", ["uploads"], """
+SELECT '{"video_id":"vid-' || upload_id || '","job_id":"job-' || upload_id || '","status":"pending","resource_id":' || to_json(resource_id) || '}' AS value
+FROM uploads WHERE coalesce(upload_id, '') <> '' AND coalesce(filename, '') <> '' AND coalesce(resource_id, '') <> ''
+""")
+def export_upload_json(spark, sf_dir):
+    return _through_files(spark, upload_json(M.upload_batch(Fixtures(spark, sf_dir).uploads, NOW)))
 
 
 def _text_files(spark, sf_dir):

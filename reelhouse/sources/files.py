@@ -101,6 +101,29 @@ def video_info_json(info: DataFrame) -> DataFrame:
         F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("updated_at"))).alias("value"))
 
 
+def video_list_json(videos: DataFrame) -> DataFrame:
+    """The elements of a video list, under the service's field names, the duration in nanoseconds."""
+    return videos.select(F.col("id").alias("ID"), F.col("title").alias("Title"), F.col("description").alias("Description"),
+                         F.col("duration").alias("Duration"), F.col("filename").alias("Filename"),
+                         F.col("resource_id").alias("ResourceID"), F.col("status").alias("Status"),
+                         F.col("created_at").alias("CreatedAt"), F.col("updated_at").alias("UpdatedAt"))
+
+
+def upload_json(batch: DataFrame) -> DataFrame:
+    """The answer to each accepted upload of an ``upload_batch``."""
+    return batch.filter("accepted").select("video_id", "job_id", "status", "resource_id")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
-    """S8 sink: JSON lines (one object per row)."""
-    df.write.mode("overwrite").text(path) if df.columns == ["value"] else df.write.mode("overwrite").json(path)
+    """S8 sink: JSON lines, one object per row, null fields left out; a frame of ready ``value`` strings
+    is written as it is."""
+    if df.columns == ["value"]:
+        df.write.mode("overwrite").text(path)
+    else:
+        (df.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+         .option("ignoreNullFields", "true").json(path))
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Each object as the text (``value``) that a client gets."""
+    return spark.read.text(path)
