@@ -97,6 +97,15 @@ def test_iban_and_context(spark):
     assert any(s.kind == 4 and s.score == pytest.approx(0.95) for s in got[0]) and not any(s.kind == 4 for s in got[1])
 
 
+def test_secrets_need_a_word_nearby(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e"
+    texts = [f'token = "{key}"', f"see {key} there", "token " + "ab1" * 12, "token abcdefghijklmnopqrstuvwxyz", f"{key} {'x ' * 30} token", f"KEY_{key}"]
+    docs = _docs(spark, texts).withColumn("__pii_text", F.lit("mine")).withColumn("__m_ip", F.lit(7))
+    got = pii_spans.find_spans(docs).orderBy("doc_id").collect()
+    assert [[(s.start, s.end) for s in r.spans if s.kind == 5] for r in got] == [[(9, 41)], [], [], [], [], []]
+    assert got[0].spans[0].score == pytest.approx(0.55) and {(r["__pii_text"], r["__m_ip"]) for r in got} == {("mine", 7)}
+
+
 def test_bytes_law_and_slots(spark):
     texts = ["copy " * 200] * 300 + [f"text {i} " * (i % 50) for i in range(3000)]
     docs = _docs(spark, texts).select(F.col("doc_id").alias("own"), F.length("text").cast("long").alias("size"), F.xxhash64("text").alias("k"))
