@@ -125,3 +125,28 @@ def test_failed_reads_close_with_error_where_they_failed(spark):
     got = sorted((r.job_id, r.seq, r.status, r.current_frames) for r in P.progress_events(lines, probes, failed_reads=fails).collect())
     assert got == [("a", 1, "continue", 10), ("a", 2, "continue", 20), ("a", 3, "error", 20), ("b", 1, "continue", 5), ("b", 2, "end", 5),
                    ("c", 4, "error", 0), ("d", 2, "error", 0)]
+
+
+def test_probes_are_parsed_before_they_are_filtered(spark, monkeypatch):
+    """The filter on a probe's outcome does not parse its document for every row that the probes were told from."""
+    plans, kept = [], type(spark.range(1)).checkpoint
+
+    def checkpoint(df, *args, **kw):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, *args, **kw)
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", checkpoint)
+    rows = spark.createDataFrame([(i, f"j{i % 3}", f"frame={i}") for i in range(30)], "event_id long, job_id string, line string")
+    probes = rows.select("job_id").distinct().select("job_id", F.concat(F.lit('{"format":{"duration":"1.5"},"streams":{"nb_read_frames":"'),
+                                                                      F.substring("job_id", 2, 1), F.lit('0"}}')).alias("doc"))
+    assert P.frame_percentages(P.parse_frame_lines(rows), P.parse_probes(probes)).count() == 20
+    assert P.progress_events(rows, probes).count() == 22
+    assert P.progress_rejections(probes).count() == 1
+    filters = [x for plan in plans for x in plan.split("\n") if "Filter" in x]
+    assert plans and not [x for x in filters if "get_json_object" in x]
+
+
+def test_last_frame_without_percentage_is_not_kept(spark):
+    """An overflowing frame has no event and is not the last one, as is a line that is no frame."""
+    ev = P.progress_events(_lines(spark, "j", "frame=150\nframe=9223372036854775807\nfps=1\n"), _probes(spark, "j", OBJ % "300"))
+    assert sorted((r.seq, r.status, r.current_frames, r.percentage) for r in ev.collect()) == [(0, "continue", 150, 50), (3, "end", 150, 50)]
