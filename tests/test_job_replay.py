@@ -122,3 +122,18 @@ def test_repeated_seq_is_refused_and_no_commands(spark):
     with pytest.raises(ValueError):
         J.replay_job_batch(*tables)
     assert J.replay_job_batch(tables[0].limit(0), *tables[1:]).count() == 0
+
+
+def test_videos_with_few_commands_take_no_rounds(spark, monkeypatch):
+    """30 accepted commands in each of 40 videos' chains are folded, without a round; two at one place go in rounds."""
+    cuts = []
+    cut = J.checkpoint_cut
+    monkeypatch.setattr(J, "checkpoint_cut", lambda df: cuts.append(1) or cut(df))
+    videos = [_video(f"v{i}", "pending") for i in range(40)]
+    jobs = [_job(f"j{i}", f"v{i % 40}", "pending") for i in range(80)]
+    cmds = [(100 * s + i, f"j{i + 40 * (s // 2 % 2)}", "fail" if s % 2 else "start", None, "r", f"e{s}") for s in range(30) for i in range(40)]
+    want = _check(spark, cmds, jobs, videos)
+    assert all(w[0] for w in want.values()) and len(cuts) == 1
+    twice = [(1, "j0", "start", None, "r", "e"), (1, "j0", "start", None, "r", "e"), (2, "j0", "fail", None, "r", "e"), (3, "j1", "start", None, "r", "e")]
+    out = J.replay_job_batch(*[spark.createDataFrame(r, s) for r, s in ((twice, CMDS), (jobs, JOBS), (videos, VIDEOS))])
+    assert out.filter("accepted").count() == out.count() == 4 and len(cuts) == 1 + 1 + 2
