@@ -3,8 +3,8 @@
 Equal lines become one row by their 128-bit hash (aggregated before the shuffle, so a line that
 sits in a third of all documents is a few rows). A line's set is all its overlapping shingles of
 ``SHINGLE`` characters (a shorter line is one), whatever its script, with or without blanks. Its
-signature is ``HASHES`` minima over that set, made in one pass: every shingle is a row whose hash goes into
-minima and maxima of its differently flipped forms, which each task adds up per line before anything moves. A band is
+signature is ``HASHES`` minima over that set, made in one pass: every ``RUN`` consecutive shingles are a row whose hashes go into
+minima and maxima of their differently flipped forms, which each task adds up per line before anything moves. A band is
 three of them, and lines that are 0.8 similar share one of the ``BANDS`` bands nearly always (98 to 99.6 percent, the
 tests measure it). Lines that share a band must pass the size bound and a parity bound (bits in
 which hashed parities of the sets differ are a lower bound of their difference; 128 bits for the
@@ -30,36 +30,41 @@ from ..session import scratch_path
 from .clusters import forget, link_buckets
 
 SHINGLE, HASHES, BANDS, PERCENT = 8, 16, 8, 80
+#: Consecutive shingles that are one row while signatures are made.
+RUN = 8
 #: Words of 64 bits in a set's parity.
 WORDS = 16
 _NO_ID = -(1 << 63)
 
 
-def _starts(b: str) -> str:
-    """Numbers of the shingles of a line, whose code points ``b`` holds at four bytes each (so that
-    a shingle is cut out without a walk along the line)."""
-    return f"sequence(0, greatest(cast(octet_length({b}) div 4 as int) - {SHINGLE}, 0))"
+def _last(b: str) -> str:
+    """Place of the last shingle of a line, whose code points ``b`` holds at four bytes each (so that
+    a shingle is cut out without a walk along the line): places are bytes from 1, four apart."""
+    return f"greatest(4 * cast(octet_length({b}) div 4 as int) - {4 * SHINGLE - 1}, 1)"
 
 
 def _shingle(b: str, i: str) -> str:
-    return f"xxhash64(substring({b}, 4 * {i} + 1, {4 * SHINGLE}))"
+    return f"xxhash64(substring({b}, {i}, {4 * SHINGLE}))"
 
 
-def _set(line: str) -> str:
-    """Hashes of the line's shingles, distinct."""
-    return f"transform(array(encode({line}, 'UTF-32')), b -> array_distinct(transform({_starts('b')}, i -> {_shingle('b', 'i')})))[0]"
+def _hashes(line: str) -> Column:
+    """Hashes of the line's shingles, in order (repeats included)."""
+    return F.expr(f"transform(array(encode({line}, 'UTF-32')), b -> transform(sequence(1, {_last('b')}, 4), i -> {_shingle('b', 'i')}))[0]")
 
 
-def _orders(h: str) -> list[Column]:
-    """Aggregates: least and greatest of the hashes ``h`` in differently flipped orders (the
+def _orders(*hs: str) -> list[Column]:
+    """Aggregates: least and greatest of the hashes ``hs`` in differently flipped orders (the
     greatest value in one order is the least one with all bits flipped)."""
     def flipped(j):  # flipping bits reorders the hashes; the leading ones differ for each j
         flip = (j << 60) | (j * 0x0123456789ABCDF & (1 << 60) - 1)
-        return F.col(h).bitwiseXOR(F.lit(flip).cast("long"))
+        return [F.col(h).bitwiseXOR(F.lit(flip).cast("long")) for h in hs]
+
+    def one(pick, each):  # of a row
+        return pick(*each) if len(each) > 1 else each[0]
 
     half = HASHES // 2
-    return [F.min(flipped(j)).alias(f"v{j}") for j in range(half)] + [
-        F.max(flipped(half - 1 - j)).alias(f"v{half + j}") for j in range(half)]
+    return [F.min(one(F.least, flipped(j))).alias(f"v{j}") for j in range(half)] + [
+        F.max(one(F.greatest, flipped(half - 1 - j))).alias(f"v{half + j}") for j in range(half)]
 
 
 def _bands() -> Column:
@@ -74,17 +79,20 @@ def _signed(docs: DataFrame) -> DataFrame:
                         line.rlike(r"\S").alias("live"))
 
     each = docs.select(F.explode(F.transform(F.split("text", "\n", -1), parts)).alias("s")).filter("s.live").select("s.l1", "s.l2", "s.b")
-    hashed = each.select("l1", "l2", "b", F.explode(F.expr(_starts("b"))).alias("i")).select("l1", "l2", F.expr(_shingle("b", "i")).alias("h"))
-    return hashed.groupBy("l1", "l2").agg(*_orders("h")).select("l1", "l2", _bands().alias("bands"))
+    ends = each.withColumn("last", F.expr(_last("b")))
+    runs = ends.select("l1", "l2", "b", "last", F.explode(F.expr(f"sequence(1, last, {4 * RUN})")).alias("i"))
+    names = [f"h{k}" for k in range(RUN)]  # the last run repeats the last shingle, which changes no minimum
+    hashed = runs.select("l1", "l2", *[F.expr(_shingle("b", f"least(i + {4 * k}, last)")).alias(h) for k, h in enumerate(names)])
+    return hashed.groupBy("l1", "l2").agg(*_orders(*names)).select("l1", "l2", _bands().alias("bands"))
 
 
 def _parities(texts: DataFrame) -> DataFrame:
     """(id, n: set size, p0, p1, ...: the set's parity, a bit for each value of ten low bits) of
     lines (id, line)."""
-    h = texts.select("id", F.explode(F.expr(_set("line"))).alias("h")).select(
+    h = texts.select("id", F.array_distinct(_hashes("line")).alias("s")).select("id", F.explode("s").alias("h")).select(
         "id", F.expr(f"cast(h >> 6 & {WORDS - 1}L as int)").alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("bit"))
-    return h.groupBy("id").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(F.col("w") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{w}")
-                                                          for w in range(WORDS)])
+    parity = [F.coalesce(F.expr(f"bit_xor(bit) FILTER (WHERE w = {w})"), F.lit(0).cast("long")).alias(f"p{w}") for w in range(WORDS)]
+    return h.groupBy("id").agg(F.count("*").alias("n"), *parity)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -140,9 +148,9 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
     def verify(pairs):
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", F.expr(_set("x")).alias("x"), F.expr(_set("y")).alias("y"))
-        common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
-        return common.filter(100 * F.col("c") >= PERCENT * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b").distinct()
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", _hashes("x").alias("x"), _hashes("y").alias("y"))
+        common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), F.size(F.array_union("x", "y")).alias("u"))
+        return common.filter(100 * F.col("c") >= PERCENT * F.col("u")).select("a", "b").distinct()
 
     late = distinct.select("id", "bands").join(parities.drop("n"), "id")
     comps = link_buckets(entries, verify, extras=("n", "f0", "f1"), may_link=_may_link("f0", "f1"), late=late,

@@ -248,6 +248,22 @@ def test_band_recall_at_four_fifths(spark, k):
     assert found >= 980
 
 
+def test_signatures_by_runs_are_those_by_shingles(spark):
+    """Lines around every border of a run, of several scripts: the bands of all their shingles, one by one."""
+    rng = np.random.default_rng(11)
+    lines = ["".join(chr(c) for c in rng.integers(*script, n)) for script in ((0x21, 0x7F), (0x4E00, 0x9000), (0x1F600, 0x1F640))
+             for n in (*range(1, 3 * fuzzy_lines.RUN + 10), 200, 3001)] + ["a" * 500, "ab " * 300]
+    signed = fuzzy_lines._signed(spark.createDataFrame([("\n".join(lines),), (lines[40],), (None,)], "text string"))
+    got = {r.l1: r.bands for r in signed.collect()}
+    each = [(line, line[i:i + fuzzy_lines.SHINGLE]) for line in lines for i in range(max(len(line) - fuzzy_lines.SHINGLE, 0) + 1)]
+    h = spark.createDataFrame(each, "line string, s string").select("line", F.xxhash64(F.encode("s", "UTF-32")).alias("h"))
+    want = h.groupBy("line").agg(*fuzzy_lines._orders("h")).select(F.xxhash64("line").alias("l1"), fuzzy_lines._bands().alias("bands"))
+    assert got == {r.l1: r.bands for r in want.collect()} and len(got) == len(set(lines))
+    rows = spark.createDataFrame([(5, 3), (-7, 9)], "x long, y long")  # several hashes in a row are all in the minima
+    flat = rows.select(F.explode(F.array("x", "y")).alias("h")).agg(*fuzzy_lines._orders("h")).first()
+    assert rows.agg(*fuzzy_lines._orders("x", "y")).first() == flat
+
+
 def test_subsets_and_lists_agree(spark, monkeypatch):
     """Light sets by subsets give the components that inverted lists give."""
     rng = np.random.default_rng(3)
