@@ -42,6 +42,8 @@ QUERY_BLOCK, CANDIDATE_BLOCK, SLAB = 256, 2048, 16
 QUERY_BYTES, SHARES, TASKS = 64 << 20, 24, 4
 #: Candidates that raise the k-th best at first; candidates the first run of slabs is chosen on, and after how many blocks again.
 LEADERS, TRIED, TRY_AGAIN = 256, 64, 32
+#: Passing pairs that are held until they are sorted in.
+HITS = 1 << 18
 EXACT = {np.float32: float(1 << 24), np.float64: float(1 << 53)}
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 _SCRATCH: dict = {}  # products are written over the last ones: fresh memory costs a third of a product's time
@@ -114,10 +116,13 @@ class Block:
     def rows(self, kind, first, head: int) -> np.ndarray:
         """``first``, the norms of what is left and the dimensions before ``head``."""
         if kind not in self.made:
-            self.made[kind] = np.empty((self.dim + 2, self.cols.shape[1]), kind)
-            self.made[kind][2:] = self.cols
-        made = self.made[kind]
-        made[0], made[1] = first, self.rest[-(-head // self.slab)]
+            self.made[kind] = [np.empty((self.dim + 2, self.cols.shape[1]), kind), None]
+            self.made[kind][0][2:] = self.cols
+        made, laid = self.made[kind]
+        made[0] = first
+        if laid != head:
+            made[1] = self.rest[-(-head // self.slab)]
+            self.made[kind][1] = head
         return made[:head + 2]
 
     def only(self, at: np.ndarray) -> Block:
@@ -161,9 +166,9 @@ def pair_scores(q, c, kth: np.ndarray, k: int, own: np.ndarray | None, slab: int
     limit = q.norm * c.norm + 1
 
     def passing(c: Block, head: int):
-        need = np.clip(kth, -limit, limit).astype(float)
+        need = np.minimum(np.maximum(kth, -limit), limit)
         n, m = len(need), c.cols.shape[1]
-        if _SCRATCH.get(kind, need).size < n * m:
+        if kind not in _SCRATCH or _SCRATCH[kind].size < n * m:
             _SCRATCH[kind] = np.empty(n * m, kind)
         by = np.matmul(q.rows(kind, -need, head).T, c.rows(kind, 1, head), out=_SCRATCH[kind][:n * m].reshape(n, m))
         return need, by, np.flatnonzero(by.max(0) >= 0)
@@ -176,7 +181,7 @@ def pair_scores(q, c, kth: np.ndarray, k: int, own: np.ndarray | None, slab: int
         top = -np.partition(-full, k - 1, axis=1)[:, k - 1]
         kth[open_] = np.where(top > -np.inf, top, kth[open_])
     if q.met % TRY_AGAIN == 1:
-        q.head = _first_run(q, c, kind, np.clip(kth, -limit, limit))
+        q.head = _first_run(q, c, kind, np.minimum(np.maximum(kth, -limit), limit))
     q.met += 1
     need, by, alive = passing(c, q.head)
     if q.head < q.dim and len(alive):
@@ -185,7 +190,7 @@ def pair_scores(q, c, kth: np.ndarray, k: int, own: np.ndarray | None, slab: int
         need, by, still = passing(left, q.dim)
         alive, by = alive[still], by[:, still]
     elif len(alive) < m:
-        by = by[:, alive]
+        by = by.take(alive, axis=1)
     if pairs:
         i, j = np.divmod(np.flatnonzero(by >= 0), max(1, len(alive)))
         return i, alive[j], (by[i, j] + need[i]).astype(np.int64)
@@ -199,9 +204,9 @@ class Best:
         self.k, self.have = k, np.zeros(n, np.int64)
         self.scores, self.ids = np.full((n, k), LEAST), np.full((n, k), MOST)
 
-    def need(self, rows: slice) -> np.ndarray:
-        """What a candidate of a larger id must reach to count."""
-        return np.where(self.have[rows] < self.k, LEAST, np.minimum(self.scores[rows, -1], MOST - 1) + 1)
+    def need(self) -> np.ndarray:
+        """What a candidate of a larger id must reach to count, per query."""
+        return np.where(self.have < self.k, LEAST, np.minimum(self.scores[:, -1], MOST - 1) + 1)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         if not len(rows):
@@ -216,11 +221,21 @@ class Best:
         self.have[told] = np.minimum(self.k, self.have[told] + n)
 
 
+def _alike(mat: np.ndarray) -> np.ndarray:
+    """The rows in an order that brings like ones together: what passes for none of a block is dropped,
+    so the fewer directions a block has, the better. Rows too long for small floats come last."""
+    norm = np.sqrt(np.einsum("ij,ij->i", mat, mat, dtype=float, casting="unsafe"))
+    unit = (mat / np.maximum(norm, 1)[:, None]).astype(np.float32)
+    some = unit[::QUERY_BLOCK].T
+    near = np.concatenate([(unit[a:a + QUERY_BLOCK] @ some).argmax(1) for a in range(0, len(unit), QUERY_BLOCK)])
+    return np.lexsort((near, (norm >= 1 << 25).astype(int) + (norm >= 1 << 11)))
+
+
 class _Queries:
-    """A task's queries of one length in blocks, outliers in blocks of their own."""
+    """A task's queries of one length in blocks."""
 
     def __init__(self, ids: np.ndarray, mat: np.ndarray, k: int):
-        o = np.argsort(np.einsum("ij,ij->i", mat, mat, dtype=float, casting="unsafe"), kind="stable")
+        o = _alike(mat)
         self.ids, self.k, self.best, self.seen = ids[o], k, Best(len(ids), k), 0
         self.blocks = [(slice(a, a + QUERY_BLOCK), Block(np.ascontiguousarray(mat[o[a:a + QUERY_BLOCK]].T))) for a in range(0, len(o), QUERY_BLOCK)]
 
@@ -230,13 +245,20 @@ class _Queries:
 
     def meet(self, ids: np.ndarray, mat: np.ndarray) -> None:
         self.seen += len(ids)
-        c = Block(np.ascontiguousarray(mat.T))
+        c, need, got, held = Block(np.ascontiguousarray(mat.T)), self.best.need(), [], 0
+        low = (need == LEAST).any()
         for rows, q in self.blocks:
-            qid, kth = self.ids[rows], self.best.need(rows)
-            own = qid[:, None] == ids[None, :] if (kth == LEAST).any() else None
+            kth = need[rows]
+            own = self.ids[rows, None] == ids if low and (kth == LEAST).any() else None
             i, j, s = pair_scores(q, c, kth, self.k, own, pairs=True)
-            other = ids[j] != qid[i]
-            self.best.add(rows.start + i[other], s[other], ids[j][other])
+            if len(i):
+                got.append((i + rows.start, j, s))
+                held += len(i)
+            if got and (held >= HITS or q is self.blocks[-1][1]):  # sorted once for many blocks
+                i, j, s = (np.concatenate(x) for x in zip(*got))
+                other = ids[j] != self.ids[i]
+                self.best.add(i[other], s[other], ids[j[other]])
+                got, held = [], 0
 
     def found(self) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(self.ids), 1 << 14):
@@ -338,7 +360,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best of all other rows for every row whose id is divisible by 50."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = whole_numbers(e.filter(F.col("vec_id") % 50 == 0), "vec_id", "embedding")
+    asked = whole_numbers(e.filter(F.col("vec_id").cast("long") % 50 == 0), "vec_id", "embedding")
     return top_k(asked, whole_numbers(e, "vec_id", "embedding"), 5, groups)
 
 

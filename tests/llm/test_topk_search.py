@@ -111,7 +111,7 @@ def test_copies_that_come_later_are_dropped():
     q = topk_search._Queries(np.arange(10), one[:10], 5)
     q.meet(np.arange(2048), one)
     for rows, b in q.blocks:
-        i, j, s = topk_search.pair_scores(b, topk_search.Block(one.T), q.best.need(rows), 5, None, pairs=True)
+        i, j, s = topk_search.pair_scores(b, topk_search.Block(one.T), q.best.need()[rows], 5, None, pairs=True)
         assert not len(i) and not len(j) and not len(s)
     assert q.best.ids.tolist() == [[j for j in range(6) if j != i][:5] for i in q.ids]
 
@@ -128,6 +128,15 @@ def test_pairs_are_the_scores_that_reach():
         assert set(j) <= set(alive) and s.shape == (20, len(alive))
 
 
+@pytest.mark.parametrize("n, m", [(1, 1), (1, 3), (3, 1), (300, 2), (2, 300)])
+def test_few_vectors(monkeypatch, n, m):
+    monkeypatch.setattr(topk_search, "_SCRATCH", {})
+    x = np.random.default_rng(n * m).integers(-9, 9, (n + m, 20)).astype(float)
+    queries, candidates = [(i, list(v)) for i, v in enumerate(x[:n])], [(i + 1, list(v)) for i, v in enumerate(x[n:])]
+    got = _run([(np.arange(n), x[:n])], [(np.arange(m) + 1, x[n:])], 4)
+    assert {i: v for i, v in got.items() if v} == _best(queries, candidates, 4)
+
+
 def test_unusable_vectors_take_no_part(spark):
     rows = [(1, [0.5, -0.25]), (2, None), (3, []), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0, float("inf")]), (None, [1.0, 1.0]),
             (7, [-0.001, 1e300]), (8, [1.0])]
